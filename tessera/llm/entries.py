@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pii, secrets, sharding
+from tessera.llm import bpe, pii, secrets, sharding, substrings, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op4_pii": pii.op4_pii,
         "op5_bpe": bpe.op5_bpe,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
+        "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
 
