@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, minhash, pii, secrets, sharding, substrings, suffixes, topk
+from tessera.llm import bpe, decontaminate, minhash, pii, quality, secrets, sharding, substrings, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_quality": quality.op2_quality,
         "op3_minhash": minhash.op3_minhash,
         "op4_pii": pii.op4_pii,
         "op5_bpe": bpe.op5_bpe,
+        "op6_decontamination": decontaminate.op6_decontamination,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
