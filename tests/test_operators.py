@@ -1,0 +1,74 @@
+"""Order-dependent operators, readers and sinks on small cases."""
+
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from tessera.operators import state
+from tessera.sources import readers, sinks
+
+
+
+def as_of():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+
+def test_greedy_dedup_registers_only_what_stays(spark):
+    for c, kept in ((("h2", "i2"), [0, 2]), (("h2", "i3"), [0, 2])):
+        b = ("h1", "i2") if c == ("h2", "i2") else ("h2", "i1")
+        rows = spark.createDataFrame([(0, "h1", "i1", "r"), (1, *b, "r"), (2, *c, "r")], "seq int, h string, i string, run string")
+        assert sorted(r.seq for r in state.greedy_dedup(rows, ("h", "i"), "run").collect()) == kept
+
+
+def test_merge_is_sequential(spark):
+    kind = "content_hash string, seq int, source string, company string, title string, salary string, experience string, apply_url string, location string, skills array<string>, description string, posted_at timestamp_ntz, scraped_at timestamp_ntz"
+    row = lambda seq, source, url, text, day: ("h", seq, source, "c", "t", "", "", url, "", [], text, dt.datetime(2024, 1, day), dt.datetime(2024, 1, 30))
+    stored = spark.createDataFrame([row(9, "old", "u0", "long text", 9)], kind)
+    batch = spark.createDataFrame([row(1, "a", "u1", "short", 5), row(2, "b", "", "longer text!", 20)], kind)
+    m = state.merge_listings(stored, batch).first()
+    assert (m.source, m.apply_url, m.description, m.posted_at.day) == ("old", "u1", "longer text!", 5)
+
+
+def test_health(spark):
+    rows = spark.createDataFrame([("a", "ok", "", 1), ("a", "odd", "x" * 300, 2)], "source string, status string, detail string, updated_at int")
+    h = state.latest_health(rows).first()
+    assert (h.status, len(h.detail)) == ("error", 240)
+
+
+def payload(spark, text):
+    return spark.createDataFrame([(text,)], "payload string")
+
+
+def test_json_boards(spark):
+    jobs = {"jobs": [{"title": "Dev", "company_name": "Co", "description": "<b>x</b>", "tags": ["a", " "], "url": "https://a/1", "publication_date": "2024-01-05"}]}
+    r = readers.remotive(payload(spark, json.dumps(jobs)), as_of()).first()
+    assert (r.title, r.description, r.skills, r.location, r.posted_at) == ("Dev", "x", ["a"], "Remote", dt.datetime(2024, 1, 5))
+    ok = ["legal", {"position": "Dev", "company": "Co", "epoch": 1706659200, "url": "https://a/2"}]
+    assert [x.title for x in readers.remoteok(payload(spark, json.dumps(ok[1:])), as_of()).collect()] == ["Dev"]
+    muse = {"results": [{"name": "Dev", "company": {"name": "Co"}, "locations": [{"name": "A"}, {"name": "B"}], "refs": {"landing_page": "https://a/3"}}]}
+    assert readers.themuse(payload(spark, json.dumps(muse)), as_of()).first().location == "A, B"
+    nomads = [{"title": "Dev", "company_name": "Co", "tags": "x, y", "url": "https://a/4"}]
+    assert readers.workingnomads(payload(spark, json.dumps(nomads)), as_of()).first().skills == ["x", "y"]
+    assert readers.workingnomads(payload(spark, json.dumps({"jobs": nomads})), as_of()).count() == 1
+
+
+def test_rss_and_cards(spark):
+    rss = "<rss><channel><item><title>Co: Dev: Lead</title><link>https://a/5</link><description>d</description><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item><item><title>Solo</title><link>https://a/6</link></item></channel></rss>"
+    got = sorted((r.company, r.title) for r in readers.weworkremotely(payload(spark, rss), as_of()).collect())
+    assert got == [("Co", "Dev: Lead"), ("Remote", "Solo")]
+    card = spark.createDataFrame([("Dev\n\nCo\nPune\nPosted 2 days ago", "https://a/7")], "payload string, href string")
+    r = readers.cards(card, "indeed", as_of()).first()
+    assert (r.title, r.company, r.location, r.posted_at) == ("Dev", "Co", "Pune", dt.datetime(2024, 1, 29))
+
+
+def test_broken_payload_gives_no_rows(spark):
+    assert readers.remotive(payload(spark, "{oops"), as_of()).count() == 0
+
+
+def test_saved_matches_replace_their_run(spark, tmp_path):
+    listings = spark.createDataFrame([("a",), ("b",)], "content_hash string")
+    save = lambda rows: sinks.save_matches(spark.createDataFrame(rows, "content_hash string, run_id int, match_score int"), listings, str(tmp_path / "m"))
+    save([("a", 1, 10), ("x", 1, 20), ("b", 2, 30)])
+    save([("b", 1, 40)])
+    assert sorted((r.run_id, r.match_score) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [(1, 40), (2, 30)]
