@@ -161,17 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     return fit(rows[list(NAMES)].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 
-def with_score(docs: DataFrame, model: tuple[float, list[tuple[_Rule, float]]], text_col: str = "text") -> DataFrame:
-    """docs with a column `score` behind all others."""
-    names = docs.columns
+def scored(docs: DataFrame, model: tuple[float, list[tuple[_Rule, float]]], text_col: str = "text") -> DataFrame:
+    """(row, score): each row of docs as a struct, so that no column of it can clash."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[c.alias(n) for n, c in statistics(text).items()])
-    score = compiled(*model, {k: F.col(n) for k, n in enumerate(NAMES)})
-    return told.select("row.*", score.alias("score"))
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in statistics(text).items()])
+    return told.select("row", compiled(*model, {k: F.col(n) for k, n in enumerate(NAMES)}).alias("score"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: whether it is held out, its score, and the prediction."""
     docs = prefixed(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    scored = with_score(docs, train(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+    out = scored(docs, train(docs, read(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
