@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BASE, _BASE_INV, _BYTE, Words, checkpointed, mix, parts_for, powers, prefixed, slices, utf8
+from tessera.llm.common import _BASE, _BASE_INV, _BYTE, Words, mix, parts_for, powers, prefixed, slices, utf8
 
 CHUNK_MB = 8
 _POS_BITS = 28
@@ -352,8 +352,9 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
                 np.add.at(edge, at + length, -1)
         return finish(own, np.cumsum(edge[:-1]) > 0)
 
+    # one query, in which the dealt texts are one exchange that all three steps read
     named = dealt.applyInArrow(name, _sql(_NAMED))
-    back = checkpointed(named.groupBy("part").applyInArrow(lambda table: _repeated_anchors(table), _sql(_BACK)))
+    back = named.groupBy("part").applyInArrow(lambda table: _repeated_anchors(table), _sql(_BACK))
     packed = dealt.cogroup(back.groupBy("chunk")).applyInArrow(pack, _sql(_PACKED))
     told = packed.groupBy("part").applyInArrow(lambda table: _verdicts(table, unit, length, keep_first), _sql(_VERDICT))
     return dealt.cogroup(told.groupBy("chunk")).applyInArrow(mark, schema)
