@@ -26,8 +26,11 @@ from tessera.llm.common import prefixed, read, slices
 
 #: How the vocabulary's pre-tokenizer cuts a text into words (a fixed value of the vocabulary).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 500_000
+#: Words whose ids a worker keeps, and pairs whose verdict it keeps; then it starts anew. Workers stay alive between stages, so
+#: what they keep takes memory from whatever runs next.
+KEPT_WORDS, KEPT_PAIRS = 150_000, 300_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 512 << 10
 
 
 def default_vocabulary() -> str:
@@ -158,7 +161,9 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
+            self.kept.clear()
+        if len(self.stable) > KEPT_PAIRS:
+            self.stable.clear()
         out, open_, new, get = [], [], set(), self.kept.get
         for text in texts:
             words: list[str] = []
@@ -207,7 +212,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(data.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids = own.encode(part["text"].to_pylist())
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 columns = {"doc_id": part["doc_id"].combine_chunks()}
