@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tessera.plans import queries as Q
+from tessera.plans import rules  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
