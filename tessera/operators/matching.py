@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f names it: conditions alone would evaluate it again in each branch."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _ints(pattern: str, c: Column, group: int = 1) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
@@ -30,7 +36,7 @@ def job_tier(title: Column | str, description: Column | str) -> Column:
     hay = F.concat_ws(" ", text(title), text(description))
     low = F.lower(hay)
     years = F.array_max(F.concat(_ints(D.YEARS_REQUIRED, hay), _ints(D.YEARS_EXPERIENCE, hay), _ints(D.YEARS_PLUS, hay), _ints(D.YEARS_RANGE, hay, 2)))
-    by_years = F.when(years >= 10, 4).when(years >= 5, 3).when(years >= 3, 2).when(years >= 1, 1)
+    by_years = once(years, lambda y: F.when(y >= 10, 4).when(y >= 5, 3).when(y >= 3, 2).when(y >= 1, 1))
     has = lambda words: low.rlike(r"\b(" + "|".join(words) + r")\b")
     entry = F.when(low.contains("intern"), 0).otherwise(1)
     by_words = F.when(has(D.EXECUTIVE_WORDS), 5).when(has(D.LEAD_WORDS), 4).when(has(D.SENIOR_WORDS), 3).when(low.rlike(D.ENTRY_PATTERN), entry).otherwise(1)
@@ -40,7 +46,7 @@ def job_tier(title: Column | str, description: Column | str) -> Column:
 def tier_fits(tier: Column, p: Profile) -> Column:
     extra = int(p.allow_stretch)
     low = 0 if p.tier <= 1 else max(0, p.tier - D.TIERS_BELOW.get(p.tier, 1) - extra)
-    return tier.between(low, p.tier + D.TIERS_ABOVE.get(p.tier, 1) + extra)
+    return once(tier, lambda t: t.between(low, p.tier + D.TIERS_ABOVE.get(p.tier, 1) + extra))
 
 
 def years_fit(years: Column, p: Profile) -> Column:
@@ -70,7 +76,7 @@ def skill_hits(c: Column, p: Profile) -> Column:
 
         return F.aggregate(skills, start, take, lambda acc: acc["n"])
 
-    return F.transform(F.array(found), count)[0]  # the tests are made once, not for each term of each skill
+    return once(found, count)  # not for each term of each skill
 
 
 def overlap_percent(hits: Column, p: Profile) -> Column:

@@ -35,8 +35,7 @@ def title_relevance(title: Column | str, p: Profile) -> Column:
 
 
 def seniority_proximity(tier: Column, p: Profile) -> Column:
-    away = F.abs(tier - p.tier)
-    return F.when(away == 0, 1.0).when(away == 1, 0.7).when(away == 2, 0.35).otherwise(0.0)
+    return M.once(F.abs(tier - p.tier), lambda away: F.when(away == 0, 1.0).when(away == 1, 0.7).when(away == 2, 0.35).otherwise(0.0))
 
 
 def location_fit(c: Column | str, p: Profile) -> Column:
