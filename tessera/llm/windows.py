@@ -272,7 +272,7 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
     return _rows(_VERDICT, chunk=chunks, run=runs, n=sizes, flags=flags)
 
 
-def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int = 400_000) -> list[np.ndarray]:
+def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int = 200_000) -> list[np.ndarray]:
     """Strings in order of family, cut between families so that a batch has about `limit` windows."""
     if not len(strings):
         return []
@@ -336,20 +336,17 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
             verdict = {s: np.frombuffer(flags[b - k : b], np.uint8) for s, b, k in zip(own.packed(lead), ends, n.tolist(), strict=True)}
             run = np.flatnonzero(np.isin(own.anchor, np.unique(own.anchor[lead])))
             met: set[bytes] = set()
-            starts = []
             for s, start in zip(own.packed(run), own.start[run].tolist(), strict=True):
                 flag = verdict.get(s)
                 if flag is None:
                     continue
                 if keep_first and s not in met:  # runs stand in order of id and position
                     met.add(s)
-                    starts.append(np.flatnonzero(flag == 1) + start)
+                    at = np.flatnonzero(flag == 1) + start
                 else:
-                    starts.append(np.flatnonzero(flag) + start)
-            if starts:
-                at = np.concatenate(starts)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
+                    at = np.flatnonzero(flag) + start
+                edge[at] += 1  # the windows of one run start at different places
+                edge[at + length] -= 1
         return finish(own, np.cumsum(edge[:-1]) > 0)
 
     # one query, in which the dealt texts are one exchange that all three steps read
