@@ -3,8 +3,9 @@
 Method (information-theoretic sanitisation): every found value is a protected entity. Words close to it are its context; a
 context counts once however many copies repeat it. For a term t and an entity e, PMI(e; t) = log2(p(e, t) / (p(e) p(t))) says
 how many bits t tells about e, out of the IC(e) = -log2 p(e) there are. p(t) comes from all words of the corpus. A term that
-stands in at least `min_support` distinct contexts of e and tells at least `disclosure` of IC(e) is a span of kind `term`;
-sanitise() generalises it to its first letter, or removes it from `removal` on.
+stands in at least `min_support` distinct contexts of e and tells at least `disclosure` of IC(e) discloses it: each occurrence
+of the term in any text, beside an entity or not, is a span of kind `term` with the largest share of any entity (within a base
+span it is part of that span). sanitise() generalises it to its first letter, or removes it from `removal` on.
 
 Defined cases: a null text counts as empty; repeated rows each give a row; other columns are not read; an empty table gives an
 empty result. Offsets count code points, the end is exclusive. The patterns are written with possessive loops and with starts
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prefixed, read
+from tessera.llm.common import checkpointed, prefixed, read
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -34,6 +35,10 @@ _BYTE_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"
 _TERM = r"\p{L}{3,}"
 #: Code points on either side of an entity that hold its context, and words taken from them.
 REACH, CONTEXT = 100, 5
+#: Bytes of disclosing terms up to which they are broadcast, which is checked; beyond that they are joined by an exchange.
+TERM_BYTES = 16 << 20
+#: Spans that are gathered in one array before another is begun, so that many take linear time.
+_RUN = 512
 
 
 def _digits(m: Column) -> Column:
@@ -129,11 +134,33 @@ def disclosing_terms(based: DataFrame, min_support: int = 3, disclosure: float =
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """(doc_id, base, terms) of every row: base array<struct<kind, start, end, match>>, terms array<struct<start, end, share>>."""
     based = with_base(docs, id_col, text_col)
-    terms = disclosing_terms(based, min_support, disclosure)
-    near = _context(based).select("key", "key2", "entity", F.explode("words").alias("w")).select("key", "key2", "entity", "w.*")
-    hits = near.join(terms, ["entity", "term"]).groupBy("key", "key2").agg(F.array_sort(F.collect_set(F.struct("start", "end", "share"))).alias("terms"))
+    terms = checkpointed(disclosing_terms(based, min_support, disclosure).groupBy("term").agg(F.max("share").alias("share")))
+    size = terms.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    met = based.select("key", "key2", F.explode(words).alias("term")).join(F.broadcast(terms) if size <= TERM_BYTES else terms, "term")
+    told = met.groupBy("key", "key2").agg(F.collect_set(F.struct("term", "share")).alias("told"))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    return based.join(hits, ["key", "key2"], "left").withColumn("terms", F.coalesce("terms", none))
+    return based.join(told, ["key", "key2"], "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(_occurrences())).drop("told")
+
+
+def _occurrences() -> Column:
+    """array<struct<start, end, share>>: every place in text of the terms in told, in order, but those within a base span."""
+    spans = "array<struct<start:int,end:int,share:double>>"
+    step = f"struct<at:int,run:{spans},done:array<{spans}>>"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("m"), F.split("text", _TERM, -1).alias("gap"))
+
+    def put(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.coalesce(F.length(p["m"]), F.lit(0))
+        own = F.filter("told", lambda t: t["term"] == F.lower(p["m"]))
+        new = F.transform(F.filter(own, lambda t: ~F.exists("base", lambda s: (s["start"] <= start) & (s["end"] >= end))), lambda t: F.struct(start.alias("start"), end.alias("end"), t["share"].alias("share")))
+        full = F.size(acc["run"]) >= _RUN
+        run = F.when(F.size(own) == 0, acc["run"]).when(full, new).otherwise(F.concat(acc["run"], new))
+        done = F.when((F.size(own) > 0) & full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"])
+        return F.struct(end.alias("at"), run.alias("run"), done.alias("done")).cast(step)
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("run"), F.array().cast(f"array<{spans}>").alias("done")).cast(step)
+    return F.aggregate(pairs, empty, put, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["run"]))))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removal: float = 0.95, **how: object) -> DataFrame:
@@ -144,7 +171,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= removal, F.lit("")).otherwise(F.concat(F.substring("text", s["start"] + 1, F.lit(1)), F.lit("."))).alias("put"))),
     )
     step = "struct<at:int,out:array<string>>"
-    put = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("out"))).cast(step)
+    put = lambda acc, s: F.when(s["end"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s["put"])).alias("out")).cast(step)).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("out"))).cast(step)
     last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(step)
     return found.select("doc_id", F.aggregate(F.array_sort(cuts), start, put, last).alias("text"))

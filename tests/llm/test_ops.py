@@ -180,6 +180,28 @@ def test_disclosing_terms(spark):
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
 
 
+@pytest.mark.parametrize("limit", [pii.TERM_BYTES, 0])
+def test_disclosing_terms_are_marked_wherever_they_stand(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "TERM_BYTES", limit)
+    monkeypatch.setattr(pii, "_RUN", 2)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    far = " ".join(word() for _ in range(40))
+    rows = [(k, f"{word()} Krane boss@corp.example {word()} {far} krane") for k in range(4)]
+    rows += [(10, "Krane said nothing, Kranes did; KRANE, Krane and krane did too"), (11, "write to krane@corp.example"), (12, None), (13, "")]
+    rows += [(100 + k, " ".join(word() for _ in range(200))) for k in range(50)]
+    docs = spark.createDataFrame(rows + rows[4:5], "doc_id long, text string")
+    own = dict(rows)
+    found = pii.scan(docs).collect()
+    assert len(found) == len(rows) + 1
+    for x in found:
+        inside = [(s.start, s.end) for s in x.base]
+        want = [m.span() for m in re.finditer(r"(?i)\bkrane\b", own[x.doc_id] or "") if not any(a <= m.start() and m.end() <= b for a, b in inside)]
+        assert [(t.start, t.end) for t in x.terms if own[x.doc_id][t.start : t.end].lower() == "krane"] == want
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert "krane " not in clean[10].lower() and "Kranes" in clean[10] and clean[11] == "write to [EMAIL]"
+
+
 def test_op5(spark, corpus):
     from tokenizers import Tokenizer
 
