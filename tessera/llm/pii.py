@@ -2,7 +2,8 @@
 
 Method (information-theoretic sanitisation): every found value is a protected entity. Words close to it are its context; a
 context counts once however many copies repeat it. For a term t and an entity e, PMI(e; t) = log2(p(e, t) / (p(e) p(t))) says
-how many bits t tells about e, out of the IC(e) = -log2 p(e) there are. p(t) comes from all words of the corpus. A term that
+how many bits t tells about e, out of the IC(e) = -log2 p(e) there are. p(t) comes from all words of the corpus'
+distinct texts, so that copies of a text change nothing; near copies count as texts of their own. A term that
 stands in at least `min_support` distinct contexts of e and tells at least `disclosure` of IC(e) discloses it: each occurrence
 of the term in any text, beside an entity or not, is a span of kind `term` with the largest share of any entity (within a base
 span it is part of that span). sanitise() generalises it to its first letter, or removes it from `removal` on.
@@ -35,8 +36,9 @@ _BYTE_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"
 _TERM = r"\p{L}{3,}"
 #: Code points on either side of an entity that hold its context, and words taken from them.
 REACH, CONTEXT = 100, 5
-#: Bytes of disclosing terms up to which they are broadcast, which is checked; beyond that they are joined by an exchange.
-TERM_BYTES = 16 << 20
+#: Bytes up to which the disclosing terms, and those that each text holds, are broadcast, which is checked; beyond that they are
+#: joined by an exchange.
+TERM_BYTES = 32 << 20
 #: Spans that are gathered in one array before another is begun, so that many take linear time.
 _RUN = 512
 
@@ -119,11 +121,12 @@ def _context(based: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(based: DataFrame, min_support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """(entity, term, share): terms that tell at least that share of IC(entity), from counts over all of the corpus."""
+    """(entity, term, share): terms that tell at least that share of IC(entity), from counts over all distinct texts of the corpus."""
     contexts = _context(based).groupBy("entity", "context").agg(F.min(F.transform("words", lambda w: w["term"])).alias("terms"))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = contexts.select("entity", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
-    words = based.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    once = based.groupBy(F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2")).agg(F.first("text").alias("text"))
+    words = once.select(F.explode(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n_t"))
     total = words.agg(F.greatest(F.lit(2), F.sum("n_t")).alias("n"))
     joined = pairs.join(entities, "entity").join(words, "term").join(F.broadcast(total))  # total: one row
     ic = F.log2(F.col("n") / F.col("n_e"))
@@ -135,14 +138,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     """(doc_id, base, terms) of every row: base array<struct<kind, start, end, match>>, terms array<struct<start, end, share>>."""
     based = with_base(docs, id_col, text_col)
     terms = checkpointed(disclosing_terms(based, min_support, disclosure).groupBy("term").agg(F.max("share").alias("share")))
-    size = terms.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
-    met = based.select("key", "key2", F.explode(words).alias("term")).join(F.broadcast(terms) if size <= TERM_BYTES else terms, "term")
-    told = met.groupBy("key", "key2").agg(F.collect_set(F.struct("term", "share")).alias("told"))
+    met = based.select("key", "key2", F.explode(words).alias("term")).join(_sent(terms, F.octet_length("term") + 8), "term")
+    told = checkpointed(met.groupBy("key", "key2").agg(F.collect_set(F.struct("term", "share")).alias("told")))
+    told = _sent(told, F.aggregate("told", F.lit(12), lambda n, t: n + F.octet_length(t["term"]) + 8))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
     return based.join(told, ["key", "key2"], "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(_occurrences())).drop("told")
 
 
+def _sent(df: DataFrame, size: Column) -> DataFrame:
+    """df, marked to be broadcast if its rows have at most TERM_BYTES together."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= TERM_BYTES else df
+
+
 def _occurrences() -> Column:
     """array<struct<start, end, share>>: every place in text of the terms in told, in order, but those within a base span."""
     spans = "array<struct<start:int,end:int,share:double>>"

@@ -202,6 +202,19 @@ def test_disclosing_terms_are_marked_wherever_they_stand(spark, monkeypatch, lim
     assert "krane " not in clean[10].lower() and "Kranes" in clean[10] and clean[11] == "write to [EMAIL]"
 
 
+def test_copies_do_not_change_the_disclosing_terms(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = [(k, f"{word()} zanzibar boss@corp.example {word()} {word()}") for k in range(3)]
+    rows += [(100 + k, " ".join(word() for _ in range(200))) for k in range(20)]
+    copied = rows + [(1000 + 3 * k + j, rows[j][1]) for k in range(200) for j in range(3)]
+    shares = []
+    for body in (rows, copied):
+        based = pii.with_base(spark.createDataFrame(body, "doc_id long, text string"), "doc_id", "text")
+        shares.append({(x.entity, x.term): round(x.share, 9) for x in pii.disclosing_terms(based).collect()})
+    assert shares[0] == shares[1] and ("email:boss@corp.example", "zanzibar") in shares[0]
+
+
 def test_op5(spark, corpus):
     from tokenizers import Tokenizer
 
