@@ -81,13 +81,15 @@ class Index:
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, equal words) of the stretch with the largest sum of 1 for each equal word and -4 for each other: at least
-    four in five of its words are equal."""
+    """(start, length, equal words) of the stretch with the most equal words of those of which at least four in five words are
+    equal: the longest whose sum of 1 for each equal word and -4 for each other isn't negative, without other words at its ends.
+    A stretch with more equal words and no longer would have a sum of 5 at least, and with the next word still be one."""
     total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(total[: end + 1].argmin())
-    return start, end - start, int(equal[start:end].sum())
+    later = np.maximum.accumulate(total[::-1])  # largest sum of the last 1, 2 ...
+    ends = len(equal) - np.searchsorted(later, total)
+    start = int((ends - np.arange(len(total))).argmax())
+    met = np.flatnonzero(equal[start : ends[start]])
+    return (start + int(met[0]), int(met[-1] - met[0]) + 1, len(met)) if len(met) else (0, 0, 0)
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:

@@ -259,6 +259,23 @@ def test_decontamination_takes_replaced_words(spark, monkeypatch):
         assert {x.doc_id for x in decontaminate.drop_contaminated(d, b).collect()} == {100 + k for k in range(5)}
 
 
+def test_decontamination_takes_a_fifth_of_words_replaced(spark):
+    items = [(0, " ".join(f"w{j}" for j in range(50)))]
+    docs = [(k, "before " + " ".join("other" if j % 5 == k else f"w{j}" for j in range(50)) + " after") for k in range(5)]
+    docs.append((9, " ".join("other" if j % 4 == 3 else f"w{j}" for j in range(50))))  # too many
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {x.doc_id: x.n_equal for x in decontaminate.overlaps(d, b).collect()} == dict.fromkeys(range(5), 40)
+
+
+def test_stretch_has_the_most_equal_words():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        equal = r.random(r.integers(0, 40)) < r.choice([0.5, 0.8, 0.9])
+        best = max((int(equal[i:j].sum()) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)), default=0)
+        start, size, n = decontaminate.stretch(equal)
+        assert n == best == equal[start : start + size].sum() and 5 * n >= 4 * size
+
+
 def test_op7(spark, corpus):
     root, rows = corpus
     words = [SPACE.findall(t or "") for _, t in rows]
