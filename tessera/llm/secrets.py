@@ -4,6 +4,9 @@ Method (structural confirmation): a long run of base64 or hex characters is repo
 (DER with nested lengths that fit exactly, or the length-prefixed fields of an OpenSSH key), and three dotted base64url parts
 only after the first decodes to a JSON header that names an algorithm and the second to a JSON object.
 
+Every line of a base64 run may begin a key, and its own header tells how long it is, so keys are found whatever lines stand
+before and behind them.
+
 Defined cases: a null text counts as empty and has no span; repeated rows each give a row; other columns are not read, so
 their names can't clash; an empty table gives an empty result. Offsets count code points, the end is exclusive.
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,6 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
 _B64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
+_SSH_START = base64.b64encode(b"openssh-key-v1\0").decode()
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 
@@ -88,6 +93,53 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= count <= 64 and at + 8 + size < len(data)
 
 
+def key_size(flat: str, at: int) -> int | None:
+    """Bytes that the key whose base64 begins at this character has by its header; 0 if an OpenSSH key is cut short by the end;
+    None if no key begins here."""
+    if flat.startswith(_SSH_START, at):
+        data = _decoded(flat[at : len(flat) - ((len(flat) - at) % 4 == 1)])
+        if not is_ssh_key(data):
+            return None
+        end, fields = 15, 3
+        while fields:
+            end, fields = end + 4 + int.from_bytes(data[end : end + 4], "big"), fields - 1
+        count = int.from_bytes(data[end : end + 4], "big")
+        end += 4
+        for _ in range(count + 1):  # public keys, then the private ones in one field
+            if end + 4 > len(data):
+                return 0
+            end += 4 + int.from_bytes(data[end : end + 4], "big")
+        return end if end <= len(data) else 0
+    head = _decoded(flat[at : at + 12])
+    if len(head) < 9 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 4 or head[1] == 0x80 or head[2 + n] != 0x02:  # the version comes first
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def keys_in(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the private keys in consecutive lines of base64; one begins with a line or right behind another."""
+    body = run.rstrip("=")
+    lines = [(m.start(), m[0]) for m in re.finditer(r"[^\r\n]+", body)]
+    flat = "".join(x for _, x in lines).replace("-", "+").replace("_", "/")
+    first = [0]  # of each line in flat
+    for _, x in lines:
+        first.append(first[-1] + len(x))
+    place = lambda at: (k := bisect.bisect_right(first, at) - 1, lines[k][0] + at - first[k])[1]
+    out, at = [], 0
+    while at < len(flat):
+        size = key_size(flat, at)
+        end = len(flat) if size == 0 else at + ((size or 0) * 8 + 5) // 6
+        if size is not None and end <= len(flat) and (size == 0 or is_der_key(data := _decoded(flat[at:end])[:size]) or is_ssh_key(data)):
+            out.append((place(at), len(run) if end == len(flat) else place(end - 1) + 1))
+            at = end
+        else:
+            at = first[bisect.bisect_right(first, at)]
+    return out
+
+
 def _decoded(text: str) -> bytes:
     text = re.sub(r"[\r\n=]", "", text).replace("-", "+").replace("_", "/")
     try:
@@ -122,14 +174,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("jwt", *m.span()))
     for pattern in (_B64, _B64_URL):
         for m in pattern.finditer(text):
-            end = m.end()
-            for _ in range(3):  # words on the lines below may look like base64
-                if (data := _decoded(text[m.start() : end])) and (is_der_key(data) or is_ssh_key(data)):
-                    out.append(("key", m.start(), end))
-                    break
-                end = text.rfind("\n", m.start(), end)
-                if end < 0:
-                    break
+            out += [("key", m.start() + a, m.start() + b) for a, b in keys_in(m[0])]
     for m in _LONG_HEX.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data) or is_ssh_key(data):

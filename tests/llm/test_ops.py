@@ -65,6 +65,29 @@ def test_structure_confirms():
     assert secrets.redacted(None) is None and secrets.find_spans(None) == []
 
 
+def test_keys_among_other_base64_lines():
+    r = random.Random(6)
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    der = lambda tag, b: bytes([tag, len(b)]) + b
+    wrapped = lambda: base64.b64encode(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, r.randbytes(32))))).decode()
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(r.randbytes(51)) + field(r.randbytes(139))).decode().rstrip("=")
+    assert len(wrapped()) == 64
+    for n in (1, 2, 3, 4, 10):
+        for newline in ("\n", "\r\n"):
+            keys = [wrapped() for _ in range(n)]
+            text = "see " + newline.join(keys) + newline + newline.join(["one", "word", "lines", "here", "too"])
+            want = [(text.index(k), text.index(k) + 64) for k in keys]
+            assert [(a, b) for kind, a, b in secrets.find_spans(text) if kind == "key"] == want
+            assert not any(k in secrets.redacted(text) for k in keys)
+    other = base64.b64encode(r.randbytes(48)).decode()
+    long = "\n".join(ssh[k : k + 70] for k in range(0, len(ssh), 70))
+    for key in (wrapped(), long):
+        text = f"{other}\n{key}\n{other}\nword\nword\nword\nword"
+        assert [(a, b) for kind, a, b in secrets.find_spans(text) if kind == "key"] == [(65, 65 + len(key))]
+    glued = wrapped() + wrapped()
+    assert [(a, b) for kind, a, b in secrets.find_spans(glued) if kind == "key"] == [(0, 64), (64, 128)]
+
+
 def test_op2(spark, corpus):
     root, rows = corpus
     got = quality.op2_quality(spark, root).collect()
