@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere; adaptive plans split skewed joins and merge small partitions.
@@ -22,3 +24,12 @@ def session(name: str = "tessera", **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. Only a local master may go without it."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
