@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_folder
+
 #: Bytes of text that a task turns into arrays at a time.
 SLICE_BYTES = 2 << 20
 
@@ -28,13 +30,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint; the folder is the session's, or one of its own where none is set (tests)."""
+    """df behind a reliable checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def frequent_keys(df: DataFrame, *key: str, share: int = 1000, least: int = 1000) -> tuple[DataFrame, int]:
+    """(key, n) of the keys with more than a `share`-th of df's rows, so at most `share` keys, and the number of rows beyond
+    which a key is one of them; `least` rows are never too many."""
+    limit = max(df.count() // share, least)
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > limit), limit
+
+
+def lookup(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame, share: int = 1000, least: int = 1000) -> DataFrame:
+    """left with the columns of right, which has a row for each key. counts (key, n) tells the rows of left by key: keys with more
+    than a `share`-th of them, at most `share`, are looked up in a broadcast, so that they fill no task."""
+    limit = max(left.count() // share, least)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(*key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_anti").join(right, key, "left").unionByName(left.join(few, key))
+
+
 def parts_for(spark: SparkSession, mb: float, mb_each: float = 16) -> int:
     """Partitions for so many MB, at least as many as the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(mb / mb_each) + 1)

@@ -144,19 +144,66 @@ def test_op3(spark, corpus):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
-def test_a_group_larger_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 5)
+def near_rows(count, words=60):
+    """Copies of a text, each with one word of its own, so that some pairs link and others don't."""
     r = random.Random(1)
-    words = [f"w{k}" for k in range(60)]
+    base = [f"w{k}" for k in range(words)]
     rows = []
-    for k in range(40):
-        w = words[:]
-        w[r.randrange(60)] = f"new{k}"
+    for k in range(count):
+        w = base[:]
+        w[r.randrange(words)] = f"new{k}"
         rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("cold", "block"), [(32, 2048), (2, 2048), (2, 5)])
+def test_groups_larger_than_the_limits(spark, monkeypatch, cold, block):
+    monkeypatch.setattr(minhash, "COLD", cold)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = near_rows(40) + [(100 + k, t) for k, t in near_rows(40, 30)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4).collect()
     assert bag((x.doc_id, x.n_shingles, x.component_id) for x in got) == bag(brute_components(rows, 4))
 
 
+def test_shared_boilerplate_makes_few_comparisons(spark, monkeypatch):
+    """5,000 texts at similarity 0.4 to each other, of which 20 have a near copy: only about one comparison for a text."""
+    r = random.Random(3)
+    common = [f"c{k}" for k in range(116)]
+    rows = [(k, " ".join([*common, *(f"u{k}x{j}" for j in range(85))])) for k in range(5000)]
+    for k in range(20):
+        w = rows[k][1].split()
+        w[r.randrange(len(w))] = "other"
+        rows.append((10_000 + k, " ".join(w)))
+    made = []
+    true_verified, true_groups = minhash.verified, minhash.prefix_groups
+    monkeypatch.setattr(minhash, "verified", lambda p, s, q: (made.append(p.count()), true_verified(p, s, q))[1])
+    monkeypatch.setattr(minhash, "prefix_groups", lambda *x: (g := true_groups(*x), made.append(g.groupBy("root").count().selectExpr("sum(count * count)").first()[0] or 0))[0])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n=4).collect()
+    assert {x.doc_id: x.component_id for x in got if not x.kept} == {10_000 + k: k for k in range(20)}
+    assert sum(made) < 40_000, made
+
+
+def test_recall_of_bands():
+    """Pairs at the threshold: bands of min-max signatures miss none of 2,000."""
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(2000):
+        both, one, two = (np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (160, 20, 20))
+        sets = [np.unique(np.concatenate((both, x))) for x in (one, two)]
+        found = minhash.bands(minhash.signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])))
+        missed += not (found[0] == found[1]).any()
+    assert missed == 0
+
+
+def test_ids_of_any_type_and_hot_copies(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common.lookup, "__defaults__", (2, 1))
+    rows = [(f"d{k:04}", t) for k, t in [*near_rows(30), *[(100 + k, "the same text in every one of these rows") for k in range(200)]]]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "name string, text string"), n=4, id_col="name").collect()
+    assert bag((x.doc_id, x.n_shingles, x.component_id) for x in got) == bag(brute_components(rows, 4))
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(digits))) % 10 == 0
 
