@@ -1,14 +1,17 @@
 """Secret scan: rule matches, and base64, hex and token candidates that are confirmed by decoding their structure.
 
 Method (structural confirmation): a long run of base64 or hex characters is reported only after it decodes to a private key
-(DER with nested lengths that fit exactly, or the length-prefixed fields of an OpenSSH key), and three dotted base64url parts
-only after the first decodes to a JSON header that names an algorithm and the second to a JSON object.
+(DER whose nested lengths fit exactly at each level, down to what its algorithm puts inside, or the length-prefixed fields of an
+OpenSSH key); three dotted base64url parts only after the first decodes to a JSON header that names an algorithm and the second
+to a JSON object (the third is empty if and only if the algorithm is `none`); five parts only after the first decodes to a header
+that names an algorithm and an encryption.
 
 Every line of a base64 run may begin a key, and its own header tells how long it is, so keys are found whatever lines stand
-before and behind them.
+before and behind them. Lines may be indented, and line ends may be written as `\\n`.
 
-Defined cases: a null text counts as empty and has no span; repeated rows each give a row; other columns are not read, so
-their names can't clash; an empty table gives an empty result. Offsets count code points, the end is exclusive.
+Defined cases: a null text counts as empty and has no span; repeated rows each give a row; a very long text is scanned whole;
+other columns are not read, so their names can't clash; an empty table gives an empty result. Offsets count code points, the end
+is exclusive.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ REDACTED = ("assign", "access", "jwt", "key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+_JWE = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+){3}(?![A-Za-z0-9_-])")
+#: What may stand between two lines of base64: a line end, also a written one, and white space around it.
+_BREAK = r"(?:[ \t]*+(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*+)"
+_B64 = re.compile(rf"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n))[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*={{0,2}}")
+_LINES = re.compile(_BREAK)
 _B64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 _SSH_START = base64.b64encode(b"openssh-key-v1\0").decode()
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
@@ -62,20 +69,63 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """RSA (nine integers), elliptic-curve (version 1 and an octet string) or wrapped (version, algorithm, octet string) private key."""
+# --- fixed values: object identifiers, as in DER
+_RSA, _DSA, _EC = b"\x2a\x86\x48\x86\xf7\x0d\x01\x01", b"\x2a\x86\x48\xce\x38\x04\x01", b"\x2a\x86\x48\xce\x3d\x02\x01"
+_EDWARDS = b"\x2b\x65"
+_PASSWORD = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+
+
+def _sequence(data: bytes) -> list[tuple[int, bytes]]:
+    """What the one sequence holds that data is; nothing if it isn't one."""
     outer = der_items(data) if data[:1] == b"\x30" else None
-    if not outer or len(outer) != 1 or not (parts := der_items(outer[0][1])):
+    return (der_items(outer[0][1]) or []) if outer and len(outer) == 1 else []
+
+
+def _is_rsa(parts: list[tuple[int, bytes]]) -> bool:
+    """A version, then eight numbers and more, of which the modulus has 32 bytes at least."""
+    return len(parts) >= 9 and {tag for tag, _ in parts[:9]} == {0x02} and parts[0][1] in (b"\0", b"\1") and len(parts[1][1]) >= 32
+
+
+def _is_dsa(parts: list[tuple[int, bytes]]) -> bool:
+    return len(parts) == 6 and {tag for tag, _ in parts} == {0x02} and parts[0][1] == b"\0" and len(parts[1][1]) >= 32
+
+
+def _is_ec(parts: list[tuple[int, bytes]]) -> bool:
+    """Version 1 and an octet string."""
+    return [tag for tag, _ in parts[:2]] == [0x02, 0x04] and parts[0][1] == b"\1" and len(parts[1][1]) >= 16
+
+
+def _is_wrapped(parts: list[tuple[int, bytes]]) -> bool:
+    """Version, algorithm, and an octet string that holds what the algorithm asks for."""
+    if [tag for tag, _ in parts[:3]] != [0x02, 0x30, 0x04] or parts[0][1] not in (b"\0", b"\1"):
+        return False
+    algorithm, inside = der_items(parts[1][1]), parts[2][1]
+    if not algorithm or algorithm[0][0] != 0x06:
         return False
-    tags = [tag for tag, _ in parts]
-    if len(parts) >= 9 and set(tags[:9]) == {0x02} and parts[0][1] in (b"\0", b"\1"):
-        return len(parts[1][1]) >= 32
-    if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\1":
-        return len(parts[1][1]) >= 16
-    if tags[:3] == [0x02, 0x30, 0x04] and parts[0][1] in (b"\0", b"\1"):
-        inner = der_items(parts[1][1])
-        return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16
-    return False
+    name, items = algorithm[0][1], der_items(inside)
+    if name.startswith(_RSA):
+        return _is_rsa(_sequence(inside))
+    if name == _EC:
+        return _is_ec(_sequence(inside))
+    if name == _DSA:
+        return bool(items) and len(items) == 1 and items[0][0] == 0x02 and len(items[0][1]) >= 16
+    if name.startswith(_EDWARDS):
+        return bool(items) and len(items) == 1 and items[0][0] == 0x04 and len(items[0][1]) >= 32
+    return bool(items) and len(inside) >= 16
+
+
+def _is_locked(parts: list[tuple[int, bytes]]) -> bool:
+    """A password-based algorithm and what it encrypts."""
+    if [tag for tag, _ in parts] != [0x30, 0x04] or len(parts[1][1]) < 16:
+        return False
+    algorithm = der_items(parts[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and algorithm[0][1].startswith(_PASSWORD)
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key of RSA, DSA or an elliptic curve, bare, wrapped with its algorithm, or locked by a password."""
+    parts = _sequence(data)
+    return any(test(parts) for test in (_is_rsa, _is_dsa, _is_ec, _is_wrapped, _is_locked))
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -114,7 +164,7 @@ def key_size(flat: str, at: int) -> int | None:
     if len(head) < 9 or head[0] != 0x30:
         return None
     n = head[1] & 0x7F if head[1] >= 0x80 else 0
-    if n > 4 or head[1] == 0x80 or head[2 + n] != 0x02:  # the version comes first
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):  # a version comes first, or an algorithm
         return None
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
@@ -122,7 +172,8 @@ def key_size(flat: str, at: int) -> int | None:
 def keys_in(run: str) -> list[tuple[int, int]]:
     """(start, end) of the private keys in consecutive lines of base64; one begins with a line or right behind another."""
     body = run.rstrip("=")
-    lines = [(m.start(), m[0]) for m in re.finditer(r"[^\r\n]+", body)]
+    ends = [m.span() for m in _LINES.finditer(body)]
+    lines = [(a, body[a:b]) for a, b in zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(body)], strict=True)]
     flat = "".join(x for _, x in lines).replace("-", "+").replace("_", "/")
     first = [0]  # of each line in flat
     for _, x in lines:
@@ -170,7 +221,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             head = _json(m[1])
-            if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(m[2]), dict):
+            if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(m[2]), dict) and (not m[3]) == (head["alg"].lower() == "none"):
+                out.append(("jwt", *m.span()))
+        for m in _JWE.finditer(text):
+            head = _json(m[1])
+            if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str):
                 out.append(("jwt", *m.span()))
     for pattern in (_B64, _B64_URL):
         for m in pattern.finditer(text):

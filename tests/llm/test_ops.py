@@ -88,6 +88,48 @@ def test_keys_among_other_base64_lines():
     assert [(a, b) for kind, a, b in secrets.find_spans(glued) if kind == "key"] == [(0, 64), (64, 128)]
 
 
+def test_keys_in_other_dress():
+    r = random.Random(16)
+    lines = lambda b, n=64: [x for t in [base64.b64encode(b).decode()] for x in (t[k : k + n] for k in range(0, len(t), n))]
+    number = lambda n: der(2, b"\1" + r.randbytes(n))
+    rsa = der(0x30, der(2, b"\0") + number(64) + der(2, b"\1\0\1") + b"".join(number(32) for _ in range(6)))
+    rsa_name, ec_name = b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01", b"\x2a\x86\x48\xce\x3d\x02\x01"
+    wrap = lambda name, inside: der(0x30, der(2, b"\0") + der(0x30, der(6, name)) + der(4, inside))
+    ec = der(0x30, der(2, b"\1") + der(4, r.randbytes(32)))
+    dsa = der(0x30, der(2, b"\0") + b"".join(number(40) for _ in range(5)))
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(6, b"\x2a\x03"))) + der(4, r.randbytes(160)))
+    keys = [rsa, wrap(rsa_name, rsa), wrap(ec_name, ec), dsa, locked]
+    for key in keys:
+        assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"\0")
+        other = base64.b64encode(r.randbytes(48)).decode()
+        for first, end in (("", "\n"), ("    ", "\n"), ("", "\\n"), ("\t", "\r\n"), ("", "\\r\\n"), ("", "\\\\n")):
+            for before in ([], [other]):
+                body = end.join(first + x for x in [*before, *lines(key)])
+                text = f'key = "-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----{end}" and more'
+                found = [(a, b) for kind, a, b in secrets.find_spans(text) if kind == "key"]
+                start = text.index(lines(key)[0])
+                assert found == [(start, text.index(lines(key)[-1]) + len(lines(key)[-1]))], (first, end, before)
+    for wrong in (wrap(rsa_name, r.randbytes(100)), wrap(ec_name, rsa), wrap(rsa_name, ec), der(0x30, der(0x30, der(6, b"\x2a\x03")) + der(4, r.randbytes(160)))):
+        assert not secrets.is_der_key(wrong)
+
+
+def test_tokens_of_all_kinds():
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    signed = f"{url({'alg': 'RS256'})}.{url({'sub': 'me'})}.{'s' * 43}"
+    bare = f"{url({'alg': 'none'})}.{url({'sub': 'me'})}."
+    sealed = f"{url({'alg': 'dir', 'enc': 'A256GCM'})}..{'i' * 16}.{'c' * 30}.{'t' * 22}"
+    text = f"see {signed}, {bare} and {sealed} end"
+    assert [text[a:b] for kind, a, b in secrets.find_spans(text) if kind == "jwt"] == [signed, bare, sealed]
+    for wrong in (signed[: signed.rindex(".") + 1], bare + "abc", f"{url({'alg': 'dir'})}..{'i' * 16}.{'c' * 30}.{'t' * 22}", f"{url(['alg'])}.{url({})}.abc"):
+        assert not [x for x in secrets.find_spans(f"see {wrong} end") if x[0] == "jwt"], wrong
+
+
+def test_spans_of_the_query_are_those_of_the_method(spark, corpus):
+    root, rows = corpus
+    got = bag((r.doc_id, r.spans) for r in secrets.op1_secret_scan(spark, root).collect())
+    assert got == bag((i, secrets.joined(secrets.find_spans(t))) for i, t in rows)
+
+
 def test_op2(spark, corpus):
     root, rows = corpus
     got = quality.op2_quality(spark, root).collect()
@@ -337,6 +379,65 @@ def test_decontamination_takes_a_fifth_of_words_replaced(spark):
     assert {x.doc_id: x.n_equal for x in decontaminate.overlaps(d, b).collect()} == dict.fromkeys(range(5), 40)
 
 
+def brute_overlaps(docs, items, min_words=8):
+    """(document, item) pairs by trying every offset and every stretch."""
+    out = set()
+    for d, text in docs:
+        t = SPACE.findall((text or "").lower())
+        for i, own in items:
+            o = SPACE.findall((own or "").lower())
+            if len(o) < min_words:
+                places = [k for k in range(len(t) - len(o) + 1) if o and t[k : k + len(o)] == o]
+                if places and (len(o) >= 5 or len(t) == len(o)):
+                    out.add((d, i))
+                continue
+            for shift in range(-len(o) + 1, len(t)):
+                a, b = max(0, shift), min(len(t), shift + len(o))
+                equal = [x == y for x, y in zip(t[a:b], o[a - shift : b - shift], strict=True)]
+                if any(sum(equal[x:y]) >= min_words and 5 * sum(equal[x:y]) >= 4 * (y - x) for x in range(len(equal)) for y in range(x + min_words, len(equal) + 1)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_against_every_offset(spark):
+    """Nothing is found that isn't there; of what is there, the masks find all stretches of eight unchanged words and most others."""
+    r = random.Random(9)
+    word = lambda: r.choice("abcdefghijklmnopqrst")
+    items = [(k, " ".join(word() for _ in range(r.randint(1, 14)))) for k in range(20)] + [(50, " ".join(["x"] * 12)), (51, "a b c d e f"), (52, "a b c")]
+    docs = [(900, "x " * 30), (901, "so A b c d e f it is"), (902, "a b c"), (903, "so a b c it is"), (904, None), (905, "")]
+    for k, own in items[:20]:
+        w = own.split()
+        for at in (None, *range(0, len(w), 3)):
+            docs.append((100 * k + (at or 0) + (at is not None), " ".join([word(), *(v if j != at else "zz" for j, v in enumerate(w)), word(), word()])))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_overlaps(docs, items)
+    assert got <= want and len(got) >= 0.9 * len(want)
+    plain = {(d, i) for d, t in docs for i, o in items if len(o.split()) >= 8 and any(" ".join(o.split()[k : k + 8]) in (t or "").lower() for k in range(len(o.split()) - 7))}
+    assert plain <= got and {(901, 51), (902, 52)} <= got and (903, 52) not in got
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import resource
+    import time
+
+    import pyarrow as pa
+
+    from tessera.llm.common import Words
+
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index = decontaminate.Index([1, 2], ["0 " * 100, "0 " * 60 + "other words at the end of this item"])
+    found = index.overlaps(Words(pa.chunked_array([["0 " * 100_000, "nothing"]])), 8)
+    assert {(x[0], x[1], x[4]) for x in found} == {(0, 1, 100), (0, 2, 60)}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and time.time() - began < 60
+
+
+def test_too_few_words_for_a_mask(spark, corpus):
+    docs, items = (spark.read.parquet(f"{corpus[0]}/{t}.parquet") for t in ("documents", "benchmark"))
+    with pytest.raises(ValueError, match="masks"):
+        decontaminate.overlaps(docs, items, min_words=7)
+
+
 def test_stretch_has_the_most_equal_words():
     r = np.random.default_rng(1)
     for _ in range(300):
