@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +149,9 @@ def ids_of(table: pa.Table, name: str) -> list:
 def prefixed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under names of its own: extra columns of any name do no harm."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow over all columns, which keep their types and names; a name may hold dots or stand twice."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix, prefixed, read, slices
+from tessera.llm.common import Words, mapped, mix, prefixed, read, slices
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("11111111", "1110110111", "110101101011", "1011100111011")
@@ -219,7 +219,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MI
     _checked(min_words)
     at = docs.columns.index(text_col)
     for index in _indexes(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(index), at, min_words), docs.schema)
+        docs = mapped(docs, _filter(docs.sparkSession.sparkContext.broadcast(index), at, min_words))
     return docs
 
 

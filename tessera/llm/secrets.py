@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prefixed, read
+from tessera.llm.common import mapped, prefixed, read
 
 BASE = ("assign", "access", "hex")
 CONFIRMED = ("jwt", "key")
@@ -276,15 +276,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text_col replaced; all rows and columns stay."""
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = pa.array([redacted(t.as_py()) for t in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([clean if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema.set(at, pa.field(text_col, pa.string())))
+            yield pa.RecordBatch.from_arrays([clean if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema.set(at, pa.field(batch.schema.names[at], pa.string())))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
