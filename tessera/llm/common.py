@@ -47,7 +47,10 @@ def frequent_keys(df: DataFrame, *key: str, share: int = 1000, least: int = 1000
 def lookup(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame, share: int = 1000, least: int = 1000) -> DataFrame:
     """left with the columns of right, which has a row for each key. counts (key, n) tells the rows of left by key: keys with more
     than a `share`-th of them, at most `share`, are looked up in a broadcast, so that they fill no task."""
-    limit = max(left.count() // share, least)
+    rows = left.count()
+    if rows <= least:
+        return left.join(right, key, "left")
+    limit = max(rows // share, least)
     hot = F.broadcast(counts.where(F.col("n") > limit).select(*key))
     few = F.broadcast(right.join(hot, key, "left_semi"))
     return left.join(hot, key, "left_anti").join(right, key, "left").unionByName(left.join(few, key))
