@@ -4,11 +4,15 @@ Windows travel as super-k-mers. The minimiser of a window is its gram of `gram`
 equal ones; consecutive windows with the same minimiser occurrence form one run, packed as one string. Equal windows have equal
 minimisers at equal offsets, so they can only meet between runs of one minimiser, and never inside one run.
 
-1. Documents are dealt by hash into chunks of bounded size. Each chunk names its distinct minimisers; a count over all chunks
-   tells which occur more than once. Only their runs can hold a repeated window, so only these travel on.
+1. Documents are dealt by hash into chunks of bounded size. Each chunk names its distinct minimisers and how many windows they
+   have; a sum over all chunks tells which occur more than once. Only their runs can hold a repeated window, so only these travel
+   on. A minimiser with over HOT_WINDOWS windows is hot: each of its windows counts as a run of its own, whose minimiser is the
+   hash of the whole window, and these are named and counted once more, so that only windows that may repeat travel on, spread
+   over all buckets.
 2. Each chunk packs its distinct runs, one string for all copies in it, and sends them to the bucket of their minimiser.
-3. In a bucket, windows are first set apart by minimiser and offset, then by radix passes from the most significant digit on,
-   where groups of one window leave at once. What is left after the last pass are the repeated windows, exactly.
+3. In a bucket, windows are sorted by digits: first by minimiser and its offset in the window, then by radix passes from the most
+   significant units on, where groups of one window leave at once. What is left after the last pass, with the copies that a string
+   stands for, are the repeated windows, exactly.
 4. Verdicts return to the chunks, which mark what repeated windows cover.
 
 A hot passage costs a bucket one row for each chunk that holds it, and the text itself is shuffled once.
@@ -23,11 +27,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.common import _BASE, _BASE_INV, _BYTE, Words, mix, parts_for, powers, prefixed, slices, utf8
 
 CHUNK_MB = 8
+#: Windows of one minimiser beyond which each is judged under its own hash.
+HOT_WINDOWS = 200_000
 _POS_BITS = 28
+#: Grams whose minimisers are found at a time.
+_PIECE = 1 << 22
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -40,16 +49,19 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def minimiser_runs(grams: np.ndarray, first: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimiser's hash) of the runs; a window is named by its first gram."""
+def minimiser_runs(grams: np.ndarray, first: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, minimiser's hash, minimiser's place in the first window) of the runs; a window is named by
+    its first gram."""
     none = np.zeros(0, np.int64)
     if len(grams) < w:
-        return none, none, np.zeros(0, np.uint64)
-    if len(grams) >> _POS_BITS:
-        raise ValueError("a text of over 2**28 units")
+        return none, none, np.zeros(0, np.uint64), none
     high = np.uint64((1 << 64) - (1 << _POS_BITS))
-    least = sliding_min((grams & high) | np.arange(len(grams), dtype=np.uint64), w)
-    at = (least & ~high).astype(np.int64)
+    pieces = []
+    for k in range(0, len(grams) - w + 1, _PIECE):
+        piece = grams[k : k + _PIECE + w - 1]
+        least = sliding_min((piece & high) | np.arange(len(piece), dtype=np.uint64), w)
+        pieces.append((least & ~high).astype(np.int64) + k)
+    at = np.concatenate(pieces)
     count = np.maximum(np.diff(first) - w + 1, 0)
     valid = np.zeros(len(grams) + 1, np.int8)
     has = count > 0
@@ -57,11 +69,11 @@ def minimiser_runs(grams: np.ndarray, first: np.ndarray, w: int) -> tuple[np.nda
     np.add.at(valid, (first[:-1] + count)[has], -1)
     window = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
     if not len(window):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     p = at[window]
     new = np.concatenate(([True], (p[1:] != p[:-1]) | (window[1:] != window[:-1] + 1)))
     start = np.flatnonzero(new)
-    return window[start], np.diff(np.append(start, len(window))), grams[p[start]]
+    return window[start], np.diff(np.append(start, len(window))), grams[p[start]], p[start] - window[start]
 
 
 def equal_groups(units: np.ndarray, start: np.ndarray, length: int, per: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +109,12 @@ def equal_groups(units: np.ndarray, start: np.ndarray, length: int, per: int, la
 
 
 class Chunk:
-    """The documents of one chunk in order of id, their units, and their runs."""
+    """The documents of one chunk in order (of id, if that tells which place is first), their units, and their runs."""
 
-    def __init__(self, table: pa.Table, unit: str, length: int, gram: int):
-        order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")])
+    def __init__(self, table: pa.Table, unit: str, length: int, gram: int, by_id: bool):
+        order = pc.sort_indices(table, [("doc_id", "ascending")] * by_id + [("text", "ascending")])
         self.table = table.select(["doc_id", "text"]).take(order)
-        raws, starts, counts, hashes, docs, offsets, sizes = [], [], [], [], [], [], []
+        raws, starts, counts, hashes, docs, offsets, sizes, places = [], [], [], [], [], [], [], []
         unit_at = doc_at = byte_at = 0
         edges = []  # byte starts and ends of words
         for part in slices(self.table, "text", 1 << 20):
@@ -121,12 +133,13 @@ class Chunk:
                 grams = mix((total[gram:] - total[:-gram]) * powers(_BASE_INV, max(1, len(raw)))[: max(0, len(total) - gram)]) if len(raw) >= gram else np.zeros(0, np.uint64)
                 keep = np.repeat(first[:-1] - gram_first[:-1], count) + np.arange(gram_first[-1])
                 grams = grams[keep] if len(keep) != len(grams) else grams
-            window, n, anchor = minimiser_runs(grams, gram_first, length - gram + 1)
+            window, n, anchor, place = minimiser_runs(grams, gram_first, length - gram + 1)
             doc = np.searchsorted(gram_first, window, side="right") - 1
             starts.append(window - gram_first[doc] + first[doc] + unit_at)
             docs.append(doc + doc_at)
             counts.append(n)
             hashes.append(anchor)
+            places.append(place)
             offsets.append(first[:-1] + unit_at)
             raws.append(raw)
             sizes.append(np.diff(first))
@@ -134,7 +147,7 @@ class Chunk:
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         self.raw = join(raws, np.uint8).tobytes()
         self.start, self.n, self.doc = join(starts, np.int64), join(counts, np.int64), join(docs, np.int64)
-        self.anchor, self.length, self.units = join(hashes, np.uint64), length, unit_at
+        self.anchor, self.place, self.length, self.units = join(hashes, np.uint64), join(places, np.int64), length, unit_at
         self.first, self.size = join(offsets, np.int64), join(sizes, np.int64)
         if unit == "word":
             self.begin, self.end = join([a for a, _ in edges], np.int64), join([b for _, b in edges], np.int64)
@@ -142,21 +155,44 @@ class Chunk:
             self.begin = self.end = None
 
     def packed(self, run: np.ndarray) -> list[bytes]:
-        """The runs as strings."""
-        a, b = self.start[run], self.start[run] + self.n[run] + self.length - 1
+        """The runs as strings; -1 - s is the run of only the window that starts at unit s."""
+        one = run < 0
+        a = np.where(one, -1 - run, self.start[np.where(one, 0, run)] if len(self.start) else 0)
+        b = a + self.length - 1 + np.where(one, 1, self.n[np.where(one, 0, run)] if len(self.n) else 1)
         if self.begin is not None:
             a, b = self.begin[a], self.end[b - 1]
         raw = self.raw
         return [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
+    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first unit, hash of the whole window) of all windows of these minimisers, in order."""
+        runs = np.flatnonzero(np.isin(self.anchor, anchors))
+        raw = np.frombuffer(self.raw, np.uint8)
+        starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        cut = np.cumsum(self.n[runs] + self.length) // (1 << 17)
+        for some in np.split(runs, np.flatnonzero(np.diff(cut)) + 1):
+            if not len(some):
+                continue
+            n = self.n[some]
+            at = np.repeat(self.start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            a, b = (at, at + self.length) if self.begin is None else (self.begin[at], self.end[at + self.length - 1])
+            low, high = a[np.cumsum(n) - n], b[np.cumsum(n) - 1]  # bytes of each run
+            size = high - low
+            own = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw[own]] * powers(_BASE, len(own)), dtype=np.uint64)))
+            moved = np.repeat((np.cumsum(size) - size) - low, n)
+            hashes.append(mix((total[b + moved] - total[a + moved]) * powers(_BASE_INV, len(own))[a + moved] + (b - a).astype(np.uint64)))
+            starts.append(at)
+        return np.concatenate(starts), np.concatenate(hashes)
+
 
 def _rows(kind: pa.Schema, **columns: list) -> pa.Table:
     return pa.table({f.name: pa.array(columns[f.name], f.type) for f in kind}, schema=kind)
 
 
-_NAMED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("anchors", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int64()), ("anchors", pa.binary())])
-_PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+_NAMED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("anchors", pa.binary()), ("times", pa.binary()), ("windows", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary()), ("single", pa.binary())])
+_PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary()), ("place", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 _VERDICT = pa.schema([("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("flags", pa.binary())])
 
 
@@ -176,58 +212,53 @@ def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """Of the minimisers of one part, those named twice; a chunk names one twice if it holds it more than once."""
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *_numbers(column, kind)])
+
+
+def _named(chunk: int, keys: np.ndarray, windows: np.ndarray, parts: int) -> pa.Table:
+    """The distinct keys of a chunk with how often it holds them and how many windows they have, by part."""
+    values, of = np.unique(keys, return_inverse=True)
+    times, total = np.bincount(of, minlength=len(values)), np.bincount(of, windows, len(values)).astype(np.int64)
+    split = _split(values, parts)
+    return _rows(_NAMED, part=[p for p, _ in split], chunk=[chunk] * len(split), anchors=[values[x].tobytes() for _, x in split], times=[times[x].tobytes() for _, x in split], windows=[total[x].tobytes() for _, x in split])
+
+
+def _repeated(table: pa.Table, limit: int | None) -> pa.Table:
+    """Of the minimisers of one part, those that occur more than once, told to the chunks that named them; they are hot if they have
+    more windows than limit. Without a limit they are hashes of windows."""
     named = _numbers(table["anchors"], "<u8")
-    values, count = np.unique(np.concatenate(named), return_counts=True)
-    more = values[count > 1]
-    chunks, out = [], []
+    values, of = np.unique(np.concatenate(named), return_inverse=True)
+    times, windows = (np.bincount(of, _joined(table[c], "<i8"), len(values)) for c in ("times", "windows"))
+    more = values[times > 1]
+    single = limit is None
+    hot = more[:0] if single else values[(times > 1) & (windows > limit)]
+    rows: dict[str, list] = {f.name: [] for f in _BACK}
     for chunk, own in zip(table["chunk"].to_pylist(), named, strict=True):
-        mine = np.unique(own[np.isin(own, more)])
+        mine = own[np.isin(own, more)]
         if len(mine):
-            chunks.append(chunk)
-            out.append(mine.tobytes())
-    return _rows(_BACK, chunk=chunks, anchors=out)
+            is_hot = np.isin(mine, hot)
+            for field, value in (("chunk", chunk), ("anchors", b"" if single else mine[~is_hot].tobytes()), ("hot", mine[is_hot].tobytes()), ("single", mine.tobytes() if single else b"")):
+                rows[field].append(value)
+    return _rows(_BACK, **rows)
 
 
 def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.Table:
     """For each packed run of one bucket, a flag for each of its windows: 0 stands once; 1 every place of it is repeated; 2 so is
     every place but the first in its chunk, which is the first of all (only with keep_first)."""
     chunk = np.repeat(np.arange(table.num_rows), [len(x.as_py()) // 8 for x in table["anchor"]])
-    many = lambda name, kind: np.concatenate(_numbers(table[name], kind))
-    run, n, doc, at, anchor, size = many("run", "<i8"), many("n", "<i8"), many("doc", "<i8"), many("at", "<i8"), many("anchor", "<u8"), many("size", "<i8")
+    run, n, doc, at, place, size = (_joined(table[c], "<i8") for c in ("run", "n", "doc", "at", "place", "size"))
     strings: list[bytes] = []
     for raw, sizes in zip(table["bytes"], _numbers(table["size"], "<i8"), strict=True):
         raw, ends = raw.as_py(), np.cumsum(sizes).tolist()
         strings += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    copies = np.ones(len(n), np.int64)
-    copies[n < 0] = 2  # stands more than once in its chunk
+    copied = n < 0  # stands more than once in its chunk
     n = np.abs(n)
-    seen: dict[bytes, int] = {}
-    text = np.array([seen.setdefault(s, len(seen)) for s in strings], np.int64)  # a run's string tells its minimiser
-    total = np.bincount(text, copies, len(seen)).astype(np.int64)
-    one = np.empty(len(seen), np.int64)
-    one[text[::-1]] = np.arange(len(text))[::-1]  # a packed run that has the string
     ids = np.array(table["chunk"].to_pylist(), np.int64)[chunk]
-    owner = one.copy()  # the packed run with the first place of the string
-    if keep_first:
-        order = np.lexsort((ids, at, doc, text))
-        owner = order[np.concatenate(([True], np.diff(text[order]) != 0))]
-    family = np.unique(anchor[one], return_inverse=True)[1]
-    alone = np.bincount(family)[family] == 1
-    out = [np.zeros(k, np.uint8) for k in n.tolist()]
-    whole = alone & (total > 1)
-    for k in np.flatnonzero(whole[text]).tolist():
-        out[k][:] = 2 if keep_first and owner[text[k]] == k else 1
-    mixed = np.flatnonzero(~alone)
-    mixed = mixed[np.argsort(family[mixed], kind="stable")]
-    members: list[list[int]] | None = None
-    for batch in _batches(mixed, family, n[one]):
-        if members is None:
-            members = [[] for _ in seen]
-            for k in np.flatnonzero(~alone[text]).tolist():
-                members[text[k]].append(k)
-        words = [strings[one[t]] for t in batch.tolist()]
+    family = np.unique(_joined(table["anchor"], "<u8"), return_inverse=True)[1]
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(n)
+    for batch in _batches(np.argsort(family, kind="stable"), family, n):
+        words = [strings[k] for k in batch.tolist()]
         if unit == "word":
             parts = [w.split(b" ") for w in words]
             names: dict[bytes, int] = {}
@@ -237,28 +268,22 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
             units = np.frombuffer(b"".join(words), np.uint8)
             sizes, per = np.array([len(w) for w in words]), 8
         first = np.cumsum(sizes) - sizes
-        count = n[one[batch]]
+        count = n[batch]
         of = np.repeat(np.arange(len(batch)), count)
         j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        index, group = equal_groups(units, first[of] + j, length, per, family[batch][of])
-        flag = np.zeros(len(of), np.uint8)
-        flag[(total[batch] > 1)[of]] = 1
+        index, group = equal_groups(units, first[of] + j, length, per, family[batch][of] * length + place[batch][of] - j)
+        flag = copied[batch][of].astype(np.uint8)
         flag[index] = 1
-        best = owner[batch][of]  # for windows that stand in one string only
-        place_doc, place_at, place_chunk = doc[best], at[best] + j, ids[best]
-        first_of = np.ones(len(of), bool)
-        if keep_first and len(index):
-            order = np.lexsort((place_chunk[index], place_at[index], place_doc[index], group))
-            lead = np.concatenate(([True], np.diff(group[order]) != 0))
-            first_of[index] = False
-            first_of[index[order[lead]]] = True
-        ends = np.cumsum(count)
-        for k, t in enumerate(batch.tolist()):
-            own, lead = flag[ends[k] - count[k] : ends[k]], first_of[ends[k] - count[k] : ends[k]]
-            if not own.any():
-                continue
-            for x in members[t]:
-                out[x] = np.where(lead & (own > 0), np.uint8(2), own) if keep_first and x == owner[t] else own
+        if keep_first:
+            lead = np.ones(len(of), bool)
+            lead[index] = False
+            if len(index):
+                k = batch[of[index]]
+                order = np.lexsort((ids[k], at[k] + j[index], doc[k], group))
+                lead[index[order[np.concatenate(([True], np.diff(group[order]) != 0))]]] = True
+            flag[lead & (flag > 0)] = 2
+        for k, own in zip(batch.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
+            out[k] = own
     told = np.array([f.any() for f in out], bool) if len(out) else np.zeros(0, bool)
     chunks, runs, sizes, flags = [], [], [], []
     for k, name in enumerate(table["chunk"].to_pylist()):
@@ -288,70 +313,100 @@ def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int
 
 def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """finish(chunk, covered) for each chunk of documents, where covered tells for each unit whether a repeated window covers it;
-    with keep_first, a window's first place (by document id, then position) doesn't count as repeated."""
+    with keep_first, a window's first place (by document id, then position) doesn't count as repeated; then ids must be integers."""
     spark = docs.sparkSession
     slim = prefixed(docs, doc_id=id_col, text=text_col)
+    if keep_first and not isinstance(slim.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("the first place is told by an integer id")
     mb = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     chunks = int(mb / CHUNK_MB) + 1
     parts = parts_for(spark, mb, 4 * CHUNK_MB)
-    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    # rows that share an id, or have none, are told apart by where they are read
+    place = F.xxhash64(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.spark_partition_id())
     dealt = slim.select("doc_id", "text", F.pmod(place, F.lit(chunks)).alias("chunk")).repartition(max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk").groupBy("chunk")
+    limit = HOT_WINDOWS
+    chunk_of = lambda table: Chunk(table, unit, length, gram, keep_first)
 
     def name(key: tuple, table: pa.Table) -> pa.Table:
-        values, count = np.unique(Chunk(table, unit, length, gram).anchor, return_counts=True)
-        values = np.concatenate((values, values[count > 1]))
-        split = _split(values, parts)
-        return _rows(_NAMED, part=[p for p, _ in split], chunk=[key[0].as_py()] * len(split), anchors=[values[x].tobytes() for _, x in split])
+        own = chunk_of(table)
+        return _named(key[0].as_py(), own.anchor, own.n, parts)
+
+    def name_hot(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
+        hot = _joined(back["hot"], "<u8")
+        if not table.num_rows or not len(hot):
+            return _NAMED.empty_table()
+        keys = chunk_of(table).windows(hot)[1]
+        return _named(key[0].as_py(), keys, np.ones(len(keys), np.int64), parts)
 
     def pack(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows or not back.num_rows:
             return _PACKED.empty_table()
-        own = Chunk(table, unit, length, gram)
-        run = np.flatnonzero(np.isin(own.anchor, np.concatenate(_numbers(back["anchors"], "<u8"))))
+        own = chunk_of(table)
+        run = np.flatnonzero(np.isin(own.anchor, _joined(back["anchors"], "<u8")))
+        start, anchor, n, at = own.start[run], own.anchor[run], own.n[run], own.place[run]
+        if len(hot := _joined(back["hot"], "<u8")):
+            one, hashed = own.windows(hot)
+            met = np.isin(hashed, _joined(back["single"], "<u8"))
+            one, hashed = one[met], hashed[met]
+            run, start, anchor = np.concatenate((run, -1 - one)), np.concatenate((start, one)), np.concatenate((anchor, hashed))
+            n, at = np.concatenate((n, np.ones(len(one), np.int64))), np.concatenate((at, np.zeros(len(one), np.int64)))
         strings: dict[bytes, int] = {}
         packed = own.packed(run)
         many = np.array([strings.setdefault(s, k) for k, s in enumerate(packed)], np.int64)  # index of the first with the string
         lead = np.array(list(strings.values()), np.int64)
         copies = np.bincount(many, minlength=len(run))[lead]
-        lead_run = run[lead]
-        doc = np.array([(1 << 62) if x is None else x for x in own.table["doc_id"].to_pylist()], np.int64)[own.doc[lead_run]]
-        at = own.start[lead_run] - own.first[own.doc[lead_run]]
-        n = np.where(copies > 1, -own.n[lead_run], own.n[lead_run])
+        run, start, anchor, n, at = (x[lead] for x in (run, start, anchor, n, at))
+        doc = np.searchsorted(own.first, start, side="right") - 1
+        if keep_first:
+            ids = np.array([(1 << 62) if x is None else x for x in own.table["doc_id"].to_pylist()], np.int64)[doc]
+        else:
+            ids = np.zeros(len(doc), np.int64)
+        n = np.where(copies > 1, -n, n)
+        size = np.array([len(packed[k]) for k in lead.tolist()], np.int64)
+        columns = {"run": run, "n": n, "doc": ids, "at": start - own.first[doc], "anchor": anchor, "place": at, "size": size}
         rows = {f.name: [] for f in _PACKED}
-        for part, x in _split(own.anchor[lead_run], parts):
-            text = [packed[k] for k in lead[x].tolist()]
-            size = np.array([len(s) for s in text], np.int64)
-            for field, value in (("part", part), ("chunk", key[0].as_py()), ("run", lead_run[x].tobytes()), ("n", n[x].tobytes()), ("doc", doc[x].tobytes()), ("at", at[x].tobytes()), ("anchor", own.anchor[lead_run[x]].tobytes()), ("size", size.tobytes()), ("bytes", b"".join(text))):
-                rows[field].append(value)
+        for part, x in _split(anchor, parts):
+            for field, value in columns.items():
+                rows[field].append(value[x].tobytes())
+            rows["part"].append(part)
+            rows["chunk"].append(key[0].as_py())
+            rows["bytes"].append(b"".join([packed[k] for k in lead[x].tolist()]))
         return _rows(_PACKED, **rows)
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        own = Chunk(table, unit, length, gram)
+        own = chunk_of(table)
         edge = np.zeros(own.units + 1, np.int32)
         if told.num_rows and table.num_rows:
-            lead = np.concatenate(_numbers(told["run"], "<i8"))
-            n = np.concatenate(_numbers(told["n"], "<i8"))
+            lead, n = _joined(told["run"], "<i8"), _joined(told["n"], "<i8")
             flags = b"".join(x.as_py() for x in told["flags"])
             ends = np.cumsum(n).tolist()
             verdict = {s: np.frombuffer(flags[b - k : b], np.uint8) for s, b, k in zip(own.packed(lead), ends, n.tolist(), strict=True)}
-            run = np.flatnonzero(np.isin(own.anchor, np.unique(own.anchor[lead])))
-            met: set[bytes] = set()
-            for s, start in zip(own.packed(run), own.start[run].tolist(), strict=True):
+            run = np.flatnonzero(np.isin(own.anchor, np.unique(own.anchor[lead[lead >= 0]])))
+            start = own.start[run]
+            if len(one := -1 - lead[lead < 0]):
+                hot = np.unique(own.anchor[np.searchsorted(own.start, one, side="right") - 1])
+                every, hashed = own.windows(hot)
+                met = np.isin(hashed, hashed[np.searchsorted(every, one)])
+                run, start = np.concatenate((run, -1 - every[met])), np.concatenate((start, every[met]))
+            seen: set[bytes] = set()
+            for s, begin in zip(own.packed(run), start.tolist(), strict=True):
                 flag = verdict.get(s)
                 if flag is None:
                     continue
-                if keep_first and s not in met:  # runs stand in order of id and position
-                    met.add(s)
-                    at = np.flatnonzero(flag == 1) + start
+                if keep_first and s not in seen:  # runs stand in order of id and position
+                    seen.add(s)
+                    at = np.flatnonzero(flag == 1) + begin
                 else:
-                    at = np.flatnonzero(flag) + start
+                    at = np.flatnonzero(flag) + begin
                 edge[at] += 1  # the windows of one run start at different places
                 edge[at + length] -= 1
         return finish(own, np.cumsum(edge[:-1]) > 0)
 
-    # one query, in which the dealt texts are one exchange that all three steps read
+    # one query, in which the dealt texts are one exchange that all steps read
     named = dealt.applyInArrow(name, _sql(_NAMED))
-    back = named.groupBy("part").applyInArrow(lambda table: _repeated_anchors(table), _sql(_BACK))
-    packed = dealt.cogroup(back.groupBy("chunk")).applyInArrow(pack, _sql(_PACKED))
+    back = named.groupBy("part").applyInArrow(lambda table: _repeated(table, limit), _sql(_BACK))
+    hot = dealt.cogroup(back.groupBy("chunk")).applyInArrow(name_hot, _sql(_NAMED))
+    single = hot.groupBy("part").applyInArrow(lambda table: _repeated(table, None), _sql(_BACK))
+    packed = dealt.cogroup(back.union(single).groupBy("chunk")).applyInArrow(pack, _sql(_PACKED))
     told = packed.groupBy("part").applyInArrow(lambda table: _verdicts(table, unit, length, keep_first), _sql(_VERDICT))
     return dealt.cogroup(told.groupBy("chunk")).applyInArrow(mark, schema)

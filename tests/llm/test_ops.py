@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, entries, minhash, pii, quality, secrets, sharding, substrings, suffixes, topk
+from tessera.llm import bpe, decontaminate, entries, minhash, pii, quality, secrets, sharding, substrings, suffixes, topk, windows
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
@@ -447,7 +447,44 @@ def test_stretch_has_the_most_equal_words():
         assert n == best == equal[start : start + size].sum() and 5 * n >= 4 * size
 
 
-def test_op7(spark, corpus):
+@pytest.fixture(params=[200_000, 0], ids=["runs", "single windows"])
+def hot_windows(request, monkeypatch):
+    """Every repeated minimiser is hot, or none is."""
+    monkeypatch.setattr(windows, "HOT_WINDOWS", request.param)
+    monkeypatch.setattr(windows, "CHUNK_MB", 0.05)
+
+
+def test_a_very_long_text_is_cut_into_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    grams, first = rng.integers(0, 1 << 62, 5000, dtype=np.uint64), np.array([0, 7, 7, 3000, 5000])
+    whole = windows.minimiser_runs(grams, first, 31)
+    monkeypatch.setattr(windows, "_PIECE", 100)
+    assert all((a == b).all() for a, b in zip(whole, windows.minimiser_runs(grams, first, 31), strict=True))
+    start, n, anchor, place = whole
+    for s, k, a, p in zip(start.tolist(), n.tolist(), anchor.tolist(), place.tolist(), strict=True):
+        for j in range(k):
+            own = grams[s + j : s + j + 31]
+            assert a == own[p - j] and (own >> np.uint64(28) >= np.uint64(a) >> np.uint64(28)).all()
+
+
+def test_one_gram_in_every_text(spark, monkeypatch):
+    """A common phrase in other surroundings each time: its minimiser is hot, and hardly any of its windows travels."""
+    monkeypatch.setattr(windows, "HOT_WINDOWS", 1000)
+    monkeypatch.setattr(windows, "CHUNK_MB", 0.02)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**9)}"
+    phrase = "all rights are reserved here"
+    rows = [(k, " ".join([*(word() for _ in range(40)), phrase, *(word() for _ in range(40))])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(5)]
+    got = {x.doc_id: x.n_removed for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: 85 for j in range(5) for k in (j, 1000 + j)}
+    named = spark.createDataFrame([(str(k), t) for k, t in rows[:8]] + [("x", rows[0][1])], "name string, text string")
+    assert {x.doc_id for x in substrings.remove_repeats(named, id_col="name").collect() if x.n_removed} == {"0", "x"}
+    with pytest.raises(TypeError, match="integer"):
+        suffixes.remove_later(named, id_col="name")
+
+
+def test_op7(spark, corpus, hot_windows):
     root, rows = corpus
     words = [SPACE.findall(t or "") for _, t in rows]
     count = collections.Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
@@ -461,7 +498,7 @@ def test_op7(spark, corpus):
     assert bag(substrings.op7_substring_dedup(spark, root).collect()) == bag(want)
 
 
-def test_op8(spark, corpus):
+def test_op8(spark, corpus, hot_windows):
     root, rows = corpus
     seen, want = set(), []
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
