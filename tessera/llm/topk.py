@@ -7,13 +7,15 @@ follows from the k-th best score so far. It skips cells whose whole range of r i
 outwards from d, with R shrinking, until the bound ends it.
 
 Pivots, and the first bound of each query, come from SAMPLE vectors with the smallest hashes: the bound is the k-th best score
-of real rows, so it is safe whatever the sample. All vectors are indexed and results are exact. Cells are cut into blocks of
-BLOCK vectors and queries into blocks of BLOCK queries, so no task grows with the input. Of equal vectors only those with the k + 1
-smallest ids can be among a query's k best, so only these are compared.
-
-Defined cases: vectors that are null, empty, without an id, hold null or non-finite components, or have another dimension than
-most take no part; repeated rows (same id and vector) are candidates of their own for every query of another id; fewer than k
-candidates give fewer ranks; an empty table gives an empty result.
+of real rows, so it is safe whatever the sample. All vectors are indexed and results are exact: bounds are lowered by what floats
+may round. Cells are cut by r into blocks of about BLOCK vectors (by hash where many share an r), and a query goes only to the
+blocks that its radius meets. Queries are cut into parts of BLOCK, those of near pivots together, and a block goes only to parts
+that ask for it. So no task grows with the input. Of equal vectors only those with the k + 1 smallest ids can be among a query's k
+best, so only these are compared.
+
+Defined cases: vectors that are null, empty, without an id, or hold null or non-finite components take no part; a shorter vector
+counts as followed by zeros; repeated rows (same id and vector) are candidates of their own for every query of another id; fewer
+than k candidates give fewer ranks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prefixed, read
+from tessera.llm.common import checkpointed, prefixed, read
 
 SAMPLE, PIVOTS, BLOCK, STEP = 1024, 32, 8192, 512
+#: Ranges that a cell is cut into at most; beyond that, its ranges are cut by hash.
+MOST_CUTS = 1000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -38,12 +42,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     return slim.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of numbers that float64 multiplies exactly where they are small enough, else integers."""
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of `width` numbers, zeros at the end of short ones, that float64 multiplies exactly where they are small enough, else
+    integers."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = array.flatten().to_numpy(zero_copy_only=False)
-    out = flat.reshape(len(array), -1) if len(array) else np.zeros((0, 1), np.int64)
-    small = not out.size or int(np.abs(out).max()) ** 2 * out.shape[1] < 1 << 52
+    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.diff(array.offsets.to_numpy())
+    out = np.zeros((len(array), width), np.int64)
+    out[np.arange(width) < size[:, None]] = flat
+    small = not out.size or float(np.abs(out.astype(np.float64)).max()) ** 2 * width < 1 << 52
     return out.astype(np.float64) if small else out
 
 
@@ -68,24 +75,25 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose id is divisible by `every`."""
     rows = usable(vectors, id_col, vector_col, scale)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)).alias("norm"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("queries")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    whole = rows.agg(F.max(F.size("v")).alias("dim"), F.max(square).alias("norm"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("queries")).first()
     out = "query_id long, rank int, vec_id long, score long"
-    if not sizes:
+    if whole["dim"] is None:
         return vectors.sparkSession.createDataFrame([], out)
-    dim, norm, q_blocks = sizes[0]["dim"], sizes[0]["norm"], sizes[0]["queries"] // BLOCK + 1
-    rows = rows.where(F.size("v") == dim)
+    dim, norm, parts = whole["dim"], whole["norm"], whole["queries"] // BLOCK + 1
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     by_id = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     of_id = F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))
     rows = rows.withColumn("copy", by_id).where(F.col("copy") <= k + 1).withColumn("copy", of_id).where(F.col("copy") <= k).drop("copy")
     head = rows.orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(SAMPLE).collect()
-    sample, sample_ids = np.array([r["v"] for r in head], np.float64), np.array([r["vec_id"] for r in head])
+    sample = _matrix(pa.array([r["v"] for r in head], pa.list_(pa.int64())), dim).astype(np.float64)
+    sample_ids = np.array([r["vec_id"] for r in head])
     wide = np.column_stack((sample, np.sqrt(np.maximum(norm - (sample**2).sum(1), 0))))
     pivots = wide[_spread(wide, PIVOTS)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b["v"]).astype(np.float64)
+            m = _matrix(b["v"], dim).astype(np.float64)
             if not len(m):
                 continue
             m = np.column_stack((m, np.sqrt(np.maximum(norm - (m**2).sum(1), 0))))
@@ -93,12 +101,30 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "v", "cell", "r"])
 
-    index = rows.mapInArrow(keyed, "vec_id long, v array<long>, cell int, r double")
-    cells = {c["cell"]: c for c in index.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
-    blocks = {c: x["n"] // BLOCK + 1 for c, x in cells.items()}
-    order = sorted(cells)
-    low, high = np.array([cells[c]["low"] for c in order]), np.array([cells[c]["high"] for c in order])
+    index = checkpointed(rows.mapInArrow(keyed, "vec_id long, v array<long>, cell int, r double"))
+    most = index.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    cut = min(most // BLOCK + 1, MOST_CUTS)
+    shares = [k / cut for k in range(1, cut)]
+    ranges = {c["cell"]: c for c in index.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.percentile_approx("r", F.lit(shares or [0.5]), 10 * MOST_CUTS).alias("cuts")).collect()}
+    order = sorted(ranges)
+    edges = {c: np.unique(ranges[c]["cuts"]) if shares else np.zeros(0) for c in order}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, r = b["cell"].to_numpy(), b["r"].to_numpy()
+            at = np.zeros(len(cell), np.int32)
+            for c in np.unique(cell).tolist():
+                at[cell == c] = np.searchsorted(edges[c], r[cell == c], side="left")
+            yield b.append_column("range", pa.array(at))
+
+    index = index.mapInArrow(placed, "vec_id long, v array<long>, cell int, r double, range int")
+    # one row for each range: its extent, and the blocks it needs by hash
+    extents = index.groupBy("cell", "range").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).withColumn("blocks", (F.col("n") / (2 * BLOCK)).cast("int") + 1).orderBy("cell", "range").collect()
+    low, high = np.array([x["low"] for x in extents]), np.array([x["high"] for x in extents])
+    of_cell = np.array([order.index(x["cell"]) for x in extents])
+    named = [(x["cell"], x["range"], x["blocks"]) for x in extents]
     slack = 1e-6 * (1 + norm**0.5)
+    rounding = norm * dim * 2.0**-50  # of a product of two rows
 
     def reach(square: np.ndarray | float, bound: np.ndarray | float) -> np.ndarray:
         """R: no vector farther than that reaches the bound."""
@@ -106,34 +132,38 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, ids = _matrix(b["v"]).astype(np.float64), b["vec_id"].to_numpy()
-            if not len(m):
-                continue
-            square = (m**2).sum(1)
-            scores = m @ sample.T
-            scores[ids[:, None] == sample_ids[None, :]] = -np.inf
-            bound = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(m), -np.inf)
-            d = np.sqrt(np.maximum(square[:, None] + norm - 2 * m @ pivots[:, :-1].T, 0))
-            far = np.where(np.isfinite(bound), reach(square, np.where(np.isfinite(bound), bound, 0)), np.inf)
-            mine = d[:, order]
-            need = (mine - far[:, None] <= high + slack) & (mine + far[:, None] >= low - slack)
-            q, c = np.nonzero(need)
-            chosen = np.array(order)[c]
-            times = np.array([blocks[x] for x in chosen.tolist()], np.int64)
-            q, chosen, dq = np.repeat(q, times), np.repeat(chosen, times), np.repeat(mine[q, c], times)
-            block = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(q)), b["v"].take(pa.array(q)), pa.array(chosen.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(dq), pa.array(bound[q])], ["vec_id", "v", "cell", "block", "d", "bound"])
-
-    pick = F.element_at(F.create_map(*[x for c in order for x in (F.lit(c), F.lit(blocks[c]))]), F.col("cell"))
-    left = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), pick).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = queries.mapInArrow(routed, "vec_id long, v array<long>, cell int, block int, d double, bound double").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
+            m, ids = _matrix(b["v"], dim).astype(np.float64), b["vec_id"].to_numpy()
+            for k in range(0, len(m), STEP):
+                own, own_ids = m[k : k + STEP], ids[k : k + STEP]
+                square = (own**2).sum(1)
+                scores = own @ sample.T
+                scores[own_ids[:, None] == sample_ids[None, :]] = -np.inf
+                bound = np.sort(scores, 1)[:, -top] - rounding if scores.shape[1] >= top else np.full(len(own), -np.inf)
+                d = np.sqrt(np.maximum(square[:, None] + norm - 2 * own @ pivots[:, :-1].T, 0))[:, order]
+                far = np.where(np.isfinite(bound), reach(square, np.where(np.isfinite(bound), bound, 0)), np.inf)
+                mine = d[:, of_cell]
+                q, x = np.nonzero((mine - far[:, None] <= high + slack) & (mine + far[:, None] >= low - slack))
+                times = np.array([named[k][2] for k in x.tolist()], np.int64)
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                q, x = np.repeat(q, times), np.repeat(x, times)
+                told = np.array([named[k][:2] for k in x.tolist()], np.int32).reshape(-1, 2)
+                part = (d.argmin(1) * spread + own_ids % spread)[q] % parts
+                take = lambda c: c.take(pa.array(q + k))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([take(b["vec_id"]), take(b["v"]), *[pa.array(c.astype(np.int32)) for c in (told[:, 0], told[:, 1], block, part)], pa.array(d[q, of_cell[x]]), pa.array(bound[q])], ["vec_id", "v", "cell", "range", "block", "part", "d", "bound"])
+
+    top, spread = k, max(1, -(-parts // len(order)))
+    right = checkpointed(queries.mapInArrow(routed, "vec_id long, v array<long>, cell int, range int, block int, part int, d double, bound double"))
+    keys = ["cell", "range", "block", "part"]
+    needs = F.broadcast(vectors.sparkSession.createDataFrame(named, "cell int, range int, blocks int"))  # at most PIVOTS * MOST_CUTS rows
+    left = index.join(needs, keys[:2]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    left = left.join(right.select(*keys).distinct().toDF(*keys), keys[:3])
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
         if own.num_rows and asked.num_rows:
             own = own.sort_by("r")
-            m, ids, r = _matrix(own["v"]), own["vec_id"].to_numpy(), own["r"].to_numpy()
-            q, q_ids, d, bounds = _matrix(asked["v"]), asked["vec_id"].to_numpy(), asked["d"].to_numpy(), asked["bound"].to_numpy()
+            m, ids, r = _matrix(own["v"], dim), own["vec_id"].to_numpy(), own["r"].to_numpy()
+            q, q_ids, d, bounds = _matrix(asked["v"], dim), asked["vec_id"].to_numpy(), asked["d"].to_numpy(), asked["bound"].to_numpy()
             if m.dtype != q.dtype:
                 m, q = m.astype(np.int64), q.astype(np.int64)
             squares = (q.astype(np.float64) ** 2).sum(1)
@@ -154,13 +184,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
                     best = _best(scores, got, k)
                     scores, got, a, b = scores[best], got[best], na, nb
                     if len(scores) == k:
-                        bound = max(bound, float(scores[-1]))
+                        bound = max(bound, float(scores[-1]) - rounding)
                 found[0] += [q_ids[x]] * len(got)
                 found[1] += got.tolist()
                 found[2] += scores.astype(np.int64).tolist()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
-    keys = ["cell", "block", "part"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
