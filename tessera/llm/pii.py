@@ -1,15 +1,17 @@
 """Personal data: rule matches, and terms that corpus co-occurrence shows to disclose them. DataFrame functions only.
 
-Method (information-theoretic sanitisation): every found value is a protected entity. Words close to it are its context; a
-context counts once however many copies repeat it. For a term t and an entity e, PMI(e; t) = log2(p(e, t) / (p(e) p(t))) says
-how many bits t tells about e, out of the IC(e) = -log2 p(e) there are. p(t) comes from all words of the corpus'
-distinct texts, so that copies of a text change nothing; near copies count as texts of their own. A term that
-stands in at least `min_support` distinct contexts of e and tells at least `disclosure` of IC(e) discloses it: each occurrence
-of the term in any text, beside an entity or not, is a span of kind `term` with the largest share of any entity (within a base
-span it is part of that span). sanitise() generalises it to its first letter, or removes it from `removal` on.
-
-Defined cases: a null text counts as empty; repeated rows each give a row; other columns are not read; an empty table gives an
-empty result. Offsets count code points, the end is exclusive. The patterns are written with possessive loops and with starts
+Method (information-theoretic sanitisation): every found value is a protected entity, and the words close to it are its context.
+All counts are of distinct texts of the corpus, so that copies change nothing: n of them, n_e hold the entity e, n_t the term t,
+and in n_et t stands in a context of e. PMI(e; t) = log2(n * n_et / (n_e * n_t)) says how many bits t tells about e, out of the
+IC(e) = log2(n / n_e) there are. A term that stands in at least `min_support` distinct contexts of e and tells at least
+`disclosure` of IC(e) discloses it: each occurrence of the term in any text, beside an entity or not, is a span of kind `term`
+with the largest share of any entity (within a base span it is part of that span).
+
+sanitise() generalises a term to the narrowest class that no longer discloses its entity, by the same measure over classes: first
+letter and length (`[K SHORT]`), then length alone (`[SHORT]`, `[WORD]`, `[LONG]`); if even that discloses it, the term is removed.
+
+Defined cases: a null text counts as empty; repeated rows each give a row; a very long text is scanned whole; other columns are not
+read; an empty table gives an empty result. Offsets count code points, the end is exclusive. The patterns are written with possessive loops and with starts
 only where a run starts or the last match ended: they match what the plain forms do, in linear time and without recursion.
 """
 
@@ -34,7 +36,8 @@ PATTERNS = {
 _HINT = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"
 _TERM = r"\p{L}{3,}"
-#: Code points on either side of an entity that hold its context, and words taken from them.
+#: Code points on either side of an entity that hold its context, and words taken from them, unless told otherwise. They say what a
+#: context is; terms are marked wherever they stand.
 REACH, CONTEXT = 100, 5
 #: Bytes up to which the disclosing terms, and those that each text holds, are broadcast, which is checked; beyond that they are
 #: joined by an exchange.
@@ -43,6 +46,10 @@ TERM_BYTES = 32 << 20
 _RUN = 512
 
 
+_SPAN = "struct<kind:string,start:int,end:int,match:string>"
+_FOUND = "struct<start:int,end:int,share:double,put:string>"
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -96,54 +103,97 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key, key2): rows are told apart by id and text together, as an id may be null or stand twice."""
     slim = prefixed(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    # rows are told apart by id and text together: an id may be null or stand twice
-    return slim.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.hash("doc_id", "text"), "base": base_spans(F.col("text"))})
+    return slim.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.hash("doc_id", "text")})
+
+
+def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _keyed(docs, id_col, text_col).withColumn("base", base_spans(F.col("text")))
 
 
 def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["match"])).when(s["kind"] == "ip", s["match"]).otherwise(_digits(s["match"])))
 
 
-def _context(based: DataFrame) -> DataFrame:
-    """(doc_id, entity, context, words array<struct<term, start, end>>) of every base span: up to CONTEXT words on either side."""
-    one = based.where(F.size("base") > 0).select("key", "key2", "text", F.explode("base").alias("s"))
-    from_ = F.greatest(F.lit(0), F.col("s.start") - REACH)
-    one = one.select("key", "key2", _entity(F.col("s")).alias("entity"), from_.alias("left_at"), F.col("s.end").alias("right_at"), F.substring("text", from_ + 1, F.col("s.start") - from_).alias("left"), F.substring("text", F.col("s.end") + 1, F.lit(REACH)).alias("right"))
-    words = lambda side: _positions(F.col(side), _TERM, "term")
-    # a word that the edge of the piece may cut is left out
-    left = F.slice(F.reverse(F.filter(words("left"), lambda w: (w["start"] > 0) | (F.col("left_at") == 0))), 1, CONTEXT)
-    right = F.slice(F.filter(words("right"), lambda w: (w["end"] < REACH)), 1, CONTEXT)
-    moved = lambda side, at: F.transform(side, lambda w: F.struct(F.lower(w["match"]).alias("term"), (w["start"] + F.col(at)).alias("start"), (w["end"] + F.col(at)).alias("end")))
-    words_ = F.concat(moved(left, "left_at"), moved(right, "right_at"))
-    return one.select("key", "key2", "entity", words_.alias("words")).withColumn("context", F.xxhash64(F.transform("words", lambda w: w["term"])))
+def _contexts(reach: int, words: int) -> Column:
+    """array<struct<entity, terms>> of the spans in base: up to so many words on either side, within so many code points."""
+
+    def one(s: Column) -> Column:
+        low = F.greatest(F.lit(0), s["start"] - reach)
+        left = _positions(F.substring("text", low + 1, s["start"] - low), _TERM, "term")
+        right = _positions(F.substring("text", s["end"] + 1, F.lit(reach)), _TERM, "term")
+        # a word that the edge of the piece may cut is left out
+        left = F.slice(F.reverse(F.filter(left, lambda w: (w["start"] > 0) | (low == 0))), 1, words)
+        right = F.slice(F.filter(right, lambda w: w["end"] < reach), 1, words)
+        return F.struct(_entity(s).alias("entity"), F.transform(F.concat(left, right), lambda w: F.lower(w["match"])).alias("terms"))
+
+    return F.transform("base", one)
+
+
+def _spans(keyed: DataFrame, reach: int, words: int) -> DataFrame:
+    """(key, key2, copy, copy2, base, contexts) of every row: the one place where patterns are searched. copy names the text."""
+    told = keyed.withColumn("base", base_spans(F.col("text"))).select("key", "key2", F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"), "base", "text")
+    none = F.array().cast("array<struct<entity:string,terms:array<string>>>")
+    return checkpointed(told.select("key", "key2", "copy", "copy2", "base", F.when(F.size("base") > 0, _contexts(reach, words)).otherwise(none).alias("contexts")))
+
+
+def _shares(pairs: DataFrame, entities: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """(entity, term, share) from n_et, n_e and n_t."""
+    ic = F.log2(n / F.col("n_e"))
+    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    return pairs.join(entities, "entity").join(terms, "term").where(ic > 0).select("entity", "term", (pmi / ic).alias("share"))
 
 
-def disclosing_terms(based: DataFrame, min_support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def _counted(keyed: DataFrame, spans: DataFrame, as_term: Callable[[Column], Column], min_support: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(entity, term, n_et), (entity, n_e), (term, n_t) of the terms that entities have beside them, and n; as_term names the term
+    that a lower-case or other word stands for."""
+    n = spans.select("copy", "copy2").distinct().count()
+    met = spans.where(F.size("contexts") > 0).select("copy", "copy2", F.explode("contexts").alias("c")).select("copy", "copy2", "c.entity", F.transform("c.terms", as_term).alias("terms"))
+    met = checkpointed(met.distinct())
+    entities = met.select("entity", "copy", "copy2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    told = met.select("entity", "copy", "copy2", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
+    support = told.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    pairs = told.select("entity", "term", "copy", "copy2").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    pairs = checkpointed(pairs.join(support.drop("n"), ["entity", "term"]))
+    # only the terms that may disclose something reach an exchange
+    wanted = _sent(checkpointed(pairs.select("term").distinct()), F.octet_length("term") + 8)
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), as_term))
+    hits = keyed.select(F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"), F.explode(words).alias("term")).join(wanted, "term")
+    return pairs, entities, hits.distinct().groupBy("term").agg(F.count("*").alias("n_t")), n
+
+
+def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.8, reach: int = REACH, context: int = CONTEXT) -> DataFrame:
     """(entity, term, share): terms that tell at least that share of IC(entity), from counts over all distinct texts of the corpus."""
-    contexts = _context(based).groupBy("entity", "context").agg(F.min(F.transform("words", lambda w: w["term"])).alias("terms"))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = contexts.select("entity", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
-    once = based.groupBy(F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2")).agg(F.first("text").alias("text"))
-    words = once.select(F.explode(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n_t"))
-    total = words.agg(F.greatest(F.lit(2), F.sum("n_t")).alias("n"))
-    joined = pairs.join(entities, "entity").join(words, "term").join(F.broadcast(total))  # total: one row
-    ic = F.log2(F.col("n") / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return joined.where(ic > 0).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= disclosure)
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """(doc_id, base, terms) of every row: base array<struct<kind, start, end, match>>, terms array<struct<start, end, share>>."""
-    based = with_base(docs, id_col, text_col)
-    terms = checkpointed(disclosing_terms(based, min_support, disclosure).groupBy("term").agg(F.max("share").alias("share")))
+    keyed = _keyed(docs, id_col, text_col)
+    return _disclosing(keyed, _spans(keyed, reach, context), min_support, disclosure)
+
+
+def _disclosing(keyed: DataFrame, spans: DataFrame, min_support: int, disclosure: float) -> DataFrame:
+    return checkpointed(_shares(*_counted(keyed, spans, F.lower, min_support)).where(F.col("share") >= disclosure))
+
+
+def _marked(keyed: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text, base, terms): terms (term, ...) where they stand, each with the columns that terms has."""
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
-    met = based.select("key", "key2", F.explode(words).alias("term")).join(_sent(terms, F.octet_length("term") + 8), "term")
-    told = checkpointed(met.groupBy("key", "key2").agg(F.collect_set(F.struct("term", "share")).alias("told")))
-    told = _sent(told, F.aggregate("told", F.lit(12), lambda n, t: n + F.octet_length(t["term"]) + 8))
-    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    return based.join(told, ["key", "key2"], "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(_occurrences())).drop("told")
+    met = keyed.select("key", "key2", F.explode(words).alias("term")).join(_sent(terms, F.octet_length("term") + 40), "term")
+    told = checkpointed(met.groupBy("key", "key2").agg(F.collect_set(F.struct(*terms.columns)).alias("told")))
+    told = _sent(told, F.aggregate("told", F.lit(12), lambda n, t: n + F.octet_length(t["term"]) + 40))
+    based = spans.where(F.size("base") > 0).select("key", "key2", "base").dropDuplicates(["key", "key2"])
+    based = _sent(based, F.aggregate("base", F.lit(12), lambda n, s: n + F.octet_length(s["match"]) + 24))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = keyed.join(based, ["key", "key2"], "left").withColumn("base", F.coalesce("base", none(_SPAN))).join(told, ["key", "key2"], "left")
+    return rows.withColumn("terms", F.when(F.col("told").isNull(), none(_FOUND)).otherwise(_occurrences())).drop("told")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.8, reach: int = REACH, context: int = CONTEXT) -> DataFrame:
+    """(doc_id, text, base, terms) of every row: base array<struct<kind, start, end, match>>, terms array<struct<start, end, share,
+    put>>, where put is null."""
+    keyed = _keyed(docs, id_col, text_col)
+    spans = _spans(keyed, reach, context)
+    terms = _disclosing(keyed, spans, min_support, disclosure).groupBy("term").agg(F.max("share").alias("share"))
+    return _marked(keyed, spans, checkpointed(terms.withColumn("put", F.lit(None).cast("string"))))
 
 
 def _sent(df: DataFrame, size: Column) -> DataFrame:
@@ -152,8 +202,8 @@ def _sent(df: DataFrame, size: Column) -> DataFrame:
 
 
 def _occurrences() -> Column:
-    """array<struct<start, end, share>>: every place in text of the terms in told, in order, but those within a base span."""
-    spans = "array<struct<start:int,end:int,share:double>>"
+    """array<struct<start, end, share, put>>: every place in text of the terms in told, in order, but those within a base span."""
+    spans = f"array<{_FOUND}>"
     step = f"struct<at:int,run:{spans},done:array<{spans}>>"
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("m"), F.split("text", _TERM, -1).alias("gap"))
 
@@ -161,7 +211,7 @@ def _occurrences() -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.coalesce(F.length(p["m"]), F.lit(0))
         own = F.filter("told", lambda t: t["term"] == F.lower(p["m"]))
-        new = F.transform(F.filter(own, lambda t: ~F.exists("base", lambda s: (s["start"] <= start) & (s["end"] >= end))), lambda t: F.struct(start.alias("start"), end.alias("end"), t["share"].alias("share")))
+        new = F.transform(F.filter(own, lambda t: ~F.exists("base", lambda s: (s["start"] <= start) & (s["end"] >= end))), lambda t: F.struct(start.alias("start"), end.alias("end"), t["share"].alias("share"), t["put"].alias("put")))
         full = F.size(acc["run"]) >= _RUN
         run = F.when(F.size(own) == 0, acc["run"]).when(full, new).otherwise(F.concat(acc["run"], new))
         done = F.when((F.size(own) > 0) & full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"])
@@ -171,12 +221,31 @@ def _occurrences() -> Column:
     return F.aggregate(pairs, empty, put, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["run"]))))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removal: float = 0.95, **how: object) -> DataFrame:
-    """(doc_id, text): base spans become their kind in brackets; disclosing terms become their first letter and a dot, or go."""
-    found = scan(docs, id_col, text_col, **how)
+def _length(word: Column) -> Column:
+    return F.when(F.length(word) <= 5, "SHORT").when(F.length(word) <= 9, "WORD").otherwise("LONG")
+
+
+#: Classes of a word, from narrow to wide: first letter and length, then length alone.
+_CLASSES: list[Callable[[Column], Column]] = [lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit(" "), _length(w)), _length]
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, disclosure: float = 0.8, reach: int = REACH, context: int = CONTEXT) -> DataFrame:
+    """(doc_id, text): base spans become their kind in brackets; disclosing terms become the narrowest class in brackets that does
+    not disclose their entities, or go."""
+    keyed = _keyed(docs, id_col, text_col)
+    spans = _spans(keyed, reach, context)
+    terms = _disclosing(keyed, spans, min_support, disclosure)
+    for level, named in enumerate(_CLASSES):
+        wide = _shares(*_counted(keyed, spans, named, 1)).select("entity", F.col("term").alias("class"), F.col("share").alias(f"share{level}"))
+        terms = terms.withColumn("class", named(F.col("term"))).join(wide, ["entity", "class"], "left").withColumnRenamed("class", f"class{level}")
+    safe = lambda level: F.coalesce(F.col(f"share{level}"), F.lit(0.0)) < disclosure
+    depth = F.when(safe(0), 0).when(safe(1), 1).otherwise(2)  # the widest that any entity asks for
+    terms = terms.groupBy("term").agg(F.max("share").alias("share"), F.max(depth).alias("depth"))
+    put = F.when(F.col("depth") == 2, F.lit("")).otherwise(F.concat(F.lit("["), F.when(F.col("depth") == 0, _CLASSES[0](F.col("term"))).otherwise(_CLASSES[1](F.col("term"))), F.lit("]")))
+    found = _marked(keyed, spans, checkpointed(terms.select("term", "share", put.alias("put"))))
     cuts = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= removal, F.lit("")).otherwise(F.concat(F.substring("text", s["start"] + 1, F.lit(1)), F.lit("."))).alias("put"))),
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put"))),
     )
     step = "struct<at:int,out:array<string>>"
     put = lambda acc, s: F.when(s["end"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s["put"])).alias("out")).cast(step)).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("out"))).cast(step)

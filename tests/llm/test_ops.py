@@ -275,21 +275,78 @@ def test_pii_patterns(spark):
     df = pii.with_base(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").select("doc_id", "base").collect()
     own = dict(rows)
     for x in df:
-        if x.doc_id < 9000:
+        if x.doc_id != 9001:  # brute force would take quadratic time
             assert [(s.kind, s.start, s.end) for s in x.base] == pii_spans(own[x.doc_id]), own[x.doc_id]
 
 
+def brute_disclosing(texts, min_support=3, disclosure=0.8, reach=100, words=5):
+    """{(entity, term): share} by counting distinct texts."""
+    texts = set(texts)
+    term = re.compile(r"[^\W\d_]{3,}")
+    holds, beside, contexts, n_t = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+    for t in texts:
+        n_t.update({w.lower() for w in term.findall(t)})
+        for kind, a, b in pii_spans(t):
+            digits = re.sub("[^0-9]", "", t[a:b])
+            e = f"{kind}:" + {"email": t[a:b].lower(), "ip": t[a:b]}.get(kind, digits)
+            low = max(0, a - reach)
+            left = [m for m in term.finditer(t[low:a]) if m.start() > 0 or low == 0][-words:]
+            right = [m for m in term.finditer(t[b : b + reach]) if m.end() < reach][:words]
+            near = tuple(m[0].lower() for m in left[::-1] + right)
+            holds[e].add(t)
+            for w in near:
+                beside[e, w].add(t)
+                contexts[e, w].add(near)
+    n, out = len(texts), {}
+    for (e, w), where in beside.items():
+        ic = np.log2(n / len(holds[e]))
+        if len(contexts[e, w]) >= min_support and ic > 0:
+            share = np.log2(n * len(where) / (len(holds[e]) * n_t[w])) / ic
+            if share >= disclosure:
+                out[e, w] = round(float(share), 9)
+    return out
+
+
 def test_disclosing_terms(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     rows = [(k, f"{word()} {word()} zanzibar boss@corp.example {word()} the {word()}") for k in range(6)]
-    rows += [(100 + k, " ".join(["the", word(), "the", word()] * 30)) for k in range(50)]
-    found = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    said = {x.doc_id: [rows[x.doc_id][1][t.start : t.end] for t in x.terms] for x in found if x.doc_id < 100}
+    rows += [(100 + k, " ".join(["the", word(), "the", word()] * 30)) for k in range(50)] + [(200, "zucchini and others"), (201, "a zebra")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    want = brute_disclosing([t for _, t in rows])
+    assert want and {(x.entity, x.term): round(x.share, 9) for x in pii.disclosing_terms(docs).collect()} == want
+    found = pii.scan(docs).collect()
+    assert len(found) == len(rows) + 3
+    said = {x.doc_id: [x.text[t.start : t.end] for t in x.terms] for x in found if x.doc_id < 100}
     assert all(v == ["zanzibar"] for v in said.values())
     assert not any(x.terms for x in found if x.doc_id >= 100)
-    clean = {x.doc_id: x.text for x in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
+    assert clean[0].count("[") == 1  # any class still tells: few texts have a word of its length
+    wider = [(300 + k, f"z{word()}{word()[:2]} and {word()}") for k in range(32)]
+    clean = {x.doc_id: x.text for x in pii.sanitise(spark.createDataFrame(rows + wider, "doc_id long, text string")).collect()}
+    assert "[Z WORD]" in clean[0]
+
+
+def test_terms_of_the_query_are_those_of_the_corpus(spark, tmp_path):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcde") for _ in range(4))
+    rows = []
+    for k in range(400):
+        body = [word() for _ in range(r.randint(0, 30))]
+        if k % 4 == 0:
+            who = k // 4 % 5
+            body[r.randint(0, len(body)) :] = [f"Mister{'abcde'[who]}x", f"p{who}@corp.example", word()]
+        rows.append((k, " ".join(body)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    terms = {w for _, w in brute_disclosing([t for _, t in rows])}
+    assert len(terms) >= 5
+    want = {}
+    for i, t in rows:
+        base = pii_spans(t)
+        found = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in terms and not any(a <= m.start() and m.end() <= b for _, a, b in base)]
+        want[i] = ",".join([f"{k}:{a}:{b}" for k, a, b in base] + [f"term:{a}:{b}" for a, b in found])
+    assert {x.doc_id: x.spans for x in pii.op4_pii(spark, str(tmp_path)).collect()} == want
 
 
 @pytest.mark.parametrize("limit", [pii.TERM_BYTES, 0])
@@ -322,8 +379,8 @@ def test_copies_do_not_change_the_disclosing_terms(spark):
     copied = rows + [(1000 + 3 * k + j, rows[j][1]) for k in range(200) for j in range(3)]
     shares = []
     for body in (rows, copied):
-        based = pii.with_base(spark.createDataFrame(body, "doc_id long, text string"), "doc_id", "text")
-        shares.append({(x.entity, x.term): round(x.share, 9) for x in pii.disclosing_terms(based).collect()})
+        docs = spark.createDataFrame(body, "doc_id long, text string")
+        shares.append({(x.entity, x.term): round(x.share, 9) for x in pii.disclosing_terms(docs).collect()})
     assert shares[0] == shares[1] and ("email:boss@corp.example", "zanzibar") in shares[0]
 
 
