@@ -198,7 +198,7 @@ def near_rows(count, words=60):
     return rows
 
 
-@pytest.mark.parametrize(("cold", "block"), [(32, 2048), (2, 2048), (2, 5)])
+@pytest.mark.parametrize(("cold", "block"), [(1000, 512), (2, 512), (2, 5)])
 def test_groups_larger_than_the_limits(spark, monkeypatch, cold, block):
     monkeypatch.setattr(minhash, "COLD", cold)
     monkeypatch.setattr(minhash, "BLOCK", block)
