@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import text
+from tessera.operators import fields
 from tessera.operators import matching as M
 from tessera.operators.profile import Profile
 
@@ -13,21 +14,21 @@ from tessera.operators.profile import Profile
 def with_reason(listings: DataFrame, p: Profile) -> DataFrame:
     """listings with reject_reason, null for those that stay. The first rule that fails counts; of rows with one content hash the
     first by seq is judged, the others are duplicates. The hash decides the exchange, and only that one is needed."""
-    copy = F.row_number().over(Window.partitionBy("content_hash").orderBy("seq")) > 1
-    hay = F.lower(F.concat_ws(" ", text("title"), text("description"), text("requirements"), F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")))
-    told = listings.withColumns({"_hay": hay, "_copy": copy, "_years": M.required_years(F.concat_ws(" ", text("title"), text("description"), text("requirements")))})
+    words = F.concat_ws(" ", text("title"), text("description"), text("requirements"))
+    hay = F.lower(F.concat_ws(" ", words, F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")))
+    told = listings.withColumns({"_hay": hay, "_years": M.required_years(words), "_tier": M.job_tier("title", "description")})
     told = told.withColumn("_hits", M.skill_hits(F.col("_hay"), p))
-    level = M.tier_fits(M.job_tier("title", "description"), p) & M.years_fit(F.col("_years"), p)
     rules = [
-        ("duplicate", F.col("_copy")),
         ("internship", F.lit(p.exclude_internships) & M.is_internship("title", "description")),
-        ("experience_mismatch", F.lit(p.strict_experience) & ~level),
+        ("experience_mismatch", F.lit(p.strict_experience) & ~(M.tier_fits(F.col("_tier"), p) & M.years_fit(F.col("_years"), p))),
         ("enterprise_stack", M.enterprise_mismatch(F.col("_hay"), p)),
-        ("role_mismatch", ~M.role_fits(F.col("_hay"), F.lower(text("title")), F.col("_hits"), p)),
+        ("role_mismatch", ~fields.role_fits(F.lower(text("title")), F.col("_hay"), F.col("_hits"), p)),
         ("location_mismatch", ~M.place_fits("location", p)),
     ]
-    reason = F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in rules])
-    return told.withColumn("reject_reason", reason).drop("_hay", "_copy", "_years", "_hits")
+    # judged before the exchange, so that a query for reasons alone moves no texts
+    told = told.withColumn("_reason", F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in rules])).drop("_hay", "_years", "_tier", "_hits")
+    copy = F.row_number().over(Window.partitionBy("content_hash").orderBy("seq")) > 1
+    return told.withColumn("reject_reason", F.when(copy, "duplicate").otherwise(F.col("_reason"))).drop("_reason")
 
 
 def reason_counts(told: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ class Profile:
     strict_experience: bool = True
     technical: bool = True
     preferred: tuple[str, ...] = field(default=())
+    focus: str = ""
+    fields: tuple[str, ...] = ()
 
     def all_skills(self) -> list[str]:
         """Stripped, the first of those that differ only in case."""

@@ -6,29 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators import matching as M
 
+#: Bytes up to which the terms of queries, and query vectors, are broadcast.
+BROADCAST_BYTES = 32 << 20
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, length), a row for each document and term."""
-    each = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms")).select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return each.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>> of a list of terms: runs of the sorted list, so that counting stays within the row."""
+
+    def runs(items: Column) -> Column:
+        first = F.filter(F.transform(items, lambda t, k: F.when((k == 0) | (t != F.get(items, k - 1)), k)), lambda k: k.isNotNull())
+        return M.once(first, lambda starts: F.transform(starts, lambda k, j: F.struct(F.get(items, k).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(items)) - k).alias("tf"))))
+
+    return M.once(F.array_sort(terms), runs)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, id, score) of documents that share a term with a query. A term in over half of the documents gets epsilon times
-    the mean idf; a query's repeated terms count as often. Document counts and lengths come from all documents; postings meet
-    queries by term, so only documents with a term of a query are scored."""
-    posted = postings(docs, id_col, text_col)
+    """(query_id, id, score) of documents, each row one of its own, that share a term with a query. A term in over half of the
+    documents gets epsilon times the mean idf; a query's repeated terms count as often. Document counts and lengths come from all
+    documents. Term counts stay within their row: only the terms that queries ask for reach an exchange."""
+    counted = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms")).select("id", F.size("terms").alias("length"), term_counts(F.col("terms")).alias("counts"))
+    df = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     size = docs.select(F.size(tokens(text_col)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(size)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.join(F.broadcast(size)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = idf.join(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    idf = idf.join(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "mean")
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(idf, "term")
-    tf, norm = F.col("tf"), k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    hit = posted.join(wanted, "term").join(F.broadcast(size))
-    return hit.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + norm)).alias("score"))
+    wanted = sent(asked.join(idf, "term"), F.octet_length("term") + 32)
+    hit = counted.select("id", "length", F.explode("counts").alias("c")).select("id", "length", "c.term", "c.tf").join(wanted, "term")
+    norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
+    return hit.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+
+
+def sent(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked to be broadcast if its rows, of that many bytes each, have at most `most` together; else joined by an exchange."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def top(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "id") -> DataFrame:
@@ -41,10 +54,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def similarity(pool: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
     """pool with sim: the inner product with one query vector, within 0 to 1, as unit vectors have it."""
     q = F.array(*[F.lit(float(x)) for x in query])

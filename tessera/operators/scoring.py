@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dictionaries as D
 from tessera.functions import temporal as T
 from tessera.functions.text import clamped, strip, text
+from tessera.operators import fields
 from tessera.operators import matching as M
 from tessera.operators.profile import Profile
 
@@ -28,10 +29,11 @@ def early(title: Column, hay: Column, hits: Column, p: Profile) -> Column:
 
 
 def title_relevance(title: Column | str, p: Profile) -> Column:
+    """1 for a role's phrase, else what the profile's fields give, else 0.7 for a technical word."""
     low = F.lower(text(title))
     phrase = M.any_of([low.contains(r.lower()) for r in p.role_phrases()])
     family = M.any_of([low.contains(w) for w in ("engineer", "developer", "scientist", "analyst", "architect")])
-    return F.when(phrase, 1.0).when(family, 0.7).otherwise(0.0)
+    return M.once(fields.title_score(fields.fields_of(p), low), lambda score: F.when(phrase, 1.0).when(score > 0, score).when(family, 0.7).otherwise(0.0))
 
 
 def seniority_proximity(tier: Column, p: Profile) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
+from tessera.functions import taxonomy
 from tessera.functions import temporal as T
 from tessera.functions import text as X
 from tessera.operators import filters, matching, reporting, retrieval, scoring, state
@@ -221,13 +222,14 @@ def location_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROLE = _any([f"contains(hay2, '{r}')" for r in P.role_phrases()])
 _ROLE_WORDS = _any([f"CASE WHEN contains(hay2, '{t}') THEN regexp_matches(hay2, '{_word(t)}') ELSE FALSE END" for t in sorted({w for r in P.role_phrases() for w in r.split() if len(w) > 2})])
 _TECH = _any([f"contains(hay2, '{w}')" for w in D.TECH_ROLE_WORDS])
+_NEAR = _any([f"contains(hay2, '{r.lower()}')" for r in [*P.role_phrases(), *taxonomy.ROLE_FAMILIES["aiml"]][:12]] + [f"contains(lower(title), '{h}')" for h in taxonomy.TITLE_HINTS])
 _STACKS = _any([f"contains(hay2, '{s}')" for s in D.ENTERPRISE_STACKS if not any(s in t for t in P.terms())])
 _REASONS = f"""{_TIERS}, u AS (SELECT *, {_HAY} AS hay2, {_PLACE} AS place, row_number() OVER (PARTITION BY content_hash ORDER BY seq) AS copy FROM t),
 r AS (SELECT seq, CASE WHEN copy > 1 THEN 'duplicate'
   WHEN contains(lower(title || ' ' || substring(description, 1, 200)), 'intern') OR contains(lower(title || ' ' || substring(description, 1, 200)), 'trainee') THEN 'internship'
   WHEN NOT (tier BETWEEN 0 AND 2 AND (years IS NULL OR years BETWEEN 0 AND 4)) THEN 'experience_mismatch'
   WHEN {_STACKS} THEN 'enterprise_stack'
-  WHEN NOT (({_HITS.replace("(hay, ", "(hay2, ")}) >= 1 OR {_ROLE} OR ({_ROLE_WORDS} AND {_TECH})) THEN 'role_mismatch'
+  WHEN NOT (({_HITS.replace("(hay, ", "(hay2, ")}) >= 1 OR {_ROLE} OR {_NEAR} OR ({_ROLE_WORDS} AND {_TECH})) THEN 'role_mismatch'
   WHEN NOT ({_FITS}) THEN 'location_mismatch' END AS reject_reason FROM u)"""
 
 
@@ -243,7 +245,32 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.reason_counts(filters.with_reason(L.listings(spark, sf_dir), P))
 
 
-_TITLE_PART = f"CASE WHEN {_any([f"contains(lower(title), '{r}')" for r in P.role_phrases()])} THEN 1.0 WHEN {_any([f"contains(lower(title), '{w}')" for w in ('engineer', 'developer', 'scientist', 'analyst', 'architect')])} THEN 0.7 ELSE 0.0 END"
+def _holds(c: str, k: str) -> str:
+    """A keyword: a phrase anywhere, a word as a whole."""
+    if " " in k:
+        return f"contains({c}, '{k}')"
+    return f"(contains({c}, '{k}') AND regexp_matches({c}, '{_word(k)}'))" if len(k) > 2 or k in taxonomy.SHORT_TERMS else "FALSE"
+
+
+def _n_keywords(c: str, field: str) -> str:
+    return "(" + " + ".join(f"CAST({_holds(c, k)} AS INTEGER)" for k in taxonomy.FIELDS[field].keywords) + ")"
+
+
+def _tech_title(c: str) -> str:
+    return _any([_holds(c, w) for w in taxonomy.TITLE_WORDS])
+
+
+def _field_title(field: str, c: str = "lower(title)") -> str:
+    phrase = _any([f"contains({c}, '{k}')" for k in taxonomy.FIELDS[field].keywords if " " in k])
+    tech = f" WHEN {_tech_title(c)} THEN 0.7" if field == "software" else ""
+    return f"CASE WHEN {phrase} THEN 1.0 WHEN {_n_keywords(c, field)} >= 2 THEN 0.95 WHEN {_n_keywords(c, field)} = 1 THEN 0.8{tech} ELSE 0.0 END"
+
+
+_TITLE_PHRASE = _any([f"contains(lower(title), '{r}')" for r in P.role_phrases()])
+_TITLE_FAMILY = _any([f"contains(lower(title), '{w}')" for w in ("engineer", "developer", "scientist", "analyst", "architect")])
+# the profile names machine learning and PyTorch, data science, and Kubernetes
+_TITLE_FIELDS = f"greatest({', '.join(_field_title(f) for f in ('aiml', 'data_science', 'devops'))})"
+_TITLE_PART = f"CASE WHEN {_TITLE_PHRASE} THEN 1.0 WHEN {_TITLE_FIELDS} > 0 THEN {_TITLE_FIELDS} WHEN {_TITLE_FAMILY} THEN 0.7 ELSE 0.0 END"
 _SENIORITY = f"CASE abs(tier - {P.tier}) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.35 ELSE 0.0 END"
 _LOCATION = f"CASE WHEN {_REMOTE} THEN 1.0 WHEN place = '' THEN 0.4 WHEN {_MATCH} THEN 1.0 ELSE 0.2 END"
 
