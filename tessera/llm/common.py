@@ -37,16 +37,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def frequent_keys(df: DataFrame, *key: str, share: int = 1000, least: int = 1000) -> tuple[DataFrame, int]:
+def frequent_keys(df: DataFrame, *key: str, share: int = 1000, least: int = 10_000) -> tuple[DataFrame | None, int]:
     """(key, n) of the keys with more than a `share`-th of df's rows, so at most `share` keys, and the number of rows beyond
-    which a key is one of them; `least` rows are never too many."""
-    limit = max(df.count() // share, least)
+    which a key is one of them; `least` rows are never too many, and where df has no more there is no such table."""
+    rows = df.count()
+    if rows <= least:
+        return None, least
+    limit = max(rows // share, least)
     return df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > limit), limit
 
 
-def lookup(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame, share: int = 1000, least: int = 1000) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame, share: int = 1000, least: int = 100_000) -> DataFrame:
     """left with the columns of right, which has a row for each key. counts (key, n) tells the rows of left by key: keys with more
-    than a `share`-th of them, at most `share`, are looked up in a broadcast, so that they fill no task."""
+    than a `share`-th of them, at most `share`, are looked up in a broadcast, so that they fill no task; `least` slim rows of one
+    key are left to the join, which adaptive plans split."""
     rows = left.count()
     if rows <= least:
         return left.join(right, key, "left")

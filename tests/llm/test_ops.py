@@ -241,6 +241,7 @@ def test_ids_of_any_type_and_hot_copies(spark, monkeypatch):
     from tessera.llm import common
 
     monkeypatch.setattr(common.lookup, "__defaults__", (2, 1))
+    monkeypatch.setattr(common.frequent_keys, "__kwdefaults__", {"share": 2, "least": 1})
     rows = [(f"d{k:04}", t) for k, t in [*near_rows(30), *[(100 + k, "the same text in every one of these rows") for k in range(200)]]]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "name string, text string"), n=4, id_col="name").collect()
     assert bag((x.doc_id, x.n_shingles, x.component_id) for x in got) == bag(brute_components(rows, 4))
