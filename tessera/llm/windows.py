@@ -8,7 +8,7 @@ minimisers at equal offsets, so they can only meet between runs of one minimiser
    have; a sum over all chunks tells which occur more than once. Only their runs can hold a repeated window, so only these travel
    on. A minimiser with over HOT_WINDOWS windows is hot: each of its windows counts as a run of its own, whose minimiser is the
    hash of the whole window, and these are named and counted once more, so that only windows that may repeat travel on, spread
-   over all buckets.
+   over all buckets. Within a chunk, such windows are told apart by 128 bits.
 2. Each chunk packs its distinct runs, one string for all copies in it, and sends them to the bucket of their minimiser.
 3. In a bucket, windows are sorted by digits: first by minimiser and its offset in the window, then by radix passes from the most
    significant units on, where groups of one window leave at once. What is left after the last pass, with the copies that a string
@@ -33,10 +33,13 @@ from tessera.llm.common import _BASE, _BASE_INV, _BYTE, Words, mix, parts_for, p
 
 CHUNK_MB = 8
 #: Windows of one minimiser beyond which each is judged under its own hash.
-HOT_WINDOWS = 200_000
+HOT_WINDOWS = 1_000_000
+#: Windows that are sorted at a time.
+BATCH = 200_000
 _POS_BITS = 28
 #: Grams whose minimisers are found at a time.
 _PIECE = 1 << 22
+_BYTE2 = np.random.default_rng(20240201).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -164,11 +167,11 @@ class Chunk:
         raw = self.raw
         return [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
-    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first unit, hash of the whole window) of all windows of these minimisers, in order."""
+    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first unit, two hashes of the whole window) of all windows of these minimisers, in order."""
         runs = np.flatnonzero(np.isin(self.anchor, anchors))
         raw = np.frombuffer(self.raw, np.uint8)
-        starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         cut = np.cumsum(self.n[runs] + self.length) // (1 << 17)
         for some in np.split(runs, np.flatnonzero(np.diff(cut)) + 1):
             if not len(some):
@@ -178,12 +181,14 @@ class Chunk:
             a, b = (at, at + self.length) if self.begin is None else (self.begin[at], self.end[at + self.length - 1])
             low, high = a[np.cumsum(n) - n], b[np.cumsum(n) - 1]  # bytes of each run
             size = high - low
-            own = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw[own]] * powers(_BASE, len(own)), dtype=np.uint64)))
+            own = raw[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             moved = np.repeat((np.cumsum(size) - size) - low, n)
-            hashes.append(mix((total[b + moved] - total[a + moved]) * powers(_BASE_INV, len(own))[a + moved] + (b - a).astype(np.uint64)))
-            starts.append(at)
-        return np.concatenate(starts), np.concatenate(hashes)
+            hashes = []
+            for table in (_BYTE, _BYTE2):
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[own] * powers(_BASE, len(own)), dtype=np.uint64)))
+                hashes.append(mix((total[b + moved] - total[a + moved]) * powers(_BASE_INV, len(own))[a + moved] + (b - a).astype(np.uint64)))
+            out.append((at, *hashes))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _rows(kind: pa.Schema, **columns: list) -> pa.Table:
@@ -271,16 +276,22 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
         count = n[batch]
         of = np.repeat(np.arange(len(batch)), count)
         j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        index, group = equal_groups(units, first[of] + j, length, per, family[batch][of] * length + place[batch][of] - j)
+        offset = place[batch][of] - j
+        label = family[batch][of] * length + offset
         flag = copied[batch][of].astype(np.uint8)
-        flag[index] = 1
-        if keep_first:
-            lead = np.ones(len(of), bool)
+        lead = np.ones(len(of), bool)
+        step = -(-length // (1 + len(of) // BATCH))
+        for low in range(0, length, step):  # a large family by its windows' offsets, which equal windows share
+            some = np.flatnonzero((offset >= low) & (offset < low + step)) if step < length else np.arange(len(of))
+            index, group = equal_groups(units, first[of[some]] + j[some], length, per, label[some])
+            index = some[index]
+            flag[index] = 1
             lead[index] = False
-            if len(index):
+            if keep_first and len(index):
                 k = batch[of[index]]
                 order = np.lexsort((ids[k], at[k] + j[index], doc[k], group))
                 lead[index[order[np.concatenate(([True], np.diff(group[order]) != 0))]]] = True
+        if keep_first:
             flag[lead & (flag > 0)] = 2
         for k, own in zip(batch.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
             out[k] = own
@@ -297,7 +308,7 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
     return _rows(_VERDICT, chunk=chunks, run=runs, n=sizes, flags=flags)
 
 
-def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int = 200_000) -> list[np.ndarray]:
+def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int = BATCH) -> list[np.ndarray]:
     """Strings in order of family, cut between families so that a batch has about `limit` windows."""
     if not len(strings):
         return []
@@ -343,26 +354,30 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
             return _PACKED.empty_table()
         own = chunk_of(table)
         run = np.flatnonzero(np.isin(own.anchor, _joined(back["anchors"], "<u8")))
+        strings: dict[bytes, int] = {}
+        many = np.array([strings.setdefault(s, k) for k, s in enumerate(own.packed(run))], np.int64)  # index of the first with the string
+        lead = np.array(list(strings.values()), np.int64)
+        copies, run = np.bincount(many, minlength=len(run))[lead], run[lead]
+        del strings
         start, anchor, n, at = own.start[run], own.anchor[run], own.n[run], own.place[run]
         if len(hot := _joined(back["hot"], "<u8")):
-            one, hashed = own.windows(hot)
+            one, hashed, check = own.windows(hot)
             met = np.isin(hashed, _joined(back["single"], "<u8"))
-            one, hashed = one[met], hashed[met]
+            one, hashed, check = one[met], hashed[met], check[met]
+            order = np.lexsort((one, check, hashed))
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(one)), bool), (hashed[order][1:] != hashed[order][:-1]) | (check[order][1:] != check[order][:-1]))))
+            copies = np.concatenate((copies, np.diff(np.append(first, len(one)))))
+            one, hashed = one[order[first]], hashed[order[first]]
             run, start, anchor = np.concatenate((run, -1 - one)), np.concatenate((start, one)), np.concatenate((anchor, hashed))
             n, at = np.concatenate((n, np.ones(len(one), np.int64))), np.concatenate((at, np.zeros(len(one), np.int64)))
-        strings: dict[bytes, int] = {}
         packed = own.packed(run)
-        many = np.array([strings.setdefault(s, k) for k, s in enumerate(packed)], np.int64)  # index of the first with the string
-        lead = np.array(list(strings.values()), np.int64)
-        copies = np.bincount(many, minlength=len(run))[lead]
-        run, start, anchor, n, at = (x[lead] for x in (run, start, anchor, n, at))
         doc = np.searchsorted(own.first, start, side="right") - 1
         if keep_first:
             ids = np.array([(1 << 62) if x is None else x for x in own.table["doc_id"].to_pylist()], np.int64)[doc]
         else:
             ids = np.zeros(len(doc), np.int64)
         n = np.where(copies > 1, -n, n)
-        size = np.array([len(packed[k]) for k in lead.tolist()], np.int64)
+        size = np.array([len(x) for x in packed], np.int64)
         columns = {"run": run, "n": n, "doc": ids, "at": start - own.first[doc], "anchor": anchor, "place": at, "size": size}
         rows = {f.name: [] for f in _PACKED}
         for part, x in _split(anchor, parts):
@@ -370,7 +385,7 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
                 rows[field].append(value[x].tobytes())
             rows["part"].append(part)
             rows["chunk"].append(key[0].as_py())
-            rows["bytes"].append(b"".join([packed[k] for k in lead[x].tolist()]))
+            rows["bytes"].append(b"".join([packed[k] for k in x.tolist()]))
         return _rows(_PACKED, **rows)
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -380,16 +395,11 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
             lead, n = _joined(told["run"], "<i8"), _joined(told["n"], "<i8")
             flags = b"".join(x.as_py() for x in told["flags"])
             ends = np.cumsum(n).tolist()
-            verdict = {s: np.frombuffer(flags[b - k : b], np.uint8) for s, b, k in zip(own.packed(lead), ends, n.tolist(), strict=True)}
-            run = np.flatnonzero(np.isin(own.anchor, np.unique(own.anchor[lead[lead >= 0]])))
-            start = own.start[run]
-            if len(one := -1 - lead[lead < 0]):
-                hot = np.unique(own.anchor[np.searchsorted(own.start, one, side="right") - 1])
-                every, hashed = own.windows(hot)
-                met = np.isin(hashed, hashed[np.searchsorted(every, one)])
-                run, start = np.concatenate((run, -1 - every[met])), np.concatenate((start, every[met]))
+            whole = np.flatnonzero(lead >= 0)
+            verdict = {s: np.frombuffer(flags[ends[k] - n[k] : ends[k]], np.uint8) for s, k in zip(own.packed(lead[whole]), whole.tolist(), strict=True)}
+            run = np.flatnonzero(np.isin(own.anchor, np.unique(own.anchor[lead[whole]])))
             seen: set[bytes] = set()
-            for s, begin in zip(own.packed(run), start.tolist(), strict=True):
+            for s, begin in zip(own.packed(run), own.start[run].tolist(), strict=True):
                 flag = verdict.get(s)
                 if flag is None:
                     continue
@@ -400,6 +410,17 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
                     at = np.flatnonzero(flag) + begin
                 edge[at] += 1  # the windows of one run start at different places
                 edge[at + length] -= 1
+            if len(whole) < len(lead):
+                single = lead < 0
+                one, told_of = -1 - lead[single], np.frombuffer(flags, np.uint8)[(np.cumsum(n) - 1)[single]]
+                every, *hashes = own.windows(np.unique(own.anchor[np.searchsorted(own.start, one, side="right") - 1]))
+                group = np.unique(np.column_stack(hashes), axis=0, return_inverse=True)[1].ravel()
+                value = np.zeros(len(every), np.uint8)
+                value[group[np.searchsorted(every, one)]] = told_of
+                flag = value[group]
+                flag[np.searchsorted(every, one[told_of == 2])] = 0  # the first of all stays
+                np.add.at(edge, every[flag > 0], 1)
+                np.add.at(edge, every[flag > 0] + length, -1)
         return finish(own, np.cumsum(edge[:-1]) > 0)
 
     # one query, in which the dealt texts are one exchange that all steps read

@@ -505,7 +505,7 @@ def test_stretch_has_the_most_equal_words():
         assert n == best == equal[start : start + size].sum() and 5 * n >= 4 * size
 
 
-@pytest.fixture(params=[200_000, 0], ids=["runs", "single windows"])
+@pytest.fixture(params=[1_000_000, 0], ids=["runs", "single windows"])
 def hot_windows(request, monkeypatch):
     """Every repeated minimiser is hot, or none is."""
     monkeypatch.setattr(windows, "HOT_WINDOWS", request.param)
@@ -525,6 +525,27 @@ def test_a_very_long_text_is_cut_into_pieces(monkeypatch):
             assert a == own[p - j] and (own >> np.uint64(28) >= np.uint64(a) >> np.uint64(28)).all()
 
 
+def test_large_families_are_sorted_by_offset(monkeypatch):
+    """Verdicts on a family in one batch and cut by the offsets of its windows are the same."""
+    import pyarrow as pa
+
+    r = random.Random(13)
+    texts = [" ".join(r.choice(["a", "b", "c"]) for _ in range(300)) for _ in range(10)] * 2
+    table = pa.table({"doc_id": pa.array(range(20), pa.int64()), "text": texts})
+    own = windows.Chunk(table, "word", 12, 2, True)
+    run = np.arange(len(own.start))
+    strings = own.packed(run)
+    doc = np.searchsorted(own.first, own.start, side="right") - 1
+    columns = {"run": run, "n": own.n, "doc": doc, "at": own.start - own.first[doc], "anchor": own.anchor, "place": own.place, "size": np.array([len(s) for s in strings])}
+    row = {"part": [0], "chunk": [0], **{k: [v.tobytes()] for k, v in columns.items()}, "bytes": [b"".join(strings)]}
+    packed = windows._rows(windows._PACKED, **row)
+    for keep_first in (False, True):
+        whole = windows._verdicts(packed, "word", 12, keep_first)
+        monkeypatch.setattr(windows, "BATCH", 50)
+        assert windows._verdicts(packed, "word", 12, keep_first) == whole and whole.num_rows
+        monkeypatch.undo()
+
+
 def test_one_gram_in_every_text(spark, monkeypatch):
     """A common phrase in other surroundings each time: its minimiser is hot, and hardly any of its windows travels."""
     monkeypatch.setattr(windows, "HOT_WINDOWS", 1000)
