@@ -146,3 +146,7 @@ SOURCES = [
     ("linkedin", "browser", "scrape_risky", True),
     ("glassdoor", "browser", "scrape_risky", True),
 ]
+
+# --- fixed values: prefixes that embedding models expect
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+PASSAGE_PREFIX = "Represent this sentence for retrieving relevant jobs: "

@@ -198,9 +198,18 @@ def model_size(c: Column | str) -> Column:
     return F.when(size == "", F.lit(None)).when(size.isin("1.5", "15"), 2.0).otherwise(size.cast("double"))
 
 
-def passage(c: Column | str, prefix: str = "") -> Column:
-    """A prefix that an embedding model expects, before the text."""
-    return F.concat(F.lit(prefix), text(c))
+def _prefixed(c: Column | str, model: Column, prefix: str) -> Column:
+    name = F.lower(model)
+    return F.concat(F.when(name.contains("bge") | name.contains("e5"), prefix).otherwise(""), text(c))
+
+
+def model_query(c: Column | str, model: Column) -> Column:
+    """A query with the prefix that its embedding model expects, by the model's name."""
+    return _prefixed(c, model, D.QUERY_PREFIX)
+
+
+def model_passage(c: Column | str, model: Column) -> Column:
+    return _prefixed(c, model, D.PASSAGE_PREFIX)
 
 
 def clamped(c: Column) -> Column:

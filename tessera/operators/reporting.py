@@ -68,6 +68,3 @@ def skills_gap(claimed: Column, own: Column) -> Column:
     mine = F.transform(own, lambda s: F.lower(F.trim(s)))
     return F.struct(F.size(F.array_intersect(low, mine)).alias("overlap"), F.size(F.array_except(low, mine)).alias("gap"))
 
-
-def latest(rows: DataFrame, by: str, limit: int) -> DataFrame:
-    return rows.orderBy(F.desc(by)).limit(limit)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import text
+from tessera.session import checkpointed
 
 
 def first_of(df: DataFrame, key: str | list[str], seq: str = "seq") -> DataFrame:
@@ -15,23 +15,19 @@ def first_of(df: DataFrame, key: str | list[str], seq: str = "seq") -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).where("_n = 1").drop("_n")
 
 
-def greedy_dedup(df: DataFrame, keys: tuple[str, str], group: str, seq: str = "seq") -> DataFrame:
-    """In order of seq, a row stays if none of its two keys was registered by a row that stayed; a row that goes registers
-    nothing. Rows of one group (a run, a few thousand rows by its budget) are folded together, groups in parallel."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, kind="stable")
-        met: tuple[set, set] = (set(), set())
-        keep = []
-        for a, b in zip(rows[keys[0]], rows[keys[1]], strict=True):
-            fresh = a not in met[0] and b not in met[1]
-            keep.append(fresh)
-            if fresh:
-                met[0].add(a)
-                met[1].add(b)
-        return rows[keep]
-
-    return df.groupBy(group).applyInPandas(fold, df.schema)
+def greedy_dedup(df: DataFrame, keys: tuple[str, str], seq: str = "seq") -> DataFrame:
+    """In order of seq, a row stays if none of its two keys, which aren't null, was registered by a row that stayed; a row that
+    goes registers nothing. In each round the rows that come first under both of their keys stay, and the rows that share a key
+    with one of them go; a run of rows that hang on each other in a chain takes a round for each link."""
+    a, b = keys
+    rest = checkpointed(df.groupBy(a, b).agg(F.min(seq).alias(seq)))  # later rows of equal keys never stay
+    kept = None
+    while not rest.isEmpty():
+        told = rest.join(rest.groupBy(a).agg(F.min(seq).alias("_a")), a).join(rest.groupBy(b).agg(F.min(seq).alias("_b")), b)
+        first = checkpointed(told.where((F.col(seq) == F.col("_a")) & (F.col(seq) == F.col("_b"))).select(a, b, seq))
+        kept = first if kept is None else kept.union(first)
+        rest = checkpointed(rest.join(first.select(a), a, "left_anti").join(first.select(b), b, "left_anti").select(a, b, seq))
+    return df.limit(0) if kept is None else df.join(kept.select(seq), seq, "left_semi")
 
 
 def merge_listings(stored: DataFrame, batch: DataFrame, key: str = "content_hash", seq: str = "seq") -> DataFrame:
@@ -54,6 +50,11 @@ def merge_listings(stored: DataFrame, batch: DataFrame, key: str = "content_hash
     )
 
 
+def latest_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row with the largest value of order for each key."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
 def new_ids(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return wanted.join(known.select(key), key, "left_anti")
 

@@ -356,15 +356,16 @@ def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- state
 
 
-@query(f"""WITH {L.SQL}, b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS new FROM l), o AS (SELECT *, new * 1000000000000 + seq AS o FROM b)
-SELECT content_hash, arg_min(source, o) AS source, arg_min(title, o) AS title, coalesce(arg_max(location, o) FILTER (WHERE location <> ''), NULL) AS location,
-  arg_max(apply_url, o) FILTER (WHERE apply_url <> '') AS apply_url, min(coalesce(posted_at, scraped_at)) AS posted_at, arg_max(scraped_at, o) AS scraped_at,
-  CAST(max(length(description)) AS INTEGER) AS description_chars FROM o GROUP BY content_hash""")
+@query(f"""WITH {L.SQL}, b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS new, CASE WHEN seq % 4 <> 0 THEN '' || seq ELSE '' END AS salary, CASE WHEN seq % 5 <> 0 THEN seq || ' years' ELSE '' END AS experience FROM l), o AS (SELECT *, new * 1000000000000 + seq AS o FROM b)
+SELECT content_hash, arg_min(source, o) AS source, arg_min(company, o) AS company, arg_min(title, o) AS title, arg_min(salary, o) AS salary, arg_max(experience, o) FILTER (WHERE experience <> '') AS experience,
+  arg_max(location, o) FILTER (WHERE location <> '') AS location, arg_max(apply_url, o) FILTER (WHERE apply_url <> '') AS apply_url, array_to_string(arg_max(skills, o) FILTER (WHERE len(skills) > 0), ',') AS skills,
+  min(coalesce(posted_at, scraped_at)) AS posted_at, arg_max(scraped_at, o) AS scraped_at, sha256(arg_max(description, {{'n': length(description), 'o': -o}})) AS description_sha256 FROM o GROUP BY content_hash""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the listings are stored, the others come in a batch."""
-    rows = L.listings(spark, sf_dir).withColumns({"salary": F.lit(""), "experience": F.lit("")})
+    n = F.col("seq")
+    rows = L.listings(spark, sf_dir).withColumns({"salary": F.when(n % 4 != 0, n.cast("string")).otherwise(""), "experience": F.when(n % 5 != 0, F.concat(n.cast("string"), F.lit(" years"))).otherwise("")})
     out = state.merge_listings(rows.where("seq % 3 = 0"), rows.where("seq % 3 <> 0"))
-    return out.select("content_hash", "source", "title", "location", "apply_url", "posted_at", "scraped_at", F.length("description").alias("description_chars"))
+    return out.select("content_hash", "source", "company", "title", "salary", "experience", "location", "apply_url", F.array_join("skills", ",").alias("skills"), "posted_at", "scraped_at", F.sha2("description", 256).alias("description_sha256"))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,21 +408,24 @@ def anti_new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.new_ids(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {L.SQL}, o AS (SELECT seq, content_hash AS h, 'url:' || regexp_replace(split_part(lower(trim(apply_url)), '?', 1), '/+$', '') AS i, row_number() OVER (ORDER BY seq) AS k FROM l),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS met, FALSE AS stays UNION ALL
+  SELECT o.k, o.seq, CASE WHEN list_has_any(met, [h, i]) THEN met ELSE list_concat(met, [h, i]) END, NOT list_has_any(met, [h, i]) FROM f JOIN o ON o.k = f.k + 1)
+SELECT seq FROM f WHERE stays""")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash or address, folded in order within each company of a source."""
-    rows = L.listings(spark, sf_dir).select("seq", "content_hash", X.identity_key("apply_url", "company", "title").alias("identity"), F.concat_ws(":", "source", "company").alias("run"))
-    return state.greedy_dedup(rows, ("content_hash", "identity"), "run")
+    """Hash or address, over all sources in order."""
+    rows = L.listings(spark, sf_dir).select("seq", "content_hash", X.identity_key("apply_url", "company", "title").alias("identity"))
+    return state.greedy_dedup(rows, ("content_hash", "identity")).select("seq")
 
 
-@query(f"""WITH {L.SQL}, {_REASONS}, s AS (SELECT r.seq, reject_reason, CAST(seq * 37 % 101 AS INTEGER) AS match_score FROM r)
-SELECT seq, CASE WHEN reject_reason IS NULL AND match_score >= 60 THEN match_score ELSE greatest(1, least(59, match_score)) END AS match_score, coalesce(reject_reason, '') AS reason FROM s WHERE reject_reason IS DISTINCT FROM 'duplicate'""")
+@query(f"""WITH {L.SQL}, {_REASONS}, s AS (SELECT r.seq, reject_reason, CAST(seq * 37 % 101 AS INTEGER) AS match_score, CAST(seq * 53 % 101 AS INTEGER) AS other FROM r)
+SELECT seq, CASE WHEN reject_reason IS NULL AND match_score >= 60 THEN match_score ELSE greatest(1, least(59, greatest(match_score, other))) END AS match_score, coalesce(reject_reason, '') AS reason FROM s WHERE reject_reason IS DISTINCT FROM 'duplicate'""")
 def browse_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches, then what was rejected, below the threshold."""
     told = filters.with_reason(L.listings(spark, sf_dir), P).select("seq", "reject_reason", (F.col("seq") * 37 % 101).cast("int").alias("score"))
     strong = told.where(F.col("reject_reason").isNull() & (F.col("score") >= 60)).select("seq", F.col("score").alias("match_score"), F.lit("").alias("reason"))
     rest = told.where(~F.coalesce(F.col("reject_reason") == "duplicate", F.lit(False))).join(strong.select("seq"), "seq", "left_anti")
-    return strong.unionByName(rest.select("seq", scoring.browse_score(F.col("score"), F.col("score"), 60).alias("match_score"), X.text("reject_reason").alias("reason")))
+    return strong.unionByName(rest.select("seq", scoring.browse_score(F.col("score"), (F.col("seq") * 53 % 101).cast("int"), 60).alias("match_score"), X.text("reject_reason").alias("reason")))
 
 
 # ---------------------------------------------------------------- reports
@@ -493,7 +497,7 @@ def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, count(*) AS n, CAST(sum(CAST(floor(((value % 100) + 100) % 100) AS INTEGER)) AS BIGINT) AS total FROM events GROUP BY 1")
 def window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: windows of event time on a stream."""
-    return notices.run_once(notices.windowed(notices.event_stream(spark, f"{sf_dir}/events.parquet")), "windows", "complete")
+    return notices.run_once(notices.windowed(notices.event_stream(spark, f"{sf_dir}/events.parquet"), late="60 days"), "windows", "update")
 
 
 # ---------------------------------------------------------------- extensions: relational queries on the other tables

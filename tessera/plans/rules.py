@@ -38,7 +38,7 @@ def _payloads(parts: DataFrame) -> DataFrame:
     }
     source = L.pick(BOARDS, F.col("p_partkey"))
     payload = F.coalesce(*[F.when(source == name, form) for name, form in forms.items()])
-    return parts.select(source.alias("source"), payload.alias("payload"))
+    return parts.select(source.alias("source"), payload.alias("payload"), F.col("p_partkey").alias("seq"))
 
 
 @query(f"""WITH s AS (SELECT *, {L.sql_pick(BOARDS, 'p_partkey')} AS source FROM part)
@@ -131,10 +131,14 @@ def reply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.recommendation("text").alias("recommendation"), X.clamped(F.length("text") / 2.0).alias("clamped"))
 
 
-@query("""SELECT conv_id, turn, CAST(len(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(x))), lambda x: x <> ''))) AS INTEGER) AS n_distinct FROM conversations""")
+_SPLIT = "list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_SPLIT} AS w FROM conversations)
+SELECT conv_id, turn, sha256(array_to_string(list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(list_transform(w, lambda y: lower(y)), lower(x[1])) = x[2] + 1), lambda x: x[1]), ' ')) AS words_sha256 FROM w""")
 def ordered_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-insensitive, the first spelling stays."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.dedup_words(F.split("text", " "))).alias("n_distinct"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.array_join(X.dedup_words(F.split("text", " ")), " "), 256).alias("words_sha256"))
 
 
 @query("SELECT o_orderkey, c_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_totalprice >= 1000")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tessera.functions import dictionaries as D
 from tessera.functions import text as X
 from tessera.functions.temporal import posted_at
-from tessera.operators import state
+from tessera.operators import matching, scoring, state
+from tessera.operators.profile import Profile, even_budget
 
-LISTING = ["source", "company", "title", "description", "skills", "location", "salary", "apply_url", "posted_at", "content_hash"]
+LISTING = ["source", "company", "title", "description", "skills", "location", "salary", "apply_url", "posted_at", "content_hash", "place"]
 
 
 def _either(*columns: Column) -> Column:
@@ -30,6 +31,7 @@ def _words(c: Column) -> Column:
 
 def _listings(rows: DataFrame, source: str, as_of: Column, *, company: Column, title: Column, description: Column, url: Column, posted: Column, skills: Column | None = None, location: Column | None = None, salary: Column | None = None, base: str = "") -> DataFrame:
     out = rows.select(
+        F.struct("_seq", "_at").alias("place"),
         F.lit(source).alias("source"),
         X.strip(company).alias("company"),
         X.strip(title).alias("title"),
@@ -48,7 +50,13 @@ def _items(payloads: DataFrame, column: str, schema: str, path: str | None = Non
     """The objects of a list, on its own or under a name."""
     source = F.concat(F.lit('{"items":'), F.col(column), F.lit("}")) if path is None else F.col(column)
     parsed = F.from_json(source, f"struct<{path or 'items'}:array<struct<{schema}>>>")
-    return payloads.select(F.explode(parsed[path or "items"]).alias("i")).where(F.col("i").isNotNull()).select("i.*")
+    return _placed(payloads, parsed[path or "items"]).where(F.col("i").isNotNull()).select("_seq", "_at", "i.*")
+
+
+def _placed(payloads: DataFrame, items: Column) -> DataFrame:
+    """(_seq, _at, i): each item with the payload's seq, 0 without one, and its place in the payload."""
+    seq = F.col("seq").cast("long") if "seq" in payloads.columns else F.lit(0).cast("long")
+    return payloads.select(seq.alias("_seq"), F.posexplode(items).alias("_at", "i"))
 
 
 def remotive(p: DataFrame, as_of: Column, column: str = "payload") -> DataFrame:
@@ -86,7 +94,7 @@ def themuse(p: DataFrame, as_of: Column, column: str = "payload") -> DataFrame:
 def weworkremotely(p: DataFrame, as_of: Column, column: str = "payload") -> DataFrame:
     """RSS; a title is `company: role`."""
     found = F.from_xml(column, "channel struct<item:array<struct<title:string,link:string,description:string,pubDate:string>>>")
-    r = p.select(F.explode(found["channel"]["item"]).alias("i")).select("i.*")
+    r = _placed(p, found["channel"]["item"]).select("_seq", "_at", "i.*")
     two = F.split("title", ":", 2)
     company = F.when(F.size(two) > 1, two[0]).otherwise("Remote")
     return _listings(r, "weworkremotely", as_of, company=company, title=F.coalesce(F.try_element_at(two, F.lit(2)), F.col("title")), description=F.col("description"), url=F.col("link"), posted=F.col("pubDate"))
@@ -96,7 +104,7 @@ def workingnomads(p: DataFrame, as_of: Column, column: str = "payload") -> DataF
     """A bare list, or one under `jobs` or `results`; tags may be one text with commas."""
     v = F.try_parse_json(column)
     items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.jobs", "array<variant>"), F.try_variant_get(v, "$.results", "array<variant>"))
-    r = p.select(F.explode(items).alias("i"))
+    r = _placed(p, items)
     get = lambda *names: _either(*[F.try_variant_get("i", f"$.{n}", "string") for n in names])
     tags = F.coalesce(F.try_variant_get("i", "$.tags", "array<string>"), F.split(get("tags"), ","))
     return _listings(r, "workingnomads", as_of, company=get("company_name", "company"), title=get("title"), description=get("description"), url=get("url", "apply_url"), posted=get("pub_date", "date"), skills=tags, location=F.coalesce(F.nullif(get("location"), F.lit("")), F.lit("Remote")))
@@ -104,6 +112,7 @@ def workingnomads(p: DataFrame, as_of: Column, column: str = "payload") -> DataF
 
 def cards(p: DataFrame, source: str, as_of: Column, column: str = "payload", link: str = "href") -> DataFrame:
     """Card texts of browsed boards: title, company and place on the first three lines that aren't blank."""
+    p = p.withColumns({"_seq": F.col("seq").cast("long") if "seq" in p.columns else F.lit(0).cast("long"), "_at": F.lit(0)})
     lines = F.filter(F.transform(F.split(column, r"\r\n|\r|\n"), X.strip), lambda s: s != "")
     at = lambda k: F.coalesce(F.try_element_at(lines, F.lit(k)), F.lit(""))
     return _listings(p, source, as_of, company=at(2), title=at(1), description=F.col(column), url=F.col(link), posted=F.col(column), location=at(3))
@@ -127,11 +136,28 @@ def resolved(asked: list[str]) -> list[str]:
     return [s for s in known if s in asked] or [s[0] for s in D.SOURCES if s[3]]
 
 
-def aggregate(payloads: DataFrame, as_of: Column, asked: list[str] | None = None) -> DataFrame:
-    """Listings of all readers over payloads (source, payload, seq), deduplicated by hash within each."""
+def lookup(name: str) -> Callable[..., DataFrame]:
+    """The reader of that name; all of them together for a name that isn't known."""
+    return READERS.get(name, aggregate)
+
+
+def aggregate(payloads: DataFrame, as_of: Column, asked: list[str] | None = None, limit: int | None = None, p: Profile | None = None) -> DataFrame:
+    """Listings of the readers asked for over payloads (source, payload, seq), with `seq`: in order of the registry, then of the
+    payloads. With a limit each source gives its first rows up to an even budget; then copies by hash or address go, the earlier
+    stays; then the best `limit` stay, by early relevance to p if there is one, then by date."""
+    names = [s for s in resolved(asked or []) if s in READERS]
+    budget = even_budget(limit, names) if limit is not None else {}
     out = None
-    for name in resolved(asked or []):
-        if name in READERS:
-            one = READERS[name](payloads.where(F.col("source") == name), as_of)
-            out = one if out is None else out.unionByName(one)
-    return state.first_of(out.withColumn("seq", F.monotonically_increasing_id()), "content_hash")
+    for k, name in enumerate(names):
+        one = READERS[name](payloads.where(F.col("source") == name), as_of)
+        if limit is not None:
+            one = one.orderBy("place").limit(budget[name])
+        one = one.withColumn("seq", F.struct(F.lit(k).alias("source"), "place"))
+        out = one if out is None else out.unionByName(one)
+    out = out.drop("place").withColumn("_identity", X.identity_key("apply_url", "company", "title"))
+    out = state.greedy_dedup(out, ("content_hash", "_identity")).drop("_identity")
+    if limit is None:
+        return out
+    hay = F.lower(F.concat_ws(" ", "title", "description", F.array_join("skills", " ")))
+    early = scoring.early(F.col("title"), hay, matching.skill_hits(hay, p), p) if p else F.lit(0)
+    return out.withColumn("early", early.cast("int")).orderBy(F.desc("early"), F.desc_nulls_last("posted_at"), "seq").limit(limit)

@@ -17,6 +17,12 @@ def save_matches(matches: DataFrame, listings: DataFrame, path: str) -> None:
     known.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def matches_of(matches: DataFrame, listings: DataFrame, run_id: int, key: str, score: str = "match_score", least: float = 0) -> DataFrame:
+    """The matches of one run with what their listings say, from a score on; matches without a listing are left out. The filter
+    reaches the partition of the run."""
+    return matches.where((F.col("run_id") == run_id) & (F.col(score) >= max(0, least))).join(listings, key)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

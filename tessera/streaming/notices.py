@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tessera.session import shared_folder
 
 OUT = "state_key string, event_id long, match_score int, reason string"
 
 
 def notices(events: DataFrame, delta: int = 10) -> DataFrame:
     """(state_key, event_id, match_score, reason) for each of events (state_key, event_id, ts, match_score), in order of ts and
-    event_id in a batch: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified."""
+    event_id within a micro-batch, as a stream has no order across them: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -40,23 +44,25 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, minutes: int = 60, late: str = "1 day") -> DataFrame:
-    """Rows and scores of each window of event time."""
+    """Rows and scores of each window of event time. In update mode a window is given again whenever rows come, until the watermark
+    has passed it; then it leaves the state, and rows that are later still are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes")).agg(F.count("*").alias("n"), F.sum("match_score").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there now, as a table; the checkpoint is in the session's shared folder."""
-    import uuid
-
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
     if mode == "append":
         query.format("parquet").option("path", f"{root}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/_n={number}")
 
     query.foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{root}/out")
+    # the last word on each key of the state: its columns are those that an aggregate groups by
+    keys = [stream.columns[0]]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("r")).select("r.*")

@@ -17,8 +17,24 @@ def as_of():
 def test_greedy_dedup_registers_only_what_stays(spark):
     for c, kept in ((("h2", "i2"), [0, 2]), (("h2", "i3"), [0, 2])):
         b = ("h1", "i2") if c == ("h2", "i2") else ("h2", "i1")
-        rows = spark.createDataFrame([(0, "h1", "i1", "r"), (1, *b, "r"), (2, *c, "r")], "seq int, h string, i string, run string")
-        assert sorted(r.seq for r in state.greedy_dedup(rows, ("h", "i"), "run").collect()) == kept
+        rows = spark.createDataFrame([(0, "h1", "i1"), (1, *b), (2, *c)], "seq int, h string, i string")
+        assert sorted(r.seq for r in state.greedy_dedup(rows, ("h", "i")).collect()) == kept
+
+
+def test_greedy_dedup_like_a_fold(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, f"h{r.randrange(40)}", f"i{r.randrange(40)}") for k in range(150)]
+    met, kept = (set(), set()), []
+    for k, h, i in rows:
+        if h not in met[0] and i not in met[1]:
+            met[0].add(h)
+            met[1].add(i)
+            kept.append(k)
+    df = spark.createDataFrame(rows, "seq int, h string, i string")
+    assert sorted(x.seq for x in state.greedy_dedup(df, ("h", "i")).collect()) == kept
+    assert state.greedy_dedup(df.where("false"), ("h", "i")).count() == 0
 
 
 def test_merge_is_sequential(spark):
@@ -118,3 +134,58 @@ def test_tailored_jobs_and_labels(spark):
     row = spark.range(1).select(people.employed_at(jobs, F.array(F.lit("ACME"))).alias("some"), people.employed_at(jobs, F.array().cast("array<string>")).alias("every"), people.experience_label(F.lit("Senior Engineer"), F.lit("4 years of experience")).alias("label"), people.experience_label(F.lit("Engineer"), F.lit("x")).alias("bare")).first()
     assert [j.title for j in row.some] == ["a", "c"] and len(row.every) == 3
     assert (row.label, row.bare) == ("Senior (4+ yrs)", "Junior / Entry")
+
+
+def test_enrichment_fills_what_is_empty(spark):
+    from tessera.operators import ranking
+
+    kind = "title string, description string, location string, requirements string, tier int"
+    rows = [("Senior Dev", "Intro\nRequirements:\n5+ years of Rust\nNice to have\nZig", "Remote", "", None), ("Dev", "Plain text, full-time", "Pune", "as told", 4)]
+    a, b = ranking.enriched(spark.createDataFrame(rows, kind)).collect()
+    assert (a.requirements, a.nice_to_have, a.required_years, a.tier, a.remote_policy, a.employment_type) == ("5+ years of Rust", "Zig", 5, 3, "remote", "")
+    assert (b.requirements, b.nice_to_have, b.required_years, b.tier, b.employment_type) == ("as told", "", None, 4, "full-time")
+
+
+def test_aggregate_takes_the_earlier_of_copies(spark):
+    job = lambda title, url: json.dumps({"jobs": [{"title": title, "company_name": "Co", "companyName": "Co", "jobTitle": title, "description": title, "jobDescription": title, "url": url}]})
+    rows = [(2, "remotive", job("B", "https://a/1")), (1, "remotive", job("A", "https://a/1?x=2")), (1, "jobicy", job("C", "https://a/1")), (2, "jobicy", job("D", "https://a/9")), (3, "jobicy", "{oops")]
+    df = spark.createDataFrame(rows, "seq int, source string, payload string").repartition(3)
+    assert sorted((r.source, r.title) for r in readers.aggregate(df, as_of(), ["remotive", "jobicy"]).collect()) == [("jobicy", "D"), ("remotive", "A")]
+    assert [r.title for r in readers.aggregate(df, as_of(), ["remotive", "jobicy"], 2).collect()] == ["A"]  # one row of each source, of which one goes
+    assert readers.lookup("nobody") is readers.aggregate and readers.lookup("remotive") is readers.remotive
+
+
+def test_digest_message(spark):
+    from tessera.operators import ranking
+
+    rows = spark.createDataFrame([(2, "2. B"), (1, "1. A")], "place int, entry string")
+    assert ranking.digest_message(rows, "Ann", 60, 5, "bye").first().text == "2 matches for Ann\nMin match score: 60%\nDigest cap: 5\n\n1. A\n2. B\n\nbye"
+    assert "No matches" in ranking.digest_message(rows.where("false"), "Ann", 60, 5, "bye").first().text
+
+
+def test_snapshots_logs_and_digest_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "1. A"), (2, "2. B")], "place int, entry string")
+    sinks.digest_text(rows.orderBy("entry", ascending=False), str(tmp_path / "d"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "d")).collect()] == ["1. A", "2. B"]
+    sinks.snapshot(rows, str(tmp_path / "s"), "remotive", "20240131")
+    assert spark.read.json(str(tmp_path / "s")).where("source = 'remotive'").count() == 2
+    for _ in range(2):
+        sinks.append(rows, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 4
+
+
+def test_notice_stream_like_a_loop(spark):
+    from tessera.plans import queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    events = Q.notices.event_stream(spark, f"{folder}/events.parquet").schema
+    rows = spark.read.parquet(f"{folder}/events.parquet").orderBy("ts", "event_id").collect()
+    assert "match_score" in events.names
+    last, want = {}, {}
+    for r in rows:
+        key, score = f"{r.user_id}:{r.event_type}", int(r.value % 100 // 1)
+        why = "new" if key not in last else "score_jump" if score - last[key] >= 10 else "already_notified"
+        if why != "already_notified":
+            last[key] = score
+        want[r.event_id] = why
+    assert {r.event_id: r.reason for r in Q.QUERIES["notify_stream"](spark, folder).collect()} == want
