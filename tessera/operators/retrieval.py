@@ -54,10 +54,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def similarity(pool: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
-    """pool with sim: the inner product with one query vector, within 0 to 1, as unit vectors have it."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return pool.withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col(vector), q))))
+def similarity(pool: DataFrame, queries: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """pool with sim: the inner product with the vector q of its query, within 0 to 1, as unit vectors have it. queries (key, q)
+    has a row for each key; rows of pool without one are left out."""
+    asked = sent(queries.select(key, "q"), F.size("q") * 8 + 16)
+    return pool.join(asked, key).withColumn("sim", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col(vector), F.col("q"))))).drop("q")
 
 
 def min_max(c: Column, by: list[Column | str], flat: float = 1e-9) -> Column:
@@ -67,18 +68,10 @@ def min_max(c: Column, by: list[Column | str], flat: float = 1e-9) -> Column:
     return F.when(high - low < flat, 0.5).otherwise((c - low) / (high - low))
 
 
-def min_max_pool(scored: DataFrame, columns: list[str], flat: float = 1e-9) -> DataFrame:
-    """Each column over all rows from 0 to 1: bounds by one aggregate, so no task holds the pool."""
-    bounds = scored.agg(*[x for c in columns for x in (F.min(c).alias(f"_{c}_low"), F.max(c).alias(f"_{c}_high"))])
-    wide = scored.join(F.broadcast(bounds))
-    for c in columns:
-        low, high = F.col(f"_{c}_low"), F.col(f"_{c}_high")
-        wide = wide.withColumn(c, F.when(high - low < flat, 0.5).otherwise((F.col(c) - low) / (high - low)))
-    return wide.drop(*[x for c in columns for x in (f"_{c}_low", f"_{c}_high")])
-
-
-def hybrid(vector: DataFrame, words: DataFrame, alpha: float = 0.65) -> DataFrame:
-    """(id, score) from (id, sim) and (id, bm25), both made 0 to 1 over the pool; what is missing counts as 0."""
-    pool = vector.join(words, "id", "left").select("id", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    scaled = min_max_pool(pool, ["sim", "bm25"])
-    return scaled.select("id", (alpha * F.col("sim") + (1 - alpha) * F.col("bm25")).alias("score"))
+def hybrid(vector: DataFrame, words: DataFrame, by: str = "query_id", alpha: float = 0.65, flat: float = 1e-9) -> DataFrame:
+    """(query, id, score) from (query, id, sim) and (query, id, bm25), both made 0 to 1 over the pool of each query; what is missing
+    counts as 0. Bounds come from one aggregate, so no task holds a pool."""
+    pool = vector.join(words, [by, "id"], "left").select(by, "id", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    bounds = pool.groupBy(by).agg(*[x for c in ("sim", "bm25") for x in (F.min(c).alias(f"_{c}_low"), F.max(c).alias(f"_{c}_high"))])
+    part = lambda c: F.when(F.col(f"_{c}_high") - F.col(f"_{c}_low") < flat, 0.5).otherwise((F.col(c) - F.col(f"_{c}_low")) / (F.col(f"_{c}_high") - F.col(f"_{c}_low")))
+    return pool.join(bounds, by).select(by, "id", (alpha * part("sim") + (1 - alpha) * part("bm25")).alias("score"))

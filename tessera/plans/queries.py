@@ -326,31 +326,36 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(scored.withColumn("score", F.round("score", 6)), 10, ["query_id"]).select("query_id", "id", "score", "rank")
 
 
-_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
-_SIM = f"greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), {_Q})))"
+_ASKED = "a AS (SELECT label, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS q FROM embeddings GROUP BY label)"
+_SIM = "greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), q)))"
 
 
-@query(f"SELECT vec_id, round({_SIM}, 6) AS sim FROM embeddings ORDER BY round({_SIM}, 6) DESC, vec_id LIMIT 50")
+def _asked(pool: DataFrame) -> DataFrame:
+    """(label, q): each label's vector with the smallest id stands for its query."""
+    return pool.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+
+
+@query(f"""WITH {_ASKED}, s AS (SELECT label, vec_id, round({_SIM}, 6) AS sim FROM embeddings JOIN a USING (label))
+SELECT label, vec_id, sim, CAST(row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 50""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of fifty for one query vector."""
+    """The pool of fifty of each label's query."""
     pool = table(spark, sf_dir, "embeddings")
-    asked = [list(r["embedding"]) for r in pool.where("vec_id = 0").limit(1).collect()]
-    scored = retrieval.similarity(pool, asked[0] if asked else []).select("vec_id", F.round("sim", 6).alias("sim"))
-    return scored.orderBy(F.desc("sim"), "vec_id").limit(50)
+    scored = retrieval.similarity(pool, _asked(pool), "label").select("label", "vec_id", F.round("sim", 6).alias("sim"))
+    return retrieval.top(scored, 50, ["label"], "sim", "vec_id")
 
 
-@query(f"""WITH {_BM25}, one AS (SELECT id, score FROM s WHERE query_id = 0),
-p AS (SELECT vec_id AS id, {_SIM} AS sim, coalesce(score, 0.0) AS bm25 FROM embeddings LEFT JOIN one ON id = vec_id SEMI JOIN documents ON doc_id = vec_id),
-b AS (SELECT min(sim) AS sl, max(sim) AS sh, min(bm25) AS bl, max(bm25) AS bh FROM p)
-SELECT id, round(0.65 * CASE WHEN sh - sl < 1e-9 THEN 0.5 ELSE (sim - sl) / (sh - sl) END + 0.35 * CASE WHEN bh - bl < 1e-9 THEN 0.5 ELSE (bm25 - bl) / (bh - bl) END, 5) AS score FROM p, b""")
+@query(f"""WITH {_BM25}, {_ASKED}, p AS (SELECT label AS query_id, vec_id AS id, {_SIM} AS sim FROM embeddings JOIN a USING (label) SEMI JOIN documents ON doc_id = vec_id),
+wp AS (SELECT p.query_id, p.id, sim, coalesce(score, 0.0) AS bm25 FROM p LEFT JOIN s ON s.query_id = p.query_id AND s.id = p.id),
+b AS (SELECT query_id, min(sim) AS sl, max(sim) AS sh, min(bm25) AS bl, max(bm25) AS bh FROM wp GROUP BY query_id)
+SELECT query_id, id, round(0.65 * CASE WHEN sh - sl < 1e-9 THEN 0.5 ELSE (sim - sl) / (sh - sl) END + 0.35 * CASE WHEN bh - bl < 1e-9 THEN 0.5 ELSE (bm25 - bl) / (bh - bl) END, 5) AS score FROM wp JOIN b USING (query_id)""")
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of documents, blended with BM25 of one item over the pool."""
+    """Vectors of documents, blended with BM25 of the benchmark item that has the label's number."""
     pool = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents")
-    asked = [list(r["embedding"]) for r in pool.where("vec_id = 0").limit(1).collect()]
-    vector = retrieval.similarity(pool.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), asked[0] if asked else []).select(F.col("vec_id").alias("id"), "sim")
-    words = retrieval.bm25(docs, table(spark, sf_dir, "benchmark").where("item_id = 0")).select("id", F.round("score", 6).alias("bm25"))
-    return retrieval.hybrid(vector, words).select("id", F.round("score", 5).alias("score"))
+    mine = pool.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    vector = retrieval.similarity(mine, _asked(pool), "label").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), "sim")
+    words = retrieval.bm25(docs, table(spark, sf_dir, "benchmark")).select("query_id", "id", F.round("score", 6).alias("bm25"))
+    return retrieval.hybrid(vector, words).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 # ---------------------------------------------------------------- state

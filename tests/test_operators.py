@@ -189,3 +189,30 @@ def test_notice_stream_like_a_loop(spark):
             last[key] = score
         want[r.event_id] = why
     assert {r.event_id: r.reason for r in Q.QUERIES["notify_stream"](spark, folder).collect()} == want
+
+
+def test_sections_like_a_loop(spark):
+    import random
+    import re
+
+    from tessera.functions import dictionaries as D
+    from tessera.functions import text as X
+
+    r = random.Random(2)
+    parts = ["Requirements:", "nice to have", "Qualifications", "text", " Bonus : ", "", "must have more", "  two words", "Pluses:"]
+    texts = ["\n".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(200)]
+
+    def loop(t):
+        mode, out = "body", {"body": [], "requirements": [], "nice": []}
+        for line in t.split("\n"):
+            bare = line.strip()
+            if re.match(D.REQUIREMENTS_HEADER, bare):
+                mode = "requirements"
+            elif re.match(D.NICE_HEADER, bare):
+                mode = "nice"
+            else:
+                out[mode].append(line)
+        return tuple("\n".join(v).strip() for v in out.values())
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(tuple(x.s) == loop(x.t) for x in df.select("t", X.listing_sections("t").alias("s")).collect())
