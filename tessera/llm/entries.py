@@ -10,8 +10,6 @@ from tessera.llm import bpe, decontaminate, minhash, pii, quality, secrets, shar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality": quality.op2_quality,
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
-        "pipeline": corpus_pipeline.run,
     }
 
 
