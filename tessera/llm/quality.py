@@ -7,7 +7,7 @@ become one Spark expression. Statistics and scores are computed by Spark's own f
 Only the fit works on a bounded sample: `sample` labelled rows (20,000 unless told otherwise) with the smallest hash of their
 id, as statistics, not texts. Labels, language, source and id are never inputs of a score.
 
-Defined cases: a null text counts as empty and is scored like one; a null label is no label; of labels that repeat for one id
+Defined cases: a null text counts as empty and is scored like one; a very long text is counted whole; a null label is no label; of labels that repeat for one id
 each counts; without labels of both kinds every score is the share of label 1, or 0.5; repeated rows each give a row; other
 columns are not read; an empty table gives an empty result.
 """

@@ -4,10 +4,11 @@ Method: the hash space is a ring of CELLS equal cells. Each shard owns `vnodes`
 point clockwise of its cell. A shard holds at most its capacity. What its own keys exceed continues clockwise to the next
 points whose shards have room. With capacity factor 1 every shard is full, so row counts differ by one at most; with a larger
 factor fewer keys move. Only counts per cell reach the driver: CELLS rows, whatever the input. A key's place inside its cell is
-its rank by hash, so two passes over (id, size, hash) rows are all that is shuffled; the text is not.
+its rank by hash, so only (id, size, hash) rows are shuffled, not texts. Rows that are equal in all of these are ranked as one
+group for each partition they were read in and numbered within it, so that a key of very many rows fills no task.
 
-Defined cases: a null text has size 1 and counts as empty; a row without an id is placed by its text; repeated rows each get a
-slot of their own; other columns are not read; an empty table gives an empty result.
+Defined cases: a null text has size 1 and counts as empty; a very long text adds its size and checksum only; a row without an id is
+placed by its text; repeated rows each get a slot of their own; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prefixed, read
+from tessera.llm.common import checkpointed, prefixed, read
 
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
@@ -86,12 +87,19 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, factor: float = 1
     slim = prefixed(docs, doc_id=id_col, text=text_col)
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     cell = F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")
-    counts = {r["cell"]: r["n"] for r in slim.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
-    parts = spark.createDataFrame(assign(counts, shards, vnodes, factor) or [(0, 0, 0, 0, 0)], "cell int, first long, end long, shard int, slot long")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = slim.select("doc_id", (F.octet_length("text").cast("long")), F.crc32(text).alias("text_crc32"), place.alias("place"), cell.alias("cell"))
-    rows = rows.toDF("doc_id", "size", "text_crc32", "place", "cell").withColumn("size", F.coalesce("size", F.lit(0)) + 1)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1)
+    size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1
+    same = ["place", "doc_id", "text_crc32", "size", "part"]
+    rows = slim.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), place.alias("place"), cell.alias("cell"), F.spark_partition_id().alias("part"))
+    rows = checkpointed(rows)  # so that part is the same wherever it is asked for
+    groups = rows.groupBy("cell", *same).agg(F.count("*").alias("n"))
+    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame(assign(counts, shards, vnodes, factor) or [(0, 0, 0, 0, 0)], "cell int, first long, end long, shard int, slot long")
+    before = Window.partitionBy("cell").orderBy(*same).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1)
+    met = numbered.join(groups, [numbered[c].eqNullSafe(groups[f"_{c}"]) if c == "doc_id" else numbered[c] == groups[f"_{c}"] for c in same])
+    ranked = met.withColumn("rank", F.col("rank") + F.col("start"))
     # at most CELLS rows and one more for each shard that a cell's keys pass
     return (
         ranked.join(F.broadcast(parts), "cell")

@@ -3,8 +3,9 @@
 Method (super-k-mer partitioning): see windows.py. A window is 35 words; its minimiser is one of its 5-word grams; a bucket
 counts the windows of its runs exactly by sorting them.
 
-Defined cases: a null or empty text has no words; a text shorter than a window keeps all; repeated rows repeat each other, so
-their windows go in both; rows without an id stand last; other columns are not read; an empty table gives an empty result.
+Defined cases: a null or empty text has no words; a text shorter than a window keeps all; a very long text is cut into pieces only
+to find minimisers, and judged whole; repeated rows repeat each other, so their windows go in both; ids may be of any type; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

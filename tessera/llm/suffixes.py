@@ -3,10 +3,12 @@
 Method (depth-limited radix sort): suffixes are ordered through their first 100 bytes only, by passes from the most significant
 digit on; groups that are still equal after the last pass are exactly the repeated windows. The first digit is the minimiser of
 the suffix's first 100 bytes and its offset, which equal windows share: it deals suffixes to buckets in packed runs (see
-windows.py), and a minimiser met once drops all its suffixes before anything is sent. The other digits are eight bytes each.
+windows.py), and a minimiser met once drops all its suffixes before anything is sent. The other digits are eight bytes each. All
+suffixes that travel are sorted this way; a run that a chunk of documents holds several times travels once and counts as often.
 
-Defined cases: a null or empty text has no bytes; a text shorter than a window keeps all; of repeated rows one stays; rows
-without an id stand after all others; other columns are not read; an empty table gives an empty result.
+Defined cases: a null or empty text has no bytes; a text shorter than a window keeps all; a very long text is cut into pieces only
+to find minimisers, and judged whole; of repeated rows one stays; ids are integers (another type is a TypeError), and rows without
+one stand after all others; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

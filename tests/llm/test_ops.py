@@ -682,6 +682,15 @@ def test_op10(spark, corpus):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
 
 
+def test_a_key_of_very_many_rows(spark):
+    rows = [(7, "same")] * 500 + [(None, "none")] * 300 + [(7, "other")] * 3 + [(k, str(k)) for k in range(100, 200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 5).collect()
+    assert bag((r.doc_id, r.size) for r in got) == bag((i, len(t) + 1) for i, t in rows)
+    count = collections.Counter(r.shard for r in got)
+    assert max(count.values()) - min(count.values()) <= 1 and len(count) == 5
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in count.items())
+
+
 def test_ring_moves_little():
     """Slack makes capacity a bound only, and a further shard moves about its share of the keys."""
     r = random.Random(0)
