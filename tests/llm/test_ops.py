@@ -266,6 +266,7 @@ def test_recall_of_bands():
 def test_ids_of_any_type_and_hot_copies(spark, monkeypatch):
     from tessera.llm import common
 
+    monkeypatch.setattr(minhash, "FEW_EDGES", 0)
     monkeypatch.setattr(common.lookup, "__defaults__", (2, 1))
     monkeypatch.setattr(common.frequent_keys, "__kwdefaults__", {"share": 2, "least": 1})
     rows = [(f"d{k:04}", t) for k, t in [*near_rows(30), *[(100 + k, "the same text in every one of these rows") for k in range(200)]]]
