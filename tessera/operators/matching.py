@@ -22,25 +22,41 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
-def _ints(pattern: str, c: Column, group: int = 1) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+def _most_years(c: Column, upper: bool = False) -> Column:
+    """The largest number of years that the patterns find in a text, of a range the lower or the upper end. All need digits before
+    the word, and each some letters of its own, which are looked for first."""
+
+    def search(low: Column) -> Column:
+        each = [(D.YEARS_REQUIRED, 1, ["min", "at least", "require", "must have"]), (D.YEARS_EXPERIENCE, 1, ["experience"]), (D.YEARS_PLUS, 1, ["+"]), (D.YEARS_RANGE, 2 if upper else 1, ["-", "–"])]
+        none = F.array().cast("array<string>")
+        found = F.concat(*[F.when(any_of([low.contains(x) for x in parts]), F.regexp_extract_all(low, F.lit(p.removeprefix("(?i)")), F.lit(group))).otherwise(none) for p, group, parts in each])
+        most = F.array_max(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+        return F.when(low.contains("year") & low.rlike(r"\d\s*\+?\s*year"), most)
+
+    return once(F.lower(c), search)
 
 
 def required_years(c: Column) -> Column:
     """The largest of the least years that a text asks for; null without any."""
-    return F.array_max(F.concat(_ints(D.YEARS_REQUIRED, c), _ints(D.YEARS_EXPERIENCE, c), _ints(D.YEARS_PLUS, c), _ints(D.YEARS_RANGE, c)))
+    return _most_years(c)
+
+
+_ENTRY_PARTS = ["intern", "trainee", "junior", "jr", "entry", "associate", "grad", "fresher"]
 
 
 def job_tier(title: Column | str, description: Column | str) -> Column:
     """0 to 5, the larger of what words and years say."""
     hay = F.concat_ws(" ", text(title), text(description))
-    low = F.lower(hay)
-    years = F.array_max(F.concat(_ints(D.YEARS_REQUIRED, hay), _ints(D.YEARS_EXPERIENCE, hay), _ints(D.YEARS_PLUS, hay), _ints(D.YEARS_RANGE, hay, 2)))
-    by_years = once(years, lambda y: F.when(y >= 10, 4).when(y >= 5, 3).when(y >= 3, 2).when(y >= 1, 1))
-    has = lambda words: low.rlike(r"\b(" + "|".join(words) + r")\b")
-    entry = F.when(low.contains("intern"), 0).otherwise(1)
-    by_words = F.when(has(D.EXECUTIVE_WORDS), 5).when(has(D.LEAD_WORDS), 4).when(has(D.SENIOR_WORDS), 3).when(low.rlike(D.ENTRY_PATTERN), entry).otherwise(1)
-    return F.greatest(by_words, F.coalesce(by_years, F.lit(0)))
+    by_years = once(_most_years(hay, True), lambda y: F.when(y >= 10, 4).when(y >= 5, 3).when(y >= 3, 2).when(y >= 1, 1))
+
+    def by_words(low: Column) -> Column:
+        # a plain search first: whole words are looked for only where the letters stand
+        part = lambda parts, pattern: any_of([low.contains(w) for w in parts]) & low.rlike(pattern)
+        has = lambda words: part(words, r"\b(" + "|".join(words) + r")\b")
+        entry = F.when(low.contains("intern"), 0).otherwise(1)
+        return F.when(has(D.EXECUTIVE_WORDS), 5).when(has(D.LEAD_WORDS), 4).when(has(D.SENIOR_WORDS), 3).when(part(_ENTRY_PARTS, D.ENTRY_PATTERN), entry).otherwise(1)
+
+    return F.greatest(once(F.lower(hay), by_words), F.coalesce(by_years, F.lit(0)))
 
 
 def tier_fits(tier: Column, p: Profile) -> Column:
