@@ -262,7 +262,19 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
     ids = np.array(table["chunk"].to_pylist(), np.int64)[chunk]
     family = np.unique(_joined(table["anchor"], "<u8"), return_inverse=True)[1]
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(n)
-    for batch in _batches(np.argsort(family, kind="stable"), family, n):
+    # equal strings of several chunks are sorted once and count as often; the first place of all is their owner's
+    seen: dict[bytes, int] = {}
+    text = np.array([seen.setdefault(s, k) for k, s in enumerate(strings)], np.int64)
+    copied |= np.bincount(text, minlength=len(n))[text] > 1
+    alike = np.lexsort((ids, at, doc, text))
+    bounds = np.append(np.flatnonzero(np.concatenate((np.ones(min(1, len(n)), bool), np.diff(text[alike]) != 0))), len(n))
+    owner = np.zeros(len(n), np.int64)
+    owner[text[alike[bounds[:-1]]]] = alike[bounds[:-1]]
+    members = {int(text[alike[a]]): alike[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+    del seen
+    alone = np.array(sorted(members), np.int64)
+    copied[alone] |= np.maximum.reduceat(copied[alike].astype(np.int8), bounds[:-1])[np.argsort(text[alike[bounds[:-1]]])] > 0 if len(alone) else False
+    for batch in _batches(alone[np.argsort(family[alone], kind="stable")], family, n):
         words = [strings[k] for k in batch.tolist()]
         if unit == "word":
             parts = [w.split(b" ") for w in words]
@@ -288,13 +300,15 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
             flag[index] = 1
             lead[index] = False
             if keep_first and len(index):
-                k = batch[of[index]]
+                k = owner[batch[of[index]]]
                 order = np.lexsort((ids[k], at[k] + j[index], doc[k], group))
                 lead[index[order[np.concatenate(([True], np.diff(group[order]) != 0))]]] = True
         if keep_first:
             flag[lead & (flag > 0)] = 2
         for k, own in zip(batch.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
-            out[k] = own
+            rest = np.minimum(own, 1)
+            for x in members[k]:
+                out[x] = own if x == owner[k] else rest
     told = np.array([f.any() for f in out], bool) if len(out) else np.zeros(0, bool)
     chunks, runs, sizes, flags = [], [], [], []
     for k, name in enumerate(table["chunk"].to_pylist()):
