@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, minhash, pii, quality, secrets, sharding, substrings, suffixes, topk
+from tessera.llm import bpe, decontaminate, fim, minhash, pii, quality, secrets, sharding, substrings, suffixes, topk, toxicity, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_topk": topk.op9_topk,
         "op10_sharding": sharding.op10_sharding,
+        "op11_fim": fim.op11_fim,
+        "op12_spelling": variants.op12_spelling,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": topk.OP9_SQL}
+    return {"op9_topk": topk.OP9_SQL, "op11_fim": fim.OP11_SQL}
