@@ -69,7 +69,7 @@ def fingerprint(title: Column | str, company: Column | str, description: Column
 
 def tokens(c: Column | str) -> Column:
     """Lower-case tokens of two characters at least, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(text(c)), F.lit(TOKEN.removesuffix("+") + "{2,}"), F.lit(0))
 
 
 def has_word(c: Column, word: str) -> Column:

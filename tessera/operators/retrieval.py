@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.operators import matching as M
+from tessera.session import checkpointed
 
 #: Bytes up to which the terms of queries, and query vectors, are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Cells of a matrix that a task fills at a time.
+DENSE = 4 << 20
 
 
 def term_counts(terms: Column) -> Column:
@@ -22,21 +30,134 @@ def term_counts(terms: Column) -> Column:
     return M.once(F.array_sort(terms), runs)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, id, score) of documents, each row one of its own, that share a term with a query. A term in over half of the
-    documents gets epsilon times the mean idf; a query's repeated terms count as often. Document counts and lengths come from all
-    documents. Term counts stay within their row: only the terms that queries ask for reach an exchange."""
-    counted = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms")).select("id", F.size("terms").alias("length"), term_counts(F.col("terms")).alias("counts"))
-    df = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    size = docs.select(F.size(tokens(text_col)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    idf = df.join(F.broadcast(size)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = idf.join(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "mean")
+def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, total): documents that hold a term, and how often it stands in all. Each batch counts its own documents, so one row
+    for each of its terms reaches the exchange. Behind a checkpoint: everything else is told from it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, row = _coded(batch["terms"])
+            names = codes.dictionary
+            both, times = np.unique(row * max(len(names), 1) + codes.indices.to_numpy(), return_counts=True)
+            term = both % max(len(names), 1)
+            df, total = np.bincount(term, minlength=len(names)), np.bincount(term, times, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(df, pa.int64()), pa.array(total)], ["term", "df", "total"])
+
+    each = docs.select(tokens(text_col).alias("terms")).mapInArrow(counted, "term string, df long, total long")
+    return checkpointed(each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
+
+
+def _coded(lists: pa.ListArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The items of all lists as numbers of a dictionary, and the row of each."""
+    flat = lists.flatten()
+    return flat.dictionary_encode(), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+
+
+def term_weights(docs: DataFrame, queries: DataFrame, text_col: str = "text", query_id: str = "item_id", query_text: str = "text", epsilon: float = 0.25) -> tuple[DataFrame, float]:
+    """((query_id, term, weight), mean length): idf of each term of a query, times how often the query has it. A term in over half of
+    the documents gets epsilon times the mean idf. Counts and lengths come from all documents."""
+    table, n = term_table(docs, text_col), docs.count()
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    low, total = table.agg(F.avg(idf), F.sum("total")).first()
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = sent(asked.join(idf, "term"), F.octet_length("term") + 32)
-    hit = counted.select("id", "length", F.explode("counts").alias("c")).select("id", "length", "c.term", "c.tf").join(wanted, "term")
-    norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    return hit.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+    weight = F.col("times") * F.when(idf < 0, F.lit(epsilon * (low or 0.0))).otherwise(idf)
+    return asked.join(table, "term").select("query_id", "term", weight.alias("weight")), (total or 0) / max(n, 1)
+
+
+class _Asked:
+    """Weights of a bounded set of queries, by term."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("term", "ascending"), ("query_id", "ascending")]).combine_chunks()
+        terms, queries = (rows[c].combine_chunks().dictionary_encode() for c in ("term", "query_id"))
+        self.terms, self.queries = terms.dictionary, queries.dictionary
+        self.query, self.weight = queries.indices.to_numpy(), rows["weight"].to_numpy()
+        self.first = np.searchsorted(terms.indices.to_numpy(), np.arange(len(self.terms) + 1))
+
+    def matrices(self, terms: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of these terms for queries low to high, and which of them are asked for."""
+        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms] or [np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(terms)), self.first[terms + 1] - self.first[terms])
+        mine = (self.query[at] >= low) & (self.query[at] < high)
+        weight, asked = np.zeros((len(terms), high - low)), np.zeros((len(terms), high - low), np.float32)
+        weight[row[mine], self.query[at][mine] - low] = self.weight[at][mine]
+        asked[row[mine], self.query[at][mine] - low] = 1
+        return weight, asked
+
+
+def bm25_candidates(docs: DataFrame, weights: DataFrame, mean: float, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """(query_id, id, score): of each slice of documents the k best for each query that reach the k-th best of the task so far. A
+    slice is scored for a block of queries as one matrix product, so pairs never become rows; those that leave a task are a few for
+    each query, whatever the number of documents. Queries beyond BROADCAST_BYTES come in several parts, a pass over the documents'
+    terms for each. Scores are rounded, so that equal texts tie; ties go to the smaller id."""
+    size = weights.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
+    parts = -(-size // BROADCAST_BYTES)
+    told = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("terms"))
+    told = checkpointed(told) if parts > 1 else told
+    kinds = {c: (weights if c == "query_id" else told).schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    out = None
+    for p in range(parts):
+        mine = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else weights
+        asked = docs.sparkSession.sparkContext.broadcast(_Asked(mine.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            own: _Asked = asked.value
+            best = np.full((k, len(own.queries)), -np.inf)
+            rows = max(16, min(1024, DENSE // max(len(own.terms), 1)))
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch["id"]))
+                for start in range(0, batch.num_rows, rows):
+                    yield from _best(batch.slice(start, rows), own, best, k, mean, k1, b, digits)
+
+        one = told.mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _best(part: pa.RecordBatch, own: _Asked, best: np.ndarray, k: int, mean: float, k1: float, b: float, digits: int) -> Iterator[pa.RecordBatch]:
+    lists = part["terms"]
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    found = pc.index_in(lists.flatten(), own.terms)
+    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    row, term = np.repeat(np.arange(len(lists)), length)[known], found.drop_null().to_numpy()
+    terms, column = np.unique(term, return_inverse=True)
+    tf = np.zeros((len(lists), len(terms)))
+    np.add.at(tf, (row, column), 1)
+    norm = k1 * (1 - b + b * length / mean) if mean else np.zeros(len(lists))
+    impact = np.divide(tf * (k1 + 1), tf + norm[:, None], out=np.zeros_like(tf), where=tf > 0)
+    step = max(1, DENSE // max(len(terms), len(lists), 1))
+    for low in range(0, len(own.queries), step):
+        high = min(low + step, len(own.queries))
+        weight, asked = own.matrices(terms, low, high)
+        met = (tf > 0).astype(np.float32) @ asked > 0
+        score = np.where(met, np.round(impact @ weight, digits), -np.inf)
+        most = score if len(score) <= k else -np.partition(-score, k - 1, axis=0)[:k]
+        both = np.concatenate((best[:, low:high], most))
+        best[:, low:high] = -np.partition(-both, k - 1, axis=0)[:k]
+        at, query = np.nonzero(met & (score >= best[:, low:high].min(0)))
+        order = np.lexsort((at, -score[at, query], query))
+        at, query = at[order], query[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        at, query = at[keep], query[keep]
+        yield pa.RecordBatch.from_arrays([own.queries.take(pa.array(query + low)), part["id"].take(pa.array(at)), pa.array(score[at, query])], ["query_id", "id", "score"])
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of each query, of those that share a term with it."""
+    weights, mean = term_weights(docs, queries, text_col, query_id, query_text, epsilon)
+    return top(bm25_candidates(docs, weights, mean, k, id_col, text_col, k1, b, digits), k, ["query_id"])
+
+
+def bm25_of(pool: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(query_id, id, score) of the pairs of pool (query_id, id), which names each once, that share a term. Only documents of the
+    pool are scored; counts and lengths come from all documents."""
+    weights, mean = term_weights(docs, queries, text_col, query_id, query_text, epsilon)
+    told = docs.select(F.col(id_col).alias("id"), text_col).join(sent(pool.select("query_id", "id"), F.lit(32)), "id")
+    told = told.select("query_id", "id", tokens(text_col).alias("terms")).select("query_id", "id", F.size("terms").alias("length"), F.explode(term_counts(F.col("terms"))).alias("c"))
+    hit = told.select("query_id", "id", "length", "c.term", "c.tf").join(sent(weights, F.octet_length("term") + 32), ["query_id", "term"])
+    norm = k1 * (1 - b + b * F.col("length") / (mean or 1.0))
+    return hit.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
 def sent(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -322,8 +322,8 @@ s AS (SELECT item_id AS query_id, doc_id AS id, round(sum(times * idf * tf * 2.5
 @query(f"WITH {_BM25}, r AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark item."""
-    scored = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return retrieval.top(scored.withColumn("score", F.round("score", 6)), 10, ["query_id"]).select("query_id", "id", "score", "rank")
+    best = retrieval.bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _ASKED = "a AS (SELECT label, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS q FROM embeddings GROUP BY label)"
@@ -354,7 +354,7 @@ def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mine = pool.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     vector = retrieval.similarity(mine, _asked(pool), "label").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), "sim")
-    words = retrieval.bm25(docs, table(spark, sf_dir, "benchmark")).select("query_id", "id", F.round("score", 6).alias("bm25"))
+    words = retrieval.bm25_of(vector, docs, table(spark, sf_dir, "benchmark")).select("query_id", "id", F.round("score", 6).alias("bm25"))
     return retrieval.hybrid(vector, words).select("query_id", "id", F.round("score", 5).alias("score"))
 
 

@@ -216,3 +216,51 @@ def test_sections_like_a_loop(spark):
 
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert all(tuple(x.s) == loop(x.t) for x in df.select("t", X.listing_sections("t").alias("s")).collect())
+
+
+def _bm25_by_hand(docs, queries, k):
+    """The k best of each query, from all pairs."""
+    import collections
+    import math
+    import re
+
+    tok = lambda t: [x for x in re.findall("[a-z0-9+#.]+", (t or "").lower()) if len(x) > 1]
+    tf = [(i, collections.Counter(tok(t))) for i, t in docs]
+    df = collections.Counter(t for _, c in tf for t in c)
+    mean = sum(sum(c.values()) for _, c in tf) / len(tf)
+    idf = {t: math.log((len(tf) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    out = {}
+    for q, text in queries:
+        asked = collections.Counter(tok(text))
+        told = [(-round(sum(n * (low if idf[t] < 0 else idf[t]) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, n in asked.items() if t in c), 6), i) for i, c in tf if any(t in c for t in asked)]
+        out[q] = [(i, -s) for s, i in sorted(told)[:k]]
+    return out
+
+
+def test_bm25_without_all_pairs(spark, monkeypatch):
+    import random
+
+    from tessera.operators import retrieval
+
+    r = random.Random(21)
+    word = lambda: f"w{min(int(r.expovariate(0.02)), 400)}"
+    docs = [(k, " ".join(word() for _ in range(r.randint(0, 60)))) for k in range(1500)]
+    docs += [(2000 + k, docs[7][1]) for k in range(500)] + [(3000, None), (3001, "")]
+    queries = [(q, " ".join(word() for _ in range(12))) for q in range(30)] + [(30, docs[7][1]), (31, None), (32, "nothing like it")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame(queries, "item_id long, text string")
+    want = {(i, d_, s) for i, rows in _bm25_by_hand(docs, queries, 10).items() for d_, s in rows}
+    got = retrieval.bm25_top(d, q, 10).collect()
+    assert {(x.query_id, x.id, round(x.score, 6)) for x in got} == want and len(got) == len(want)
+    weights, mean = retrieval.term_weights(d, q)
+    assert retrieval.bm25_candidates(d, weights, mean, 10).count() < 0.1 * len(docs) * len(queries)
+    pool = spark.createDataFrame([(x % 33, i) for x, (i, _) in enumerate(docs)], "query_id long, id long")
+    every = {(i, d_): s for i, rows in _bm25_by_hand(docs, queries, len(docs)).items() for d_, s in rows}
+    some = {(x.query_id, x.id): round(x.score, 6) for x in retrieval.bm25_of(pool, d, q).collect()}
+    assert some == {(x % 33, i): every[(x % 33, i)] for x, (i, _) in enumerate(docs) if (x % 33, i) in every}
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 2000)  # queries in several parts
+    monkeypatch.setattr(retrieval, "DENSE", 5000)  # and in several blocks
+    got = retrieval.bm25_top(d, q, 10).collect()
+    assert {(x.query_id, x.id, round(x.score, 6)) for x in got} == want
+    assert retrieval.bm25_top(d.where("false"), q, 10).count() == retrieval.bm25_top(d, q.where("false"), 10).count() == 0
