@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from tessera.functions import text as X
 from tessera.operators import matching, ranking
 from tessera.operators import state as S
 from tessera.plans import listings as L
-from tessera.plans.queries import _AGE, _FITS, _PLACE, _TIERS, P, query, table
+from tessera.plans.queries import _AGE, _FITS, _HITS, _PLACE, _TIERS, P, query, table
 from tessera.plans.rules import BOARDS, _payloads
-from tessera.sources import readers, sinks
+from tessera.session import shared_folder
+from tessera.sources import payloads, readers, sinks
 
 _SAID = r"""CASE WHEN regexp_matches(x, '(?i)\bjust\s+posted\b|\btoday\b|\bhours?\s+ago\b|\bminutes?\s+ago\b') THEN 0 WHEN regexp_matches(x, '(?i)\byesterday\b') THEN 1
   ELSE coalesce(TRY_CAST(regexp_extract(x, '(?i)\b(\d+)\s*days?\s*ago\b', 1) AS INTEGER), 7 * TRY_CAST(regexp_extract(x, '(?i)\b(\d+)\s*weeks?\s*ago\b', 1) AS INTEGER),
@@ -116,12 +119,47 @@ def digest_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.digest_stats(_judged(spark, sf_dir), 5).select("input", "dropped_below_threshold", "dropped_location", "dropped_already_notified", F.col("truncated").cast("long").alias("truncated"), F.col("sent").cast("long").alias("sent"))
 
 
-@query(f"""WITH b AS (SELECT *, {L.sql_pick(BOARDS, 'p_partkey')} AS source FROM part), o AS (SELECT *, list_position({L._list([s[0] for s in D.SOURCES])}, source) AS at FROM b),
-s AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY p_partkey) <= 40 / 8)
-SELECT source, 'https://x.example/' || p_partkey AS apply_url FROM s""")
+#: Parts as jobs: a job comes back every 160 parts in the same source, and in the source beside it.
+_JOB_SQL = f"""k AS (SELECT p_partkey, CAST((p_partkey % 160) // 2 AS BIGINT) AS job, {L.sql_pick(BOARDS, 'p_partkey')} AS source FROM part),
+g AS (SELECT p_partkey, source, {L.sql_pick(L.TITLES, 'job')} AS title, 'Co ' || job AS company, {L.sql_pick(L.PHRASES, 'job')} || ' no. ' || job AS description, 'https://x.example/' || job AS apply_url FROM k
+  WHERE source NOT IN ('jobicy', 'workingnomads') AND NOT (source = 'themuse' AND p_partkey % 3 = 0)),
+one AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY source, company ORDER BY p_partkey) = 1),
+f AS (SELECT *, list_position({L._list([s[0] for s in D.SOURCES])}, source) AS rk FROM one QUALIFY row_number() OVER (PARTITION BY source ORDER BY p_partkey) <= 40 / 8),
+kept AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY apply_url ORDER BY rk, p_partkey) = 1)"""
+_EARLY_SQL = f"CAST(greatest(0, least(100, 14 * hits {' '.join(f"+ CASE WHEN {' OR '.join(f"contains(hay, '{w}')" for w in role.lower().split() if len(w) > 2)} THEN 4 ELSE 0 END" for role in P.role_phrases())})) AS INTEGER)"
+
+
+def _job_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of payload files of parts as jobs. One source is broken, one is empty, and one has bad payloads."""
+    n = F.col("p_partkey")
+    job = F.floor(n % 160 / 2).cast("long")
+    parts = table(spark, sf_dir, "part").select("p_partkey", L.pick(L.TITLES, job).alias("p_name"), F.concat(F.lit("Co "), job.cast("string")).alias("p_brand"), L.pick(L.PHRASES, job).alias("p_type"), job.alias("job"))
+    rows = _payloads(parts, F.col("job"), F.concat_ws(" ", "p_type", F.lit("no."), F.col("job").cast("string")))
+    bad = (F.col("source") == "jobicy") | ((F.col("source") == "themuse") & (F.col("seq") % 3 == 0))
+    payload = F.when(bad, "{oops").when(F.col("source") == "workingnomads", "[]").otherwise(F.col("payload"))
+    path = f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
+    payloads.write(rows.select("source", F.lit("20240131").alias("stamp"), "seq", payload.alias("payload")), path)
+    return path
+
+
+@query(f"""WITH {_JOB_SQL}, h AS (SELECT *, lower(title || ' ' || description || ' ' || CASE source WHEN 'weworkremotely' THEN '' WHEN 'themuse' THEN 'x' ELSE company END) AS hay FROM kept), n AS (SELECT *, {_HITS} AS hits FROM h)
+SELECT source, company, title, apply_url, {_EARLY_SQL} AS early FROM n ORDER BY early DESC, rk, p_partkey LIMIT 20""")
 def aggregate_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty rows over eight sources; no two share an address."""
-    return readers.aggregate(_payloads(table(spark, sf_dir, "part")), L.as_of(), BOARDS, 40).select("source", "apply_url")
+    """Forty rows over eight sources, with copies in and across them, ranked by a profile."""
+    path = _job_files(spark, sf_dir)
+    best = readers.aggregate(payloads.read(spark, path), L.as_of(), BOARDS, 40, P, lambda name: payloads.read(spark, path, name))
+    return best.orderBy(F.desc("early"), "seq").limit(20).select("source", "company", "title", "apply_url", "early")
+
+
+@query(f"""WITH {_JOB_SQL}, s AS (SELECT unnest({L._list([s[0] for s in D.SOURCES])}) AS source),
+c AS (SELECT source, count(*) AS returned, string_agg(title, '; ' ORDER BY p_partkey) AS sample_titles FROM f GROUP BY source), t AS (SELECT source, count(*) AS kept FROM kept GROUP BY source)
+SELECT source, CASE WHEN NOT list_contains({L._list(BOARDS)}, source) THEN 'skipped' WHEN source IN ('jobicy', 'themuse') THEN 'error' WHEN returned IS NULL THEN 'empty' ELSE 'ok' END AS status,
+  CAST(CASE WHEN list_contains({L._list(BOARDS)}, source) THEN 5 ELSE 0 END AS INTEGER) AS requested, coalesce(returned, 0) AS returned, coalesce(kept, 0) AS kept, coalesce(sample_titles, '') AS sample_titles FROM s LEFT JOIN c USING (source) LEFT JOIN t USING (source)""")
+def fetch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source was asked for, returned and kept, with its status; broken payloads fail no other source."""
+    path = _job_files(spark, sf_dir)
+    _, report = readers.aggregate_with_report(payloads.read(spark, path), L.as_of(), BOARDS, 40, P, lambda name: payloads.read(spark, path, name))
+    return report.select("source", "status", "requested", "returned", "kept", "sample_titles")
 
 
 @query("SELECT c_nationkey, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY c_nationkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
@@ -18,10 +18,12 @@ BOARDS = ["remotive", "remoteok", "arbeitnow", "jobicy", "himalayas", "themuse",
 _PLACE_OF = {"jobicy": "EMEA", "themuse": "A, B"}
 
 
-def _payloads(parts: DataFrame) -> DataFrame:
-    """(source, payload): each part as the only job of a payload in the form of one of the boards."""
-    title, company, key = F.col("p_name"), F.col("p_brand"), F.col("p_partkey").cast("string")
-    text, url, day = F.concat_ws(" ", F.lit("<p>"), "p_type", key, F.lit("</p>")), F.concat(F.lit("https://x.example/"), key), F.lit("2024-01-05")
+def _payloads(parts: DataFrame, job_key: Column | None = None, body: Column | None = None) -> DataFrame:
+    """(source, payload, seq): each part as the only job of a payload in the form of one of the boards."""
+    title, company = F.col("p_name"), F.col("p_brand")
+    key = (F.col("p_partkey") if job_key is None else job_key).cast("string")
+    body = F.concat_ws(" ", "p_type", key) if body is None else body
+    text, url, day = F.concat_ws(" ", F.lit("<p>"), body, F.lit("</p>")), F.concat(F.lit("https://x.example/"), key), F.lit("2024-01-05")
     job = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
     names = lambda *items: F.array(*[F.struct(F.lit(x).alias("name")) for x in items])
     under = lambda name, item: F.to_json(F.struct(F.array(item).alias(name)))

@@ -16,6 +16,7 @@ from tessera.functions import text as X
 from tessera.functions.temporal import posted_at
 from tessera.operators import matching, scoring, state
 from tessera.operators.profile import Profile, even_budget
+from tessera.session import checkpointed
 
 LISTING = ["source", "company", "title", "description", "skills", "location", "salary", "apply_url", "posted_at", "content_hash", "place"]
 
@@ -141,23 +142,59 @@ def lookup(name: str) -> Callable[..., DataFrame]:
     return READERS.get(name, aggregate)
 
 
-def aggregate(payloads: DataFrame, as_of: Column, asked: list[str] | None = None, limit: int | None = None, p: Profile | None = None) -> DataFrame:
-    """Listings of the readers asked for over payloads (source, payload, seq), with `seq`: in order of the registry, then of the
-    payloads. With a limit each source gives its first rows up to an even budget; then copies by hash or address go, the earlier
-    stays; then the best `limit` stay, by early relevance to p if there is one, then by date."""
+def aggregate(payloads: DataFrame, as_of: Column, asked: list[str] | None = None, limit: int | None = None, p: Profile | None = None, of: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Listings of the readers asked for over payloads (source, payload, seq), or of(source) for each source, with `seq`: in order of the registry, then of the
+    payloads. Copies by hash go within each source; with a limit each then gives its first rows up to an even budget; then copies by
+    hash or address go over all sources, the earlier stays; then the best `limit` stay, by early relevance to p if there is one, then
+    by date. A payload with `error`, if there is such a column, gives no rows."""
+    return _ranked(_distinct(_fetched(payloads, as_of, asked, limit, of)), limit, p)
+
+
+def _fetched(payloads: DataFrame, as_of: Column, asked: list[str] | None, limit: int | None, of: Callable[[str], DataFrame] | None) -> DataFrame:
+    """What the sources return: their own copies gone, cut to their budgets."""
     names = [s for s in resolved(asked or []) if s in READERS]
     budget = even_budget(limit, names) if limit is not None else {}
     out = None
     for k, name in enumerate(names):
-        one = READERS[name](payloads.where(F.col("source") == name), as_of)
+        mine = of(name) if of else payloads.where(F.col("source") == name)
+        mine = mine.where("error IS NULL") if "error" in mine.columns else mine
+        one = state.first_of(READERS[name](mine, as_of), "content_hash", "place")
         if limit is not None:
             one = one.orderBy("place").limit(budget[name])
         one = one.withColumn("seq", F.struct(F.lit(k).alias("source"), "place"))
         out = one if out is None else out.unionByName(one)
-    out = out.drop("place").withColumn("_identity", X.identity_key("apply_url", "company", "title"))
-    out = state.greedy_dedup(out, ("content_hash", "_identity")).drop("_identity")
+    return out.drop("place")
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("_identity", X.identity_key("apply_url", "company", "title"))
+    return state.greedy_dedup(rows, ("content_hash", "_identity")).drop("_identity")
+
+
+def _ranked(rows: DataFrame, limit: int | None, p: Profile | None) -> DataFrame:
     if limit is None:
-        return out
+        return rows
     hay = F.lower(F.concat_ws(" ", "title", "description", F.array_join("skills", " ")))
     early = scoring.early(F.col("title"), hay, matching.skill_hits(hay, p), p) if p else F.lit(0)
-    return out.withColumn("early", early.cast("int")).orderBy(F.desc("early"), F.desc_nulls_last("posted_at"), "seq").limit(limit)
+    return rows.withColumn("early", early.cast("int")).orderBy(F.desc("early"), F.desc_nulls_last("posted_at"), "seq").limit(limit)
+
+
+def aggregate_with_report(payloads: DataFrame, as_of: Column, asked: list[str], limit: int, p: Profile | None = None, of: Callable[[str], DataFrame] | None = None, samples: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(listings, report) of payloads (source, payload, seq, error). The report has a row for each source of the registry (source,
+    status, requested, returned, kept, detail, sample_titles): skipped if it wasn't asked for, error with the first error of its
+    payloads, empty without rows, else ok. A source keeps the rows of its good payloads, and other sources are not touched."""
+    fetched = checkpointed(_fetched(payloads, as_of, asked, limit, of))
+    kept = checkpointed(_distinct(fetched))
+    names = [s for s in resolved(asked) if s in READERS]
+    budget = even_budget(limit, names)
+    told = fetched.groupBy("source").agg(F.count("*").alias("returned"), F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("titles"))  # at most its budget
+    told = told.select("source", "returned", F.array_join(F.transform(F.slice("titles", 1, samples), lambda t: t["title"]), "; ").alias("sample_titles"))
+    bad = payloads.where("error IS NOT NULL").groupBy("source").agg(F.min_by("error", F.struct("seq", "error")).alias("error"))
+    sources = payloads.sparkSession.createDataFrame([(s[0], budget.get(s[0])) for s in D.SOURCES], "source string, budget int")
+    rows = sources.join(told, "source", "left").join(kept.groupBy("source").agg(F.count("*").alias("kept")), "source", "left").join(bad, "source", "left")
+    skipped, none = F.col("budget").isNull(), F.col("returned").isNull()
+    status = F.when(skipped, "skipped").when(F.col("error").isNotNull(), "error").when(none, "empty").otherwise("ok")
+    detail = F.when(skipped, "not asked for").when(F.col("error").isNotNull(), F.substring("error", 1, 300)).when(none, "no rows").otherwise("")
+    zero = lambda c: F.when(skipped, 0).otherwise(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
+    report = rows.select("source", status.alias("status"), F.coalesce("budget", F.lit(0)).alias("requested"), zero("returned"), zero("kept"), detail.alias("detail"), F.when(skipped, "").otherwise(X.text("sample_titles")).alias("sample_titles"))
+    return _ranked(kept, limit, p), report

@@ -264,3 +264,30 @@ def test_bm25_without_all_pairs(spark, monkeypatch):
     got = retrieval.bm25_top(d, q, 10).collect()
     assert {(x.query_id, x.id, round(x.score, 6)) for x in got} == want
     assert retrieval.bm25_top(d.where("false"), q, 10).count() == retrieval.bm25_top(d, q.where("false"), 10).count() == 0
+
+
+def test_payload_files_and_what_is_wrong_with_them(spark, tmp_path):
+    from tessera.sources import payloads
+
+    job = lambda title: json.dumps({"jobs": [{"title": title, "company_name": "Co", "companyName": "Co", "jobTitle": title, "description": title, "jobDescription": title, "url": f"https://a/{title}"}]})
+    rows = [("remotive", "20240101", 1, job("A")), ("remotive", "20240102", 2, job("A")), ("remotive", "20240102", 3, job("B")), ("jobicy", "20240102", 4, job("C")), ("jobicy", "20240102", 5, "{oops"), ("himalayas", "20240102", 6, None), ("weworkremotely", "20240102", 7, "<rss><channel>")]
+    path = str(tmp_path / "p")
+    payloads.write(spark.createDataFrame(rows, "source string, stamp string, seq long, payload string"), path)
+    (tmp_path / "p" / "source=remotive" / "stamp=20240103").mkdir()
+    (tmp_path / "p" / "source=remotive" / "stamp=20240103" / "x.json").write_text('not json\n\n{"seq": 9, "payload": "[]"}')
+    every = payloads.read(spark, path)
+    assert sorted((r.source, r.seq) for r in every.where("error IS NULL").collect()) == [("jobicy", 4), ("remotive", 1), ("remotive", 2), ("remotive", 3), ("remotive", 9)]
+    assert every.where("error IS NOT NULL").count() == 4
+    assert every.where("source = 'jobicy'").union(every.where("source = 'remotive'")).count() == 7  # one load, two filters
+    one = payloads.read(spark, path, "remotive", "20240102")
+    assert sorted(str(r.seq) for r in one.collect()) == ["2", "3", "9", "None"]
+    reader = payloads.PayloadReader(path, True)
+    left = list(reader.pushFilters([payloads.EqualTo(("source",), "remotive"), payloads.GreaterThanOrEqual(("stamp",), "20240102"), payloads.EqualTo(("seq",), 2)]))
+    assert len(left) == 1 and {(p.source, p.stamp) for p in reader.partitions()} == {("remotive", "20240102"), ("remotive", "20240103")}
+    gone = payloads.PayloadFile(f"{path}/none.json", "remotive", "x")
+    assert [bool(r[-1]) for r in reader.read(gone)] == [True]
+    listings, report = readers.aggregate_with_report(every, as_of(), ["remotive", "jobicy", "himalayas", "weworkremotely"], 8, of=lambda name: payloads.read(spark, path, name))
+    assert sorted(r.title for r in listings.collect()) == ["A", "B", "C"]  # two of remotive, though its first two rows are copies
+    told = {r.source: (r.status, r.requested, r.returned, r.kept) for r in report.collect()}
+    assert told["remotive"] == ("error", 2, 2, 2) and told["jobicy"] == ("error", 2, 1, 1) and told["himalayas"] == ("error", 2, 0, 0) and told["indeed"] == ("skipped", 0, 0, 0)
+    assert payloads.read(spark, str(tmp_path / "nothing")).count() == 0
