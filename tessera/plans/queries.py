@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from tessera.functions import text as X
 from tessera.operators import filters, matching, reporting, retrieval, scoring, state
 from tessera.operators.profile import city_aliases, expand_skill, place_tokens, preferred_cities
 from tessera.plans import listings as L
+from tessera.session import shared_folder
 from tessera.sources import readers
 from tessera.streaming import notices
 
@@ -493,10 +495,26 @@ def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 
-@query()
+#: Events of a key in order; a fold that knows the score of the last notice.
+_NOTICES_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id || ':' || event_type AS state_key, CAST(floor(((value % 100) + 100) % 100) AS INTEGER) AS match_score, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT state_key, k, event_id, match_score, match_score AS last, 'new' AS reason FROM e WHERE k = 1 UNION ALL
+  SELECT e.state_key, e.k, e.event_id, e.match_score, CASE WHEN e.match_score - f.last >= 10 THEN e.match_score ELSE f.last END, CASE WHEN e.match_score - f.last >= 10 THEN 'score_jump' ELSE 'already_notified' END
+  FROM f JOIN e ON e.state_key = f.state_key AND e.k = f.k + 1)
+SELECT state_key, event_id, match_score, reason FROM f"""
+
+
+@query(_NOTICES_SQL)
 def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U02 to U04 on a stream of events."""
-    return notices.run_once(notices.notices(notices.event_stream(spark, f"{sf_dir}/events.parquet")), "notices")
+    """U02 to U04 on a stream of events that come in three micro-batches, the later half of the month before the earlier one; the
+    last holds one row of a later month, by which the watermark passes all others."""
+    events = table(spark, sf_dir, "events")
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    end = events.agg(*[(F.max(c) + F.make_dt_interval(F.lit(200)) if c == "ts" else F.lit(-1).cast(events.schema[c].dataType) if c == "user_id" else F.max(c)).alias(c) for c in events.columns])
+    root = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    for part in (events.where(F.col("ts") >= half), events.where(F.col("ts") < half), end):
+        part.coalesce(1).write.mode("append").parquet(root)
+    told = notices.run_once(notices.notices(notices.event_stream(spark, root, 1), late="100 days"), "notices")
+    return told.where(~F.col("state_key").startswith("-1:"))
 
 
 @query("SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, count(*) AS n, CAST(sum(CAST(floor(((value % 100) + 100) % 100) AS INTEGER)) AS BIGINT) AS total FROM events GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Notices as a stream: each key remembers the score of its last notice."""
+"""Notices as a stream: each key remembers the score of its last notice, in order of event time, and is forgotten after a while."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.session import shared_folder
@@ -17,28 +17,75 @@ from tessera.session import shared_folder
 OUT = "state_key string, event_id long, match_score int, reason string"
 
 
-def notices(events: DataFrame, delta: int = 10) -> DataFrame:
-    """(state_key, event_id, match_score, reason) for each of events (state_key, event_id, ts, match_score), in order of ts and
-    event_id within a micro-batch, as a stream has no order across them: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+class Noticer(StatefulProcessor):
+    """One key's notices in order of event time. Rows wait until the watermark has passed them, so that neither their order within a
+    micro-batch nor that of micro-batches matters; a key that has been quiet for `keep_ms` of event time leaves the state."""
+
+    def __init__(self, delta: int, keep_ms: int):
+        self.delta, self.keep_ms = max(1, delta), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_ms long, event_id long, match_score int")
+        self.last = handle.getValueState("last", "match_score int, ts_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Rows are kept, and woken up for when the first of them is passed."""
+        met = pd.concat(list(rows))
+        at = met["ts"].astype("int64") // (1000 if str(met["ts"].dtype).startswith("datetime64[us") else 1_000_000)
+        self.waiting.appendList(list(zip(at.tolist(), met["event_id"].tolist(), met["match_score"].tolist(), strict=True)))
+        self.handle.registerTimer(int(at.min()))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get())
+        ripe = [r for r in rows if r[0] <= now]
+        later = rows[len(ripe) :]
+        last = self.last.get()
+        score, seen = (last[0], last[1]) if last else (None, None)
         said = []
-        for score in rows["match_score"]:
-            why = "new" if last is None else "score_jump" if score - last >= max(1, delta) else "already_notified"
-            last = int(score) if why != "already_notified" else last
-            said.append(why)
-        state.update((last,))
-        yield pd.DataFrame({"state_key": key[0], "event_id": rows["event_id"], "match_score": rows["match_score"], "reason": said})
-
-    return events.groupBy("state_key").applyInPandasWithState(update, OUT, "last int", "append", GroupStateTimeout.NoTimeout)
+        for at, event, new in ripe:
+            if seen is not None and at - seen > self.keep_ms:
+                score = None  # it was forgotten by then
+            why = "new" if score is None else "score_jump" if new - score >= self.delta else "already_notified"
+            score, seen = (new if why != "already_notified" else score), at
+            said.append((key[0], event, new, why))
+        if ripe and later:
+            self.waiting.put(later)
+        elif ripe:
+            self.waiting.clear()
+        if later:
+            self.handle.registerTimer(later[0][0])
+        elif seen is not None and now > seen + self.keep_ms:
+            self.last.clear()
+            seen = None
+        if seen is not None:
+            if ripe:
+                self.last.update((score, seen))
+            if not later:
+                self.handle.registerTimer(seen + self.keep_ms + 1)
+        yield pd.DataFrame(said, columns=["state_key", "event_id", "match_score", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def notices(events: DataFrame, delta: int = 10, late: str = "1 hour", keep_days: float = 90) -> DataFrame:
+    """(state_key, event_id, match_score, reason) for each of events (state_key, event_id, ts, match_score), in order of ts and
+    event_id: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified. A row is told
+    once the watermark, `late` behind the newest row, has passed it; rows that come later than that are dropped. A key without rows
+    for `keep_days` of event time is forgotten."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = events.withWatermark("ts", late).groupBy("state_key")
+    return keyed.transformWithStateInPandas(Noticer(delta, int(keep_days * 86_400_000)), OUT, "Append", "EventTime")
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """events as a stream of (state_key, event_id, ts, match_score)."""
+def event_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
+    """events as a stream of (state_key, event_id, ts, match_score); a path may be a folder of files."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(re.sub(r"(.)$", r"[\1]", path))  # as a pattern: a stream takes no single file by its name
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(re.sub(r"(.)$", r"[\1]", path))  # as a pattern: a stream takes no single file by its name
     key = F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_type"))
     return rows.select(key.alias("state_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.pmod(F.col("value"), F.lit(100))).cast("int").alias("match_score"))
 

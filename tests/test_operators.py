@@ -291,3 +291,25 @@ def test_payload_files_and_what_is_wrong_with_them(spark, tmp_path):
     told = {r.source: (r.status, r.requested, r.returned, r.kept) for r in report.collect()}
     assert told["remotive"] == ("error", 2, 2, 2) and told["jobicy"] == ("error", 2, 1, 1) and told["himalayas"] == ("error", 2, 0, 0) and told["indeed"] == ("skipped", 0, 0, 0)
     assert payloads.read(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_notices_keep_their_order_across_micro_batches(spark, tmp_path):
+    """Batches in any order give what a loop in order of time gives; quiet keys are forgotten; rows behind the watermark go."""
+    from tessera.streaming import notices
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    kind = "user_id int, event_type string, event_id long, ts timestamp_ntz, value double"
+    batches = [
+        [(1, "a", 3, day(9), 80.0), (1, "a", 4, day(10), 95.0), (2, "a", 7, day(3), 5.0)],
+        [(1, "a", 1, day(1), 50.0), (1, "a", 2, day(2), 55.0), (2, "a", 6, day(3), 50.0)],
+        [(3, "a", 8, day(60), 1.0)],
+        [(1, "a", 5, day(61), 10.0), (2, "a", 12, day(45), 1.0)],
+        [(3, "a", 11, day(200), 1.0), (1, "a", 9, day(2), 99.0), (2, "a", 10, day(12), 1.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = notices.notices(notices.event_stream(spark, str(tmp_path / "e"), 1), late="20 days", keep_days=30)
+    got = {r.event_id: (r.state_key, r.reason) for r in notices.run_once(stream, "test").collect()}
+    assert {k: v[1] for k, v in got.items() if v[0] == "1:a"} == {1: "new", 2: "already_notified", 3: "score_jump", 4: "score_jump", 5: "new"}
+    assert {k: v[1] for k, v in got.items() if v[0] == "2:a"} == {6: "new", 7: "already_notified", 12: "new"}
+    assert got[8][1] == "new" and 11 not in got  # the last row still waits
