@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
+from tessera.functions.seen import Seen
 
 TOKEN = r"[a-z0-9+#.]+"
 
@@ -72,9 +73,9 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text(c)), F.lit(TOKEN.removesuffix("+") + "{2,}"), F.lit(0))
 
 
-def has_word(c: Column, word: str) -> Column:
+def has_word(c: Column | Seen, word: str) -> Column:
     """The word as a whole, also beside letters outside ASCII."""
-    return c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){escaped(word)}([^\p{{L}}\p{{N}}_]|$)")
+    return c.word(word) if isinstance(c, Seen) else c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){escaped(word)}([^\p{{L}}\p{{N}}_]|$)")
 
 
 def escaped(word: str) -> str:

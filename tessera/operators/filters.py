@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.seen import Seen
 from tessera.functions.text import text
 from tessera.operators import fields
 from tessera.operators import matching as M
@@ -17,16 +18,18 @@ def with_reason(listings: DataFrame, p: Profile) -> DataFrame:
     words = F.concat_ws(" ", text("title"), text("description"), text("requirements"))
     hay = F.lower(F.concat_ws(" ", words, F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")))
     told = listings.withColumns({"_hay": hay, "_years": M.required_years(words), "_tier": M.job_tier("title", "description")})
-    told = told.withColumn("_hits", M.skill_hits(F.col("_hay"), p))
+    seen = Seen("_seen")  # one pass over each text answers all rules
+    hits = M.skill_hits(seen, p)
     rules = [
         ("internship", F.lit(p.exclude_internships) & M.is_internship("title", "description")),
         ("experience_mismatch", F.lit(p.strict_experience) & ~(M.tier_fits(F.col("_tier"), p) & M.years_fit(F.col("_years"), p))),
-        ("enterprise_stack", M.enterprise_mismatch(F.col("_hay"), p)),
-        ("role_mismatch", ~fields.role_fits(F.lower(text("title")), F.col("_hay"), F.col("_hits"), p)),
+        ("enterprise_stack", M.enterprise_mismatch(seen, p)),
+        ("role_mismatch", ~fields.role_fits(F.lower(text("title")), seen, F.col("_hits"), p)),
         ("location_mismatch", ~M.place_fits("location", p)),
     ]
+    told = told.withColumn("_seen", seen.column(F.col("_hay"))).withColumn("_hits", hits)
     # judged before the exchange, so that a query for reasons alone moves no texts
-    told = told.withColumn("_reason", F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in rules])).drop("_hay", "_years", "_tier", "_hits")
+    told = told.withColumn("_reason", F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in rules])).drop("_hay", "_seen", "_years", "_tier", "_hits")
     copy = F.row_number().over(Window.partitionBy("content_hash").orderBy("seq")) > 1
     return told.withColumn("reject_reason", F.when(copy, "duplicate").otherwise(F.col("_reason"))).drop("_reason")
 

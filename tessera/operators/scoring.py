@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
 from tessera.functions import temporal as T
+from tessera.functions.seen import Seen
 from tessera.functions.text import clamped, strip, text
 from tessera.operators import fields
 from tessera.operators import matching as M
@@ -48,7 +49,9 @@ def location_fit(c: Column | str, p: Profile) -> Column:
 def composite(listings: DataFrame, p: Profile, as_of: Column) -> DataFrame:
     """listings with the five parts and relevance; sales titles have none."""
     hay = F.lower(F.concat_ws(" ", text("title"), text("description"), text("requirements"), F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")))
-    out = listings.withColumn("_hay", hay).withColumn("hits", M.skill_hits(F.col("_hay"), p)).withColumns({
+    seen = Seen("_seen")  # one pass over each text finds all terms of the skills
+    hits = M.skill_hits(seen, p)
+    out = listings.withColumn("_seen", seen.column(hay)).withColumn("hits", hits).withColumns({
         "title_part": title_relevance("title", p),
         "skills_part": M.overlap_percent(F.col("hits"), p) / 100.0,
         "seniority_part": seniority_proximity(M.job_tier("title", "description"), p),
@@ -56,7 +59,7 @@ def composite(listings: DataFrame, p: Profile, as_of: Column) -> DataFrame:
         "location_part": location_fit("location", p),
     })
     total = sum((F.lit(w) * F.col(f"{n}_part") for n, w in COMPOSITE.items()), F.lit(0.0))
-    return out.withColumn("relevance", F.when(M.is_sales("title"), 0).otherwise(clamped(total))).drop("_hay")
+    return out.withColumn("relevance", F.when(M.is_sales("title"), 0).otherwise(clamped(total))).drop("_seen")
 
 
 def blended(parts: dict[str, Column], used_llm: bool) -> Column:

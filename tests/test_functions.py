@@ -105,3 +105,21 @@ def test_budgets():
     assert sum(weighted_budget(100, {"a": 3, "b": 2, "c": 1}).values()) == 100
     assert split_limit(5, 2) == [3, 2]
     assert cities_in("New Delhi or greater noida") == ["noida", "delhi"]
+
+
+def test_terms_seen_in_one_pass(spark):
+    import random
+
+    from tessera.functions.seen import Seen
+    from tessera.functions.text import has_word
+
+    r = random.Random(31)
+    terms = ["sql", "c++", "go", "machine learning", "ml", "a", "é", "sq", "sql server", ".net"]
+    parts = [*terms, " ", " ", "x", "_", "7", "é", ".", "\n", "-", "漢", "²"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)] + [None, "", "sql"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    seen = Seen("_seen")
+    rules = [c for t in terms for c in (seen.contains(t), has_word(seen, t))]
+    plain = [c for t in terms for c in (F.col("t").contains(t), has_word(F.col("t"), t))]
+    both = df.withColumn("_seen", seen.column(F.col("t"))).select("t", F.array(*rules).alias("a"), F.array(*[F.coalesce(c, F.lit(False)) for c in plain]).alias("b")).collect()
+    assert len(both) == len(texts) and all(x.a == x.b for x in both)
