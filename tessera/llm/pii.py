@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, prefixed, read
+from tessera.operators.matching import once
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # of fewer digits it can't be a card, and a run is taken whole or not at all: a table of numbers holds no match
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without these holds no match.
@@ -44,9 +46,12 @@ REACH, CONTEXT = 100, 5
 TERM_BYTES = 32 << 20
 #: Spans that are gathered in one array before another is begun, so that many take linear time.
 _RUN = 512
+#: Matches that are placed one after another.
+_BLOCK = 32
 
 
 _SPAN = "struct<kind:string,start:int,end:int,match:string>"
+_CUT = "struct<from:int,start:int,put:string>"
 _FOUND = "struct<start:int,end:int,share:double,put:string>"
 
 
@@ -75,11 +80,11 @@ def _checker(kind: str) -> Callable[[Column], Column]:
 
 
 def _positions(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, match>>: the pieces between the matches give the offsets."""
-    step = "struct<at:int,found:array<struct<kind:string,start:int,end:int,match:string>>>"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>").alias("found"))
+    """array<struct<kind, start, end, match>>: the pieces between the matches give the offsets. Matches are placed in blocks, each
+    from the sum of the blocks before it, so that the work for many matches grows with their number."""
+    step = f"struct<at:int,found:array<{_SPAN}>>"
+    all_pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")), lambda p: p["m"].isNotNull())
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def put(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
@@ -87,7 +92,16 @@ def _positions(text: Column, pattern: str, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found")).cast(step)
 
-    return F.aggregate(pairs, empty.cast(step), put, lambda acc: acc["found"])
+    def placed(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), none.alias("found")).cast(step), put, lambda acc: acc["found"])
+
+    def in_blocks(pairs: Column) -> Column:
+        block = lambda k: F.slice(pairs, k * _BLOCK + 1, F.lit(_BLOCK))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(block(k), F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["m"])))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return once(begins, lambda at: F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda first, k: placed(block(k), first))))
+
+    return once(all_pairs, lambda pairs: F.when(F.size(pairs) == 0, none).when(F.size(pairs) <= _BLOCK, placed(pairs, F.lit(0))).otherwise(in_blocks(pairs)))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,7 +111,7 @@ def base_spans(text: Column) -> Column:
     for kind in KINDS:
         near = text.contains(_HINT[kind]) if kind in _HINT else F.lit(True)
         if kind in ("ip", "card"):
-            near = near & text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9]{2}|[0-9][ -][0-9]")
+            near = near & text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else PATTERNS[kind])
         spans = F.filter(_positions(text, PATTERNS[kind], kind), _checker(kind))
         found.append(F.when(near, spans).otherwise(none))
     return F.concat(*found)
@@ -247,11 +261,23 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put"))),
     )
-    step = "struct<at:int,out:array<string>>"
-    put = lambda acc, s: F.when(s["end"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s["put"])).alias("out")).cast(step)).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("out"))).cast(step)
-    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(step)
-    return found.select("doc_id", F.aggregate(F.array_sort(cuts), start, put, last).alias("text"))
+    # cuts are disjoint or nested after this; pieces between them are taken by position, without a fold over the text
+    step = f"struct<at:int,done:array<array<{_CUT}>>,run:array<{_CUT}>>"
+
+    def merge(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["at"])
+        new = F.array(F.struct(acc["at"].alias("from"), begin.alias("start"), F.when(s["start"] < acc["at"], F.lit("")).otherwise(s["put"]).alias("put")))
+        full = F.size(acc["run"]) >= _RUN
+        told = F.struct(s["end"].alias("at"), F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"), F.when(full, new).otherwise(F.concat(acc["run"], new)).alias("run")).cast(step)
+        return F.when(s["end"] <= acc["at"], acc).otherwise(told)
+
+    def joined(acc: Column) -> Column:
+        cut = F.flatten(F.concat(acc["done"], F.array(acc["run"])))
+        pieces = F.transform(cut, lambda c: F.concat(F.substring("text", c["from"] + 1, c["start"] - c["from"]), c["put"]))
+        return F.concat(F.array_join(pieces, ""), F.substring("text", acc["at"] + 1, F.length("text")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_CUT}>>").alias("done"), F.array().cast(f"array<{_CUT}>").alias("run")).cast(step)
+    return found.select("doc_id", F.aggregate(F.array_sort(cuts), start, merge, joined).alias("text"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -729,3 +729,19 @@ def test_skewed_and_empty_rings():
     skewed = sharding.assign({3: 1000, 9: 1}, 16, 64)
     assert sum(b - a for _, a, b, *_ in skewed) == 1001
     assert sharding.assign({}, 16, 64) == []
+
+
+def test_very_many_values_in_one_text_take_linear_time(spark):
+    import time
+
+    numbers = ",".join(str(k % 1000) for k in range(260_000))
+    mails = " ".join(f"u{k % 97}@h.io" for k in range(110_000))
+    mixed = " ".join(f"+1 555 {k % 10}10 99{k % 90 + 10} 4111 1111 1111 1111, 10.0.{k % 300}.9 a{k}@b.org" for k in range(400))
+    assert len(numbers) > 1_000_000 and len(mails) > 900_000
+    docs = spark.createDataFrame([(1, "warm 1.2.3.4 a@b.c")], "doc_id long, text string")
+    pii.with_base(docs, "doc_id", "text").select("base").collect()
+    for text, limit in ((numbers, 5), (mails, 10), (mixed, 10)):
+        began = time.time()
+        row = pii.with_base(spark.createDataFrame([(1, text)], docs.schema), "doc_id", "text").select(F.size("base").alias("n"), F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("base")).first()
+        assert time.time() - began < limit
+        assert [tuple(s) for s in row.base] == pii_spans(text) and row.n == len(row.base)
