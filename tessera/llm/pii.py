@@ -174,7 +174,7 @@ def _counted(keyed: DataFrame, spans: DataFrame, as_term: Callable[[Column], Col
     # only the terms that may disclose something reach an exchange
     wanted = _sent(checkpointed(pairs.select("term").distinct()), F.octet_length("term") + 8)
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), as_term))
-    hits = keyed.select(F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"), F.explode(words).alias("term")).join(wanted, "term")
+    hits = keyed.select(F.xxhash64("text").alias("copy"), F.hash("text").alias("copy2"), F.explode(words).alias("term")).join(wanted, "term", "left_semi")
     return pairs, entities, hits.distinct().groupBy("term").agg(F.count("*").alias("n_t")), n
 
 
