@@ -1,13 +1,14 @@
 """Secret scan: rule matches, and base64, hex and token candidates that are confirmed by decoding their structure.
 
-Method (structural confirmation): a long run of base64 or hex characters is reported only after it decodes to a private key
-(DER whose nested lengths fit exactly at each level, down to what its algorithm puts inside, or the length-prefixed fields of an
+Method (structural confirmation): candidates in base64 (of both alphabets) and hex are reported only after they decode to a private
+key (DER whose nested lengths fit exactly at each level, down to what its algorithm puts inside, or the length-prefixed fields of an
 OpenSSH key); three dotted base64url parts only after the first decodes to a JSON header that names an algorithm and the second
 to a JSON object (the third is empty if and only if the algorithm is `none`); five parts only after the first decodes to a header
 that names an algorithm and an encryption.
 
-Every line of a base64 run may begin a key, and its own header tells how long it is, so keys are found whatever lines stand
-before and behind them. Lines may be indented, and line ends may be written as `\\n`.
+A key may begin at any character, and its own header tells how long it is, so keys are found whatever stands before and behind them.
+Their lines may have any width from eight characters on, be quoted, indented or string literals, and end with a written `\\n`; hex
+may have colons, commas, blanks, `0x` or `\\x` between bytes. Keys of over 64 kB are not looked for.
 
 Defined cases: a null text counts as empty and has no span; repeated rows each give a row; a very long text is scanned whole;
 other columns are not read, so their names can't clash; an empty table gives an empty result. Offsets count code points, the end
@@ -18,11 +19,10 @@ from __future__ import annotations
 
 import base64
 import binascii
-import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +41,23 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _JWE = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+){3}(?![A-Za-z0-9_-])")
-#: What may stand between two lines of base64: a line end, also a written one, and white space around it.
-_BREAK = r"(?:[ \t]*+(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*+)"
-_B64 = re.compile(rf"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n))[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*={{0,2}}")
-_LINES = re.compile(_BREAK)
-_B64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
+#: Bytes that a key has at most, so that many half keys in one text take linear time.
+MOST_BYTES = 1 << 16
+# Where the base64 of a key may begin: a DER sequence whose first value is a number or a sequence, by the three forms of its length
+_DER_START = re.compile(r"M(?=[A-H][AEIMQUYcgkosw048][Cw]|I[GH][A-Za-z0-9+/_-](?:A[g-v]|M[A-P])|I[I-L][A-Za-z0-9+/_-]{2}[AQgwDTjz][A-DI-L])")
 _SSH_START = base64.b64encode(b"openssh-key-v1\0").decode()
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+_B64 = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!---))+")
+#: What may stand between two pieces of a key: white space, line ends (also written ones), quotes, marks of quoted lines, joints of
+#: string literals.
+_B64_GAP = re.compile(r"""(?:\\{1,2}[rn]|[\s"'`>|*#,;:&\\]|(?<=[\s"'`])(?:\+|//)(?=[\s"'`\\])){1,200}+""")
+_LINE_END = re.compile(r"\n|\\n")
+_G = r"""(?:\\{1,2}[rnx]|0[xX]|[\s"'`>|*#,;:\\]){0,200}+"""
+_H = "[0-9A-Fa-f]"
+# the same as hex: version 0 or 1, or a sequence that begins with an object's name
+_DER_HEX = re.compile(rf"3(?=0{_G}(?:[0-7]{_H}|81{_G}{_H}{{2}}|82{_G}{_H}{{2}}{_G}{_H}{{2}}){_G}(?:02{_G}01{_G}0[01]|30{_G}(?:[0-7]{_H}|81{_G}{_H}{{2}}){_G}06))")
+_SSH_HEX = re.compile(_G.join(f"{x:02x}" for x in b"openssh"), re.IGNORECASE)
+_HEX_BYTES = re.compile(rf"(?:{_H}{{2}})+")
+_HEX_GAP = re.compile(_G.replace("{0,", "{1,"))
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -143,11 +153,10 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= count <= 64 and at + 8 + size < len(data)
 
 
-def key_size(flat: str, at: int) -> int | None:
-    """Bytes that the key whose base64 begins at this character has by its header; 0 if an OpenSSH key is cut short by the end;
-    None if no key begins here."""
-    if flat.startswith(_SSH_START, at):
-        data = _decoded(flat[at : len(flat) - ((len(flat) - at) % 4 == 1)])
+def key_size(data: bytes) -> int | None:
+    """Bytes that the key which begins data has by its header; 0 if an OpenSSH key is cut short by the end of data; None if no key
+    begins here, or one of over MOST_BYTES."""
+    if data.startswith(b"openssh-key-v1\0"):
         if not is_ssh_key(data):
             return None
         end, fields = 15, 3
@@ -160,39 +169,67 @@ def key_size(flat: str, at: int) -> int | None:
                 return 0
             end += 4 + int.from_bytes(data[end : end + 4], "big")
         return end if end <= len(data) else 0
-    head = _decoded(flat[at : at + 12])
-    if len(head) < 9 or head[0] != 0x30:
+    if len(data) < 9 or data[0] != 0x30:
         return None
-    n = head[1] & 0x7F if head[1] >= 0x80 else 0
-    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):  # a version comes first, or an algorithm
+    n = data[1] & 0x7F if data[1] >= 0x80 else 0
+    if n > 4 or data[1] == 0x80:
         return None
-    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-
-
-def keys_in(run: str) -> list[tuple[int, int]]:
-    """(start, end) of the private keys in consecutive lines of base64; one begins with a line or right behind another."""
-    body = run.rstrip("=")
-    ends = [m.span() for m in _LINES.finditer(body)]
-    lines = [(a, body[a:b]) for a, b in zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(body)], strict=True)]
-    flat = "".join(x for _, x in lines).replace("-", "+").replace("_", "/")
-    first = [0]  # of each line in flat
-    for _, x in lines:
-        first.append(first[-1] + len(x))
-    place = lambda at: (k := bisect.bisect_right(first, at) - 1, lines[k][0] + at - first[k])[1]
-    out, at = [], 0
-    while at < len(flat):
-        size = key_size(flat, at)
-        end = len(flat) if size == 0 else at + ((size or 0) * 8 + 5) // 6
-        if size is not None and end <= len(flat) and (size == 0 or is_der_key(data := _decoded(flat[at:end])[:size]) or is_ssh_key(data)):
-            out.append((place(at), len(run) if end == len(flat) else place(end - 1) + 1))
-            at = end
-        else:
-            at = first[bisect.bisect_right(first, at)]
+    size, first = 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1]), data[2 + n : 5 + n]
+    versioned = first in (b"\2\1\0", b"\2\1\1")
+    return size if size <= MOST_BYTES and (versioned or first[:1] == b"\x30") else None
+
+
+def _pieces(text: str, at: int, most: int, data: re.Pattern, gap: re.Pattern) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of at most so many characters that gaps part."""
+    out = []
+    while most > 0 and (m := data.match(text, at, min(len(text), at + most))):
+        out.append(m.span())
+        most -= m.end() - m.start()
+        at = m.end()
+        if most > 0 and (m := gap.match(text, at)):
+            at = m.end()
+    return out
+
+
+def _key_at(text: str, at: int, data: re.Pattern, gap: re.Pattern, decode: Callable[[str], bytes], bits: int) -> tuple[int, int] | None:
+    """(start, end) of the private key whose characters, of so many bits each, begin at this place."""
+    read = lambda size: [*_pieces(text, at, -(-8 * size // bits), data, gap)]
+    flat = lambda pieces: decode("".join(text[a:b] for a, b in pieces))
+    head = flat(read(18))
+    pieces = read(MOST_BYTES) if head.startswith(b"openssh-key-v1\0") else []
+    size = key_size(flat(pieces) if pieces else head)
+    if size is None:
+        return None
+    if size:
+        pieces = read(size)
+        found = flat(pieces)[:size]
+        if not (is_der_key(found) or is_ssh_key(found)):
+            return None
+    else:  # cut short: as far as its lines go
+        whole = next((k for k in range(1, len(pieces)) if not _LINE_END.search(text, pieces[k - 1][1], pieces[k][0])), len(pieces))
+        pieces = pieces[:whole]
+    end = pieces[-1][1]
+    return at, end + (len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")) if bits == 6 and size % 3 != 0 or not size else 0)
+
+
+def key_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the private keys in base64 and hex."""
+    out = []
+    for starts, data, gap, decode, bits in (
+        ((_DER_START, re.compile(_SSH_START)), _B64, _B64_GAP, _decoded, 6),
+        ((_DER_HEX, _SSH_HEX), _HEX_BYTES, _HEX_GAP, bytes.fromhex, 4),
+    ):
+        for start in starts:
+            last = 0
+            for m in start.finditer(text):
+                if m.start() >= last and (found := _key_at(text, m.start(), data, gap, decode, bits)):
+                    out.append(found)
+                    last = found[1]
     return out
 
 
 def _decoded(text: str) -> bytes:
-    text = re.sub(r"[\r\n=]", "", text).replace("-", "+").replace("_", "/")
+    text = text.replace("-", "+").replace("_", "/")[: len(text) - (len(text) % 4 == 1)]
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -227,13 +264,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             head = _json(m[1])
             if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str):
                 out.append(("jwt", *m.span()))
-    for pattern in (_B64, _B64_URL):
-        for m in pattern.finditer(text):
-            out += [("key", m.start() + a, m.start() + b) for a, b in keys_in(m[0])]
-    for m in _LONG_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_der_key(data) or is_ssh_key(data):
-            out.append(("key", *m.span()))
+    out += [("key", a, b) for a, b in key_spans(text)]
     return out
 
 

@@ -38,7 +38,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     """(vec_id, v array<long>) of the rows that take part."""
     slim = prefixed(vectors, vec_id=id_col, e=vector_col)
     finite = F.forall("e", lambda x: F.coalesce((x.cast("double") > float("-inf")) & (x.cast("double") < float("inf")), F.lit(False)))
-    slim = slim.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(finite)
+    slim = slim.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(finite)
     return slim.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("e", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
@@ -203,10 +203,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 ), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

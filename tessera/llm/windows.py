@@ -115,8 +115,8 @@ class Chunk:
     """The documents of one chunk in order (of id, if that tells which place is first), their units, and their runs."""
 
     def __init__(self, table: pa.Table, unit: str, length: int, gram: int, by_id: bool):
-        order = pc.sort_indices(table, [("doc_id", "ascending")] * by_id + [("text", "ascending")])
-        self.table = table.select(["doc_id", "text"]).take(order)
+        order = pc.sort_indices(table, [("doc_id", "ascending"), ("tie", "ascending")] * by_id + [("text", "ascending")])
+        self.table = table.select(["doc_id", "text", *["tie"] * by_id]).take(order)
         raws, starts, counts, hashes, docs, offsets, sizes, places = [], [], [], [], [], [], [], []
         unit_at = doc_at = byte_at = 0
         edges = []  # byte starts and ends of words
@@ -197,7 +197,7 @@ def _rows(kind: pa.Schema, **columns: list) -> pa.Table:
 
 _NAMED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("anchors", pa.binary()), ("times", pa.binary()), ("windows", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary()), ("single", pa.binary())])
-_PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary()), ("place", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+_PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("tie", pa.binary()), ("at", pa.binary()), ("anchor", pa.binary()), ("place", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 _VERDICT = pa.schema([("chunk", pa.int64()), ("run", pa.binary()), ("n", pa.binary()), ("flags", pa.binary())])
 
 
@@ -252,7 +252,7 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
     """For each packed run of one bucket, a flag for each of its windows: 0 stands once; 1 every place of it is repeated; 2 so is
     every place but the first in its chunk, which is the first of all (only with keep_first)."""
     chunk = np.repeat(np.arange(table.num_rows), [len(x.as_py()) // 8 for x in table["anchor"]])
-    run, n, doc, at, place, size = (_joined(table[c], "<i8") for c in ("run", "n", "doc", "at", "place", "size"))
+    run, n, doc, tie, at, place, size = (_joined(table[c], "<i8") for c in ("run", "n", "doc", "tie", "at", "place", "size"))
     strings: list[bytes] = []
     for raw, sizes in zip(table["bytes"], _numbers(table["size"], "<i8"), strict=True):
         raw, ends = raw.as_py(), np.cumsum(sizes).tolist()
@@ -266,7 +266,7 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
     seen: dict[bytes, int] = {}
     text = np.array([seen.setdefault(s, k) for k, s in enumerate(strings)], np.int64)
     copied |= np.bincount(text, minlength=len(n))[text] > 1
-    alike = np.lexsort((ids, at, doc, text))
+    alike = np.lexsort((ids, at, tie, doc, text))
     bounds = np.append(np.flatnonzero(np.concatenate((np.ones(min(1, len(n)), bool), np.diff(text[alike]) != 0))), len(n))
     owner = np.zeros(len(n), np.int64)
     owner[text[alike[bounds[:-1]]]] = alike[bounds[:-1]]
@@ -301,7 +301,7 @@ def _verdicts(table: pa.Table, unit: str, length: int, keep_first: bool) -> pa.T
             lead[index] = False
             if keep_first and len(index):
                 k = owner[batch[of[index]]]
-                order = np.lexsort((ids[k], at[k] + j[index], doc[k], group))
+                order = np.lexsort((ids[k], at[k] + j[index], tie[k], doc[k], group))
                 lead[index[order[np.concatenate(([True], np.diff(group[order]) != 0))]]] = True
         if keep_first:
             flag[lead & (flag > 0)] = 2
@@ -338,7 +338,8 @@ def _batches(strings: np.ndarray, family: np.ndarray, n: np.ndarray, limit: int
 
 def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first: bool, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """finish(chunk, covered) for each chunk of documents, where covered tells for each unit whether a repeated window covers it;
-    with keep_first, a window's first place (by document id, then position) doesn't count as repeated; then ids must be integers."""
+    with keep_first, a window's first place (by document id, then the text's hash, then position) doesn't count as repeated; then ids
+    must be integers."""
     spark = docs.sparkSession
     slim = prefixed(docs, doc_id=id_col, text=text_col)
     if keep_first and not isinstance(slim.schema["doc_id"].dataType, IntegralType):
@@ -346,9 +347,9 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
     mb = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     chunks = int(mb / CHUNK_MB) + 1
     parts = parts_for(spark, mb, 4 * CHUNK_MB)
-    # rows that share an id, or have none, are told apart by where they are read
+    # rows that share an id, or have none, are dealt by where they are read; their order is that of their texts' hashes
     place = F.xxhash64(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.spark_partition_id())
-    dealt = slim.select("doc_id", "text", F.pmod(place, F.lit(chunks)).alias("chunk")).repartition(max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk").groupBy("chunk")
+    dealt = slim.select("doc_id", "text", *[F.xxhash64("text").alias("tie")] * keep_first, F.pmod(place, F.lit(chunks)).alias("chunk")).repartition(max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk").groupBy("chunk")
     limit = HOT_WINDOWS
     chunk_of = lambda table: Chunk(table, unit, length, gram, keep_first)
 
@@ -388,11 +389,12 @@ def mark_repeats(docs: DataFrame, unit: str, length: int, gram: int, keep_first:
         doc = np.searchsorted(own.first, start, side="right") - 1
         if keep_first:
             ids = np.array([(1 << 62) if x is None else x for x in own.table["doc_id"].to_pylist()], np.int64)[doc]
+            ties = own.table["tie"].to_numpy()[doc]
         else:
-            ids = np.zeros(len(doc), np.int64)
+            ids = ties = np.zeros(len(doc), np.int64)
         n = np.where(copies > 1, -n, n)
         size = np.array([len(x) for x in packed], np.int64)
-        columns = {"run": run, "n": n, "doc": ids, "at": start - own.first[doc], "anchor": anchor, "place": at, "size": size}
+        columns = {"run": run, "n": n, "doc": ids, "tie": ties, "at": start - own.first[doc], "anchor": anchor, "place": at, "size": size}
         rows = {f.name: [] for f in _PACKED}
         for part, x in _split(anchor, parts):
             for field, value in columns.items():

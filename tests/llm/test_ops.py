@@ -7,6 +7,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -114,6 +115,34 @@ def test_keys_in_other_dress():
         assert not secrets.is_der_key(wrong)
 
 
+def test_keys_however_they_are_laid_out():
+    r = random.Random(26)
+    number = lambda n: der(2, b"\1" + r.randbytes(n))
+    key = der(0x30, der(2, b"\0") + number(64) + der(2, b"\1\0\1") + b"".join(number(32) for _ in range(6)))
+    b64, url, hexa = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode(), key.hex()
+    cut = lambda t, n: [t[k : k + n] for k in range(0, len(t), n)]
+    pairs = cut(hexa, 2)
+    bodies = ["\n".join(cut(b64, n)) for n in (8, 16, 32, 38, 76)] + ["\n".join(cut(url, 40)), " ".join(cut(b64, 64)), "\n> ".join(cut(b64, 64)), "\n>> ".join(cut(b64, 64))]
+    bodies += ['"\n  "'.join(cut(b64, 64)), '" +\n  "'.join(cut(b64, 64)), '\\n" +\n  "'.join(cut(b64, 64)), "',\n'".join(cut(b64, 64)), "\n# ".join(cut(b64, 64)), "\n// ".join(cut(b64, 64))]
+    bodies += [hexa, hexa.upper(), "\n".join(cut(hexa, 60)), ":".join(pairs), " ".join(pairs), ", 0x".join(pairs), "\\x".join(pairs), ":\n    ".join(":".join(pairs[k : k + 15]) for k in range(0, len(pairs), 15))]
+    for body in bodies:
+        for front, end in (("", ""), ("keys/", " and so on"), ("key = \"", "\";"), ("a", "\n-----END RSA PRIVATE KEY-----"), ("> ", "\n"), ("0x", "\n")):
+            text = f"some words {front}{body}{end}"
+            at = len("some words " + front)
+            assert [(a, b) for kind, a, b in secrets.find_spans(text) if kind == "key"] == [(at, at + len(body))], (body[:80], front)
+    at = key.index(b"\2\x41") + 1
+    broken = key[:at] + b"\x42" + key[at + 1 :]  # one nested length is wrong
+    assert not [1 for kind, *_ in secrets.find_spans("\n".join(cut(base64.b64encode(broken).decode(), 64)) + " " + broken.hex()) if kind == "key"]
+
+
+def test_many_half_keys_take_linear_time():
+    half = "MIIEowIBAAKCAQEA"
+    for text in (half * 20_000, f"{half} " * 20_000, "30820122020100" * 20_000, f"{secrets._SSH_START} " * 2_000):
+        start = time.perf_counter()
+        secrets.key_spans(text)
+        assert time.perf_counter() - start < 20
+
+
 def test_tokens_of_all_kinds():
     url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     signed = f"{url({'alg': 'RS256'})}.{url({'sub': 'me'})}.{'s' * 43}"
@@ -558,12 +587,12 @@ def test_large_families_are_sorted_by_offset(monkeypatch):
 
     r = random.Random(13)
     texts = [" ".join(r.choice(["a", "b", "c"]) for _ in range(300)) for _ in range(10)] * 2
-    table = pa.table({"doc_id": pa.array(range(20), pa.int64()), "text": texts})
+    table = pa.table({"doc_id": pa.array(range(20), pa.int64()), "tie": pa.array([0] * 20, pa.int64()), "text": texts})
     own = windows.Chunk(table, "word", 12, 2, True)
     run = np.arange(len(own.start))
     strings = own.packed(run)
     doc = np.searchsorted(own.first, own.start, side="right") - 1
-    columns = {"run": run, "n": own.n, "doc": doc, "at": own.start - own.first[doc], "anchor": own.anchor, "place": own.place, "size": np.array([len(s) for s in strings])}
+    columns = {"run": run, "n": own.n, "doc": doc, "tie": np.zeros(len(run), np.int64), "at": own.start - own.first[doc], "anchor": own.anchor, "place": own.place, "size": np.array([len(s) for s in strings])}
     row = {"part": [0], "chunk": [0], **{k: [v.tobytes()] for k, v in columns.items()}, "bytes": [b"".join(strings)]}
     packed = windows._rows(windows._PACKED, **row)
     for keep_first in (False, True):
@@ -621,6 +650,28 @@ def test_op8(spark, corpus, hot_windows):
     assert named(got.elements()) == named(want) and sum(got.values()) == len(want)
 
 
+def test_first_places_do_not_depend_on_partitions(spark, monkeypatch):
+    """Rows that share an id, or have none, in few or many chunks."""
+    monkeypatch.setattr(windows, "CHUNK_MB", 0.01)
+    r = random.Random(36)
+    common = [bytes(r.choices(range(97, 123), k=150)).decode() for _ in range(6)]
+    rows = [(r.choice([None, None, 1, 2]), " ".join(r.sample(common, 3) + [str(k % 50)])) for k in range(120)]
+    want = None
+    for n in (1, 2, 7):
+        got = bag(suffixes.remove_later(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), with_bytes=False).collect())
+        want = want or got
+        assert got == want
+
+
+def test_empty_vectors_take_part(spark):
+    for rows in ([(k, []) for k in range(4)], [(0, []), (1, [1.0]), (2, [-1.0]), (50, [2.0, 1.0])]):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+        assert got and bag(got) == bag(con.execute(topk.OP9_SQL).fetchall())
+
+
 def test_op9(spark, corpus):
     root, _ = corpus
     c = duckdb.connect()
