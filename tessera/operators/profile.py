@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
 from tessera.functions import dictionaries as D
 
 _TOKEN = re.compile(r"[a-z0-9+#.]+")
@@ -66,6 +72,13 @@ def canonical_skill(skill: str) -> str:
     return next((name for name, near in D.SKILL_ALIASES.items() if key == name or key in near), key)
 
 
+def canonical_skills(c: Column) -> Column:
+    """canonical_skill of a column."""
+    pairs = {near: name for name, others in reversed(D.SKILL_ALIASES.items()) for near in (name, *others)}
+    key = F.lower(F.trim(c))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), key), key)
+
+
 def normal_place(text: str) -> str:
     return re.sub(r"[^a-z0-9\s]+", " ", text.lower()).strip()
 
@@ -131,3 +144,35 @@ def weighted_budget(total: int, weights: dict[str, float], least: int = 8) -> di
 def split_limit(limit: int, queries: int) -> list[int]:
     """A limit over queries, one each at least while the limit lasts."""
     return list(even_budget(limit, [str(k) for k in range(queries)]).values())
+
+
+def split_limits(limit: Column, queries: Column) -> Column:
+    """array<int>, split_limit of columns."""
+    n, left = F.greatest(queries, F.lit(0)).cast("int"), F.greatest(limit, F.lit(0)).cast("int")
+    share = lambda k: (F.floor(left / n) + (k <= left % n).cast("int")).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), share)).otherwise(F.array().cast("array<int>"))
+
+
+class WeightedBudget:
+    """A table function over the rows of one group (name, weight), of which there are as many as sources: (name, budget)."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, total: AnalyzeArgument, least: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or rows.dataType is None or {"name", "weight"} - set(rows.dataType.fieldNames()):
+            raise ValueError("rows must be a table of name and weight")
+        return AnalyzeResult(StructType([StructField("name", StringType()), StructField("budget", IntegerType())]))
+
+    def __init__(self) -> None:
+        self.weights: dict[str, float] = {}
+        self.total = self.least = 0
+
+    def eval(self, rows: Row, total: int, least: int) -> None:
+        self.weights[rows["name"]], self.total, self.least = rows["weight"], total, least
+
+    def terminate(self) -> Iterator[tuple[str, int]]:
+        yield from weighted_budget(self.total, dict(sorted(self.weights.items())), self.least).items()
+
+
+def register_budget(spark: SparkSession) -> None:
+    """weighted_budget(TABLE(...) PARTITION BY ..., total, least) in SQL."""
+    spark.udtf.register("weighted_budget", udtf(WeightedBudget))

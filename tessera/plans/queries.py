@@ -113,7 +113,17 @@ def listing_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.listings(spark, sf_dir).select("seq", X.fingerprint("title", "company", "description", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss")).alias("fingerprint"))
 
 
-@query()
+_SECTIONED = "'Intro' || chr(10) || 'Requirements:' || chr(10) || text || chr(10) || 'Nice to have' || chr(10) || 'Patience'"
+
+
+def _section(mode: str) -> str:
+    return f"""coalesce({_strip(f"string_agg(line, chr(10) ORDER BY k) FILTER (WHERE head IS NULL AND mode = '{mode}')")}, '')"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_split_to_array({_SECTIONED}, '\r\n|\r|\n') AS x FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS k FROM t),
+h AS (SELECT *, CASE WHEN regexp_matches({_strip('line')}, '{D.REQUIREMENTS_HEADER}') THEN 'requirements' WHEN regexp_matches({_strip('line')}, '{D.NICE_HEADER}') THEN 'nice' END AS head FROM u),
+m AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), 'body') AS mode FROM h)
+SELECT doc_id, {_section('body')} AS body, sha256({_section('requirements')}) AS requirements_sha256, {_section('nice')} AS nice FROM m GROUP BY doc_id""")
 def listing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a text with headers put around its lines."""
     docs = table(spark, sf_dir, "documents").where("text is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
 from tessera.functions import text as X
-from tessera.operators import matching, ranking
+from tessera.operators import matching, ranking, reporting
 from tessera.operators import state as S
 from tessera.plans import listings as L
 from tessera.plans.queries import _AGE, _FITS, _HITS, _PLACE, _TIERS, P, query, table
@@ -30,10 +30,8 @@ _ORDER = f"CASE WHEN posted_at IS NULL THEN 1 WHEN {_AGE.format('posted_at')} <=
 @query(f"""WITH {L.SQL}, {_RECOVERED} SELECT seq, posted_at, CAST(row_number() OVER (ORDER BY {_ORDER}, posted_at DESC, seq) AS INTEGER) AS place FROM rec WHERE posted_at >= TIMESTAMP '{L.AS_OF_TEXT}' - INTERVAL 30 DAY""")
 def recent_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of thirty days, dates recovered, open listings first. The place of every row is the query's own report."""
-    from pyspark.sql import Window
-
     rows = ranking.recent(L.listings(spark, sf_dir), L.as_of(), 30)
-    return rows.select("seq", "posted_at", F.row_number().over(Window.orderBy(*ranking.recent_order())).alias("place"))
+    return reporting.placed(rows.select("seq", "posted_at", "hiring_order"), *ranking.recent_order()).select("seq", "posted_at", "place")
 
 
 _LABEL = f"({L._list(D.TIER_LABELS)})[tier + 1]"

@@ -1,12 +1,16 @@
 """Order-dependent operators, readers and sinks on small cases."""
 
 import datetime as dt
+import glob
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.operators import state
-from tessera.sources import readers, sinks
+from tessera.operators import profile, reporting, state
+from tessera.sources import readers, sinks, tables
 
 
 
@@ -313,3 +317,87 @@ def test_notices_keep_their_order_across_micro_batches(spark, tmp_path):
     assert {k: v[1] for k, v in got.items() if v[0] == "1:a"} == {1: "new", 2: "already_notified", 3: "score_jump", 4: "score_jump", 5: "new"}
     assert {k: v[1] for k, v in got.items() if v[0] == "2:a"} == {6: "new", 7: "already_notified", 12: "new"}
     assert got[8][1] == "new" and 11 not in got  # the last row still waits
+
+
+def _counted(stored, batch):
+    """A merge whose result shows a batch that is counted twice."""
+    return stored.select("k", "n").union(batch.select("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def test_batches_rewrite_only_their_buckets_and_replays_nothing(spark, tmp_path):
+    schema, path = StructType([StructField("k", LongType()), StructField("n", LongType())]), str(tmp_path / "t")
+    batch = lambda *keys: spark.createDataFrame([(k, 1) for k in keys], schema)
+    files = lambda: {f for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    rows = lambda: sorted((r.k, r.n, r.batch) for r in tables.read(spark, path, schema).collect())
+    tables.create(spark, path, schema)
+    assert rows() == []
+    assert tables.upsert(batch(*range(40), 3), 0, path, schema, "k", _counted, 8) == list(range(8))
+    before = files()
+    touched = tables.upsert(batch(3, 100), 1, path, schema, "k", _counted, 8)
+    assert 1 <= len(touched) <= 2 and len(before & files()) == 8 - len(touched)
+    want = rows()
+    assert (3, 3, 1) in want and (100, 1, 1) in want and len(want) == 41
+    before = files()
+    for number, again in ((1, batch(3, 100)), (0, batch(*range(40), 3))):
+        tables.upsert(again, number, path, schema, "k", _counted, 8)
+        held = {r.k: r.n for r in tables.read(spark, path, schema).collect()}
+        assert held == {k: n for k, n, _ in want}
+    tables.upsert(spark.createDataFrame([], schema), 2, path, schema, "k", _counted, 8)
+    assert rows() == want and before == files()
+
+
+def test_a_replay_after_a_crash_takes_the_buckets_that_are_missing(spark, tmp_path):
+    schema, path = StructType([StructField("k", LongType()), StructField("n", LongType())]), str(tmp_path / "t")
+    whole = spark.createDataFrame([(k, 1) for k in range(40)], schema)
+    tables.create(spark, path, schema)
+    half = whole.where(tables.bucket("k", 8) < 4)
+    assert tables.upsert(half, 5, path, schema, "k", _counted, 8) == [0, 1, 2, 3]
+    assert tables.upsert(whole, 5, path, schema, "k", _counted, 8) == [4, 5, 6, 7]
+    assert sorted((r.k, r.n) for r in tables.read(spark, path, schema).collect()) == [(k, 1) for k in range(40)]
+
+
+def test_upserts_of_a_stream(spark, tmp_path):
+    schema, path = StructType([StructField("k", LongType()), StructField("n", LongType())]), str(tmp_path / "t")
+    tables.create(spark, path, schema)
+    for keys in ((1, 2, 3), (3, 4)):
+        spark.createDataFrame([(k, 1) for k in keys], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        tables.upsert_stream(stream, path, str(tmp_path / "log"), schema, "k", _counted, 4)
+    assert sorted((r.k, r.n) for r in tables.read(spark, path, schema).collect()) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+
+
+def test_only_new_keys_are_appended(spark, tmp_path):
+    schema, path = StructType([StructField("k", LongType()), StructField("n", LongType())]), str(tmp_path / "t")
+    tables.create(spark, path, schema)
+    for number, keys in enumerate(((1, 2, None), (2, 3, 3), (2, 3))):
+        tables.append_new(spark.createDataFrame([(k, number) for k in keys if k is not None], schema), number, path, schema, "k", 4)
+    assert sorted((r.k, r.n, r.batch) for r in tables.read(spark, path, schema).collect()) == [(1, 0, 0), (2, 0, 0), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_places_in_a_total_order(spark, n):
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, 3]), k) for k in range(n)]
+    r.shuffle(rows)
+    got = reporting.placed(spark.createDataFrame(rows, "a int, seq long").repartition(7), F.desc_nulls_last("a"), F.col("seq"))
+    want = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [(x.a, x.seq) for x in sorted(got.collect(), key=lambda x: x.place)] == want and sorted(x.place for x in got.collect()) == list(range(1, n + 1))
+
+
+def test_budgets_of_the_table_function_are_those_of_the_rule(spark):
+    r = random.Random(9)
+    profile.register_budget(spark)
+    for total in (0, 5, 40, 333):
+        weights = {f"s{k}": float(r.choice([1, 1, 2, 30])) for k in range(r.randint(1, 9))}
+        t = spark.createDataFrame([("g", *x) for x in weights.items()], "g string, name string, weight double")
+        got = spark.sql(f"SELECT b.* FROM weighted_budget(TABLE({{t}}) PARTITION BY (g), {total}, 8) b", t=t).collect()
+        assert {x.name: x.budget for x in got} == profile.weighted_budget(total, weights)
+    rows = [(limit, n) for limit in (-1, 0, 3, 20) for n in (-1, 0, 1, 7)]
+    for x in spark.createDataFrame(rows, "limit int, n int").withColumn("parts", profile.split_limits(F.col("limit"), F.col("n"))).collect():
+        assert x.parts == profile.split_limit(x.limit, x.n)
+
+
+def test_canonical_skills_of_a_column(spark):
+    known = ["ML", " machine learning", "rust", "", "K8s", "natural language"]
+    got = spark.createDataFrame([(s,) for s in known], "s string").withColumn("c", profile.canonical_skills(F.col("s"))).collect()
+    assert all(x.c == profile.canonical_skill(x.s) for x in got)

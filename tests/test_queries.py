@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tessera.plans import queries as Q
-from tessera.plans import careers, ranked, rules  # noqa: F401  they register their queries
+from tessera.plans import careers, ranked, rules, stored  # noqa: F401  they register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
