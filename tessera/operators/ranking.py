@@ -84,8 +84,8 @@ def final_order(matches: DataFrame, least: int, top_n: int = 8) -> DataFrame:
 
 def judged_for_digest(matches: DataFrame, notified: DataFrame, p: Profile, least: int, as_of: Column, delta: int = 10) -> DataFrame:
     """matches with `dropped`: below_threshold, location or already_notified, the first that holds, null for the others; and with
-    notice, why one is sent, and hiring_order."""
-    told = state.prior_notice(matches, notified)
+    notice, why one is sent, and hiring_order. A notice without a date leaves the date to the next one of the same listing."""
+    told = state.prior_notice(matches, notified, known=("match_score", "posted_at", "listing_fingerprint"))
     why = state.notice_reason(F.col("match_score"), F.col("posted_at"), F.col("listing_fingerprint"), F.lit(True), F.col("prior"), delta)
     dropped = F.when(F.col("match_score") < least, "below_threshold").when(~M.place_fits("location", p), "location").when(why == "already_notified", "already_notified")
     return told.withColumns({"notice": why, "dropped": dropped, "hiring_order": T.hiring_order(T.hiring_class(F.col("posted_at"), as_of))}).drop("prior")
