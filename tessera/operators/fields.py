@@ -233,12 +233,22 @@ def is_soft_phrase(c: Column | str) -> Column:
     return (low == "") | M.any_of([low.contains(m) for m in T.SOFT_PHRASES]) | is_sales_phrase(c) | prose
 
 
+def is_missing_skill(c: Column | str, p: Profile, blob: str = "") -> Column:
+    """Whether a phrase names a skill that a profile may be said to lack: it is technical, isn't covered by the profile, and isn't long
+    prose. Case doesn't matter. blob is the profile's text."""
+    english = "english" in blob.lower()
+
+    def judged(s: Column) -> Column:
+        told = ~is_soft_phrase(s) & ~((F.length(s) > 60) & ~s.rlike(T.YEARS_GAP))
+        told = told & ~F.lower(s).contains("english") if english else told
+        return told & (F.size(M.verified_skills(F.array(s), p)) == 0)
+
+    return M.once(strip(c), judged)
+
+
 def missing_skills(claimed: Column, p: Profile, blob: str = "") -> Column:
-    """Of skills that a profile is said to lack, those that are technical, aren't covered by it, and aren't long prose; the first of
-    those that differ only in case. blob is the profile's text."""
-    english = F.lit("english" in blob.lower())
-    new = F.filter(dedup_words(claimed), lambda s: ~is_soft_phrase(s) & ~(F.lower(s).contains("english") & english) & ~((F.length(s) > 60) & ~s.rlike(T.YEARS_GAP)))
-    return F.array_except(new, M.verified_skills(new, p))
+    """Of skills that a profile is said to lack, those that it may be said to; the first of those that differ only in case."""
+    return F.filter(dedup_words(claimed), lambda s: is_missing_skill(s, p, blob))
 
 
 def is_technical(blob: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
 from tessera.functions import taxonomy as T
-from tessera.operators import fields, matching, people
+from tessera.functions import text as X
+from tessera.operators import fields, matching, people, retrieval
 from tessera.plans import listings as L
 from tessera.plans.queries import _any, _field_title, _holds, _n_keywords, _tech_title, _word, query, table
+from tessera.session import checkpointed
 
 P = L.PROFILE
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -118,10 +120,15 @@ _OWN = sorted(P.terms())
 @query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, trim({L.sql_pick(CLAIMED, 'l_partkey')}) AS s FROM lineitem), f AS (SELECT l_orderkey, lower(s) AS c, arg_min(s, {{'a': l_linenumber, 'b': s}}) AS s, min(l_linenumber) AS k FROM x GROUP BY l_orderkey, lower(s))
 SELECT l_orderkey, coalesce(array_to_string(list(s ORDER BY k, s) FILTER (WHERE NOT {_SOFT} AND NOT (length(c) > 60 AND NOT regexp_matches(c, {_q(T.YEARS_GAP)})) AND NOT list_has_any(list_concat([c], regexp_extract_all(c, '[a-z0-9+#.]+')), {L._list(_OWN)})), '; '), '') AS missing FROM f GROUP BY l_orderkey""")
 def missing_skill_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phrases of an order's lines as skills that the profile is said to lack."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", L.pick(CLAIMED, F.col("l_partkey")).alias("s")).alias("x"))
-    claimed = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("claimed"))  # at most seven lines
-    return claimed.select("l_orderkey", F.array_join(fields.missing_skills(F.col("claimed"), P), "; ").alias("missing"))
+    """The phrases of an order's lines as skills that the profile is said to lack. Each different phrase is judged once."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", L.pick(CLAIMED, F.col("l_partkey")).alias("said"))
+    s = X.strip("said")
+    judged = checkpointed(lines.select("said").distinct().where("said IS NOT NULL").select("said", s.alias("s"), F.lower(s).alias("low"), fields.is_missing_skill("said", P).alias("lacks")))
+    told = lines.join(retrieval.sent(judged, F.octet_length("said") * 3 + 32), "said", "left")
+    named = F.array_sort(F.collect_list(F.when(F.col("lacks"), F.struct("l_linenumber", "s", "low"))))  # at most seven lines
+    claimed = told.groupBy("l_orderkey").agg(named.alias("claimed"))
+    first = F.filter("claimed", lambda x, k: F.array_position(F.col("claimed.low"), x["low"]) == k + 1)
+    return claimed.select("l_orderkey", F.array_join(F.transform(first, lambda x: x["s"]), "; ").alias("missing"))
 
 
 # ---------------------------------------------------------------- profiles

@@ -17,3 +17,16 @@ def test_a_notice_without_a_date_leaves_it_to_the_next(spark):
     matches = spark.createDataFrame(rows, kind.format("seq")).withColumn("location", F.lit("Bangalore"))
     out = ranking.judged_for_digest(matches, spark.createDataFrame(told, kind.format("notice_id")), L.PROFILE, 60, L.as_of())
     assert {r.seq: r.notice for r in out.collect()} == {4: "listing_refreshed", 5: "already_notified", 6: "already_notified", 7: "already_notified"}
+
+
+def test_phrases_are_judged_once_each(spark):
+    from tessera.operators import fields
+    from tessera.plans import careers
+
+    own = careers.P
+    said = spark.createDataFrame([(s,) for s in [*careers.CLAIMED, "RUST ", "rust", "fluent English"]] + [(None,)], "s string")
+    for blob in ("", "speaks English"):
+        told = said.select("s", fields.is_missing_skill("s", own, blob).alias("one"), (F.size(fields.missing_skills(F.array("s"), own, blob)) > 0).alias("all")).collect()
+        assert all(r.one == r["all"] for r in told) and {r.s for r in told if r.one} >= {"Terraform", "rust"}
+    plan = careers.missing_skill_cleanup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "mindset" not in plan  # no phrase is judged again for each line
