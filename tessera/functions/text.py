@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from tessera.functions.seen import Seen
 TOKEN = r"[a-z0-9+#.]+"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f names it: conditions and lambdas would evaluate it again in each branch."""
+    return F.transform(F.array(c), f)[0]
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -169,7 +176,8 @@ def is_challenge(c: Column | str, status: Column | None = None) -> Column:
 def dedup_words(c: Column | str) -> Column:
     """Items that aren't blank, stripped, the first of those that differ only in case."""
     items = F.filter(F.transform(F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")), strip), lambda s: s != "")
-    return F.aggregate(items, F.array().cast("array<string>"), lambda acc, s: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(s)), acc).otherwise(F.concat(acc, F.array(s))))
+    first = lambda own: once(F.transform(own, F.lower), lambda low: F.filter(own, lambda s, k: F.array_position(low, F.get(low, k)) == k + 1))
+    return once(items, first)
 
 
 def recommendation(c: Column | str) -> Column:

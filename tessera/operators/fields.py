@@ -136,7 +136,8 @@ def _lits(items: list[str]) -> Column:
 
 def roles_of(preferred: Column, role: Column) -> Column:
     """Preferred roles, else the role, else a software engineer's."""
-    return F.when(F.size(_texts(preferred)) > 0, _texts(preferred)).when(strip(role) != "", F.array(strip(role))).otherwise(_lits(["software engineer"]))
+    own = lambda r: F.when(r != "", F.array(r)).otherwise(_lits(["software engineer"]))
+    return M.once(_texts(preferred), lambda p: F.when(F.size(p) > 0, p).otherwise(M.once(strip(role), own)))
 
 
 def inferred_fields(blob: Column) -> Column:
@@ -158,11 +159,8 @@ def field_labels(names: Column) -> Column:
 
 def _of_focus(focus: Column, pick: str) -> Column:
     """The list that a field has under that name; empty without a focus."""
-    one = F.lower(strip(focus))
-    out = F.array().cast("array<string>")
-    for n, f in FIELDS.items():
-        out = F.when(one == n, _lits(getattr(f, pick))).otherwise(out)
-    return out
+    lists = F.create_map(*[x for n, f in FIELDS.items() for x in (F.lit(n), _lits(getattr(f, pick)))])
+    return F.coalesce(F.try_element_at(lists, F.lower(strip(focus))), F.array().cast("array<string>"))
 
 
 def adjacent_roles(preferred: Column, role: Column, focus: Column, blob: Column) -> Column:
@@ -175,34 +173,44 @@ def adjacent_roles(preferred: Column, role: Column, focus: Column, blob: Column)
 
 def searched_skills(skills: Column, focus: Column, limit: int = 10) -> Column:
     """Skills to search for: those of the focus first, then the others, then what the catalog has in common with them."""
-    own = _texts(skills)
+
+    def told(of: Column) -> Column:
+        own, low, hints = of["own"], of["low"], of["hints"]
+        near = F.filter(own, lambda s, k: M.once(F.get(low, k), lambda x: F.exists(hints, lambda h: x.contains(h) | h.contains(x))))
+        catalog = F.when(F.size(hints) > 0, hints).otherwise(_lits(T.CATALOG))
+        known = F.filter(catalog, lambda k: F.exists(low, lambda s: s.contains(k)))
+        clean = F.transform(F.concat(near, own, known), lambda s: F.regexp_replace(s, r"\s+", " "))
+        usable = F.filter(clean, lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(*T.NOT_SEARCHED))
+        return F.slice(dedup_words(usable), 1, limit)
+
     hints = F.transform(_of_focus(focus, "keywords"), F.lower)
-    near = lambda s: F.exists(hints, lambda h: F.lower(s).contains(h) | h.contains(F.lower(s)))
-    catalog = F.when(F.size(hints) > 0, hints).otherwise(_lits(T.CATALOG))
-    known = F.filter(catalog, lambda k: F.exists(own, lambda s: F.lower(s).contains(k)))
-    clean = lambda s: F.regexp_replace(s, r"\s+", " ")
-    usable = F.filter(F.transform(F.concat(F.filter(own, near), own, known), clean), lambda s: (F.length(s) >= 2) & ~F.lower(s).isin(*T.NOT_SEARCHED))
-    return F.slice(dedup_words(usable), 1, limit)
+    return M.once(_texts(skills), lambda own: M.once(F.struct(own.alias("own"), F.transform(own, F.lower).alias("low"), hints.alias("hints")), told))
 
 
 def search_queries(skills: Column, preferred: Column, role: Column, focus: Column, tier: Column, most: int = 6) -> Column:
     """At most `most` (1 to 8) searches: the focus' roles and terms, the roles (as a junior up to tier 1), skills, skills with a
-    role, and the first skills together."""
+    role, and the first skills together. Each part is told once."""
     most = max(1, min(8, most))
-    roles, terms, of_focus = roles_of(preferred, role), searched_skills(skills, focus), F.slice(_of_focus(focus, "search"), 1, 2)
-    as_junior = F.flatten(F.transform(F.slice(roles, 1, 3), lambda r: F.when(tier <= 1, F.array(F.concat(F.lit("junior "), r), r)).otherwise(F.array(r))))
-    first = dedup_words(F.concat(of_focus, as_junior))
-    step = "struct<out:array<string>,full:boolean>"
+    step, none = "struct<out:array<string>,full:boolean>", F.array().cast("array<string>")
 
     def add(acc: Column, s: Column) -> Column:
         met = F.exists(acc["out"], lambda q: F.lower(q) == F.lower(s))
-        grown = F.when(met, acc["out"]).otherwise(F.concat(acc["out"], F.array(s)))
-        return F.when(acc["full"], acc).otherwise(F.struct(grown.alias("out"), (F.size(grown) >= most - 1).alias("full")).cast(step))
-
-    with_skills = F.aggregate(terms, F.struct(first.alias("out"), F.lit(False).alias("full")).cast(step), add, lambda acc: acc["out"])
-    pair = lambda k: F.when(F.size(terms) >= k, F.array(F.concat_ws(" ", F.try_element_at(terms, F.lit(k)), roles[0]))).otherwise(F.array().cast("array<string>"))
-    blend = F.when(F.size(terms) >= 2, F.array(F.array_join(F.slice(terms, 1, 3), " "))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.when(F.size(first) >= most, first).otherwise(dedup_words(F.concat(with_skills, pair(1), pair(2), blend))), 1, most)
+        grow = lambda grown: F.struct(grown.alias("out"), (F.size(grown) >= most - 1).alias("full")).cast(step)
+        return F.when(acc["full"], acc).otherwise(M.once(F.when(met, acc["out"]).otherwise(F.concat(acc["out"], F.array(s))), grow))
+
+    def first(of: Column) -> Column:
+        as_junior = F.flatten(F.transform(F.slice(of["roles"], 1, 3), lambda r: F.when(of["tier"] <= 1, F.array(F.concat(F.lit("junior "), r), r)).otherwise(F.array(r))))
+        return dedup_words(F.concat(of["focus"], as_junior))
+
+    def rest(of: Column, begun: Column) -> Column:
+        roles, terms = of["roles"], of["terms"]
+        with_skills = F.aggregate(terms, F.struct(begun.alias("out"), F.lit(False).alias("full")).cast(step), add, lambda acc: acc["out"])
+        pair = lambda k: F.when(F.size(terms) >= k, F.array(F.concat_ws(" ", F.try_element_at(terms, F.lit(k)), roles[0]))).otherwise(none)
+        blend = F.when(F.size(terms) >= 2, F.array(F.array_join(F.slice(terms, 1, 3), " "))).otherwise(none)
+        return dedup_words(F.concat(with_skills, pair(1), pair(2), blend))
+
+    parts = F.struct(roles_of(preferred, role).alias("roles"), searched_skills(skills, focus).alias("terms"), F.slice(_of_focus(focus, "search"), 1, 2).alias("focus"), tier.alias("tier"))
+    return M.once(parts, lambda of: M.once(first(of), lambda begun: F.slice(F.when(F.size(begun) >= most, begun).otherwise(rest(of, begun)), 1, most)))
 
 
 def field_queries(fields: Column, preferred: Column, role: Column, tier: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
-from tessera.functions.text import escaped, has_word, strip, text
+from tessera.functions.text import escaped, has_word, once, strip, text
 from tessera.operators.profile import Profile, city_aliases, expand_skill, normal_place, place_tokens, preferred_cities
 
 
@@ -17,11 +16,6 @@ def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 
 
-def once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c evaluated once, however often f names it: conditions alone would evaluate it again in each branch."""
-    return F.transform(F.array(c), f)[0]
-
-
 def _most_years(c: Column, upper: bool = False) -> Column:
     """The largest number of years that the patterns find in a text, of a range the lower or the upper end. All need digits before
     the word, and each some letters of its own, which are looked for first."""

@@ -13,7 +13,7 @@ from tessera.functions import text as X
 from tessera.operators import fields, matching, people, retrieval
 from tessera.plans import listings as L
 from tessera.plans.queries import _any, _field_title, _holds, _n_keywords, _tech_title, _word, query, table
-from tessera.session import checkpointed
+from tessera.session import checkpointed, spread
 
 P = L.PROFILE
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -34,7 +34,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = "array<struct<start:string,end:string,current:boolean,duration:string>>"
     told = lambda items: F.array(*[F.struct(*[F.lit(x).alias(k) for x, k in zip(i, ("start", "end", "current", "duration"), strict=True)]) for i in items]).cast(jobs)
     history = F.element_at(F.array(*map(told, HISTORY)), (n % len(HISTORY) + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(n, L.pick(SKILLS, n).alias("skills"), L.pick(PREFERRED, n).alias("preferred"), L.pick(ROLES, n).alias("role"), L.pick(FOCUS, n).alias("focus"), L.pick(CHOSEN, n).alias("chosen"), L.pick(LEVELS, n).alias("level"), F.when(n % 3 == 0, n % 11).cast("int").alias("low"), F.when(n % 3 == 0, n % 11 + n % 4).cast("int").alias("high"), history.alias("history"), (n % 2 == 0).alias("schooled"), L.pick(PLACES, n).alias("place"))
+    return spread(table(spark, sf_dir, "customer").select(n), "c_custkey").select(n, L.pick(SKILLS, n).alias("skills"), L.pick(PREFERRED, n).alias("preferred"), L.pick(ROLES, n).alias("role"), L.pick(FOCUS, n).alias("focus"), L.pick(CHOSEN, n).alias("chosen"), L.pick(LEVELS, n).alias("level"), F.when(n % 3 == 0, n % 11).cast("int").alias("low"), F.when(n % 3 == 0, n % 11 + n % 4).cast("int").alias("high"), history.alias("history"), (n % 2 == 0).alias("schooled"), L.pick(PLACES, n).alias("place"))
 
 
 def _sql_history(items: list) -> str:

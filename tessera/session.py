@@ -41,3 +41,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over the cluster by keys that tell most rows apart: a task reads whole row groups, so a slim table, which has few of
+    them, would keep few cores busy with all the work on its rows."""
+    return df.repartition(*keys)

@@ -30,3 +30,15 @@ def test_phrases_are_judged_once_each(spark):
         assert all(r.one == r["all"] for r in told) and {r.s for r in told if r.one} >= {"Terraform", "rust"}
     plan = careers.missing_skill_cleanup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "mindset" not in plan  # no phrase is judged again for each line
+
+
+def test_searches_tell_each_part_once(spark):
+    from tessera.operators import fields
+    from tessera.plans import careers
+
+    plan = careers.search_queries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("problem solving") <= 1  # the skills to search for stand once in the plan
+    assert "RepartitionByExpression" in plan
+    rows = spark.createDataFrame([(None, None, None, None), (["a b", "A  B", "Python", "x"], ["R"], "", " AIML ")], "s array<string>, p array<string>, r string, f string")
+    told = [r.q for r in rows.select(fields.search_queries(F.col("s"), F.col("p"), F.col("r"), F.col("f"), F.lit(3)).alias("q")).collect()]
+    assert told[0] == ["software engineer"] and told[1][2] == "R" and "Python" in told[1]
