@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip, text
-
-#: The formats of posted dates, after the weekday is gone.
-FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd, yyyy")
+from tessera.functions.text import once, strip, text
+
+#: The formats of posted dates, after the weekday is gone, with a shape that all texts of the format have: a parser that fails costs
+#: far more than a look at the shape.
+FORMATS = {
+    "yyyy-MM-dd": "^[^:,]*-[^:,]*-[^:, ]*$",
+    "yyyy-MM-dd'T'HH:mm:ss": "-.*-.*[Tt].*:.*:",
+    "yyyy-MM-dd HH:mm:ss": "-.*-.* .*:.*:",
+    "dd MMM yyyy HH:mm:ss": " .* .* .*:.*:",
+    "dd MMM yyyy": "^[^:,]* [^:,]* [^:,]*$",
+    "MMM dd, yyyy": " .*, ",
+}
+#: What every relative phrase holds.
+RELATIVE = r"(?i)\bago\b|\btoday\b|\byesterday\b|\bjust\s+posted\b"
 
 
 def _minus(as_of: Column, days: Column) -> Column:
@@ -17,8 +27,12 @@ def _minus(as_of: Column, days: Column) -> Column:
 
 def relative_date(c: Column | str, as_of: Column) -> Column:
     """From phrases such as `2 weeks ago` on short lines or at the start; null without one."""
-    lines = F.filter(F.transform(F.split(text(c), r"\r\n|\r|\n"), strip), lambda s: (s != "") & (F.length(s) <= 40))
-    head = F.substring(F.trim(F.regexp_replace(text(c), r"\s+", " ")), 1, 80)
+    return once(text(c), lambda t: F.when(t.rlike(RELATIVE), _relative(t, as_of)))
+
+
+def _relative(c: Column, as_of: Column) -> Column:
+    lines = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), strip), lambda s: (s != "") & (F.length(s) <= 40))
+    head = F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, 80)
     blobs = F.concat(lines, F.filter(F.array(head), lambda h: h != ""))
     number = lambda b, unit: F.regexp_extract(b, rf"(?i)\b(\d+)\s*{unit}s?\s*ago\b", 1).try_cast("int")
 
@@ -37,17 +51,25 @@ def relative_date(c: Column | str, as_of: Column) -> Column:
 def posted_at(c: Column | str, as_of: Column, keep_offset: bool = True) -> Column:
     """timestamp_ntz from an epoch (milliseconds from 1e12 on), a relative phrase, or a date in one of FORMATS. An offset is
     converted to UTC; with keep_offset False it is dropped."""
-    t = strip(c)
+    return once(strip(c), lambda t: _posted(t, as_of, keep_offset))
+
+
+def _posted(t: Column, as_of: Column, keep_offset: bool) -> Column:
     number = F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double"))
-    epoch = F.timestamp_seconds(F.when(number > 1e12, number / 1000).otherwise(number)).cast("timestamp_ntz")
+    epoch = once(number, lambda n: F.timestamp_seconds(F.when(n > 1e12, n / 1000).otherwise(n)).cast("timestamp_ntz"))
     bare = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3},\s*", ""), r"\.\d+", "")
-    offset = F.regexp_extract(bare, r"(?<=\d{2}:\d{2}:\d{2})\s*(Z|[+-]\d{2}:?\d{2}|GMT|UTC)$", 1)
+    return F.coalesce(epoch, relative_date(t, as_of), once(bare, lambda b: _written(b, keep_offset)))
+
+
+def _written(bare: Column, keep_offset: bool) -> Column:
     local = F.regexp_replace(bare, r"(?<=\d{2}:\d{2}:\d{2})\s*(Z|[+-]\d{2}:?\d{2}|GMT|UTC)$", "")
-    plain = F.coalesce(*[F.try_to_timestamp(local, F.lit(f)).cast("timestamp_ntz") for f in FORMATS])
-    digits = F.regexp_replace(offset, ":", "")
-    minutes = F.when(offset.rlike("^[+-]"), (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1)).otherwise(0)
-    moved = plain - F.make_dt_interval(F.lit(0), F.lit(0), minutes) if keep_offset else plain
-    return F.coalesce(epoch, relative_date(t, as_of), moved)
+    plain = once(local, lambda x: F.coalesce(*[F.when(x.rlike(shape), F.try_to_timestamp(x, F.lit(f)).cast("timestamp_ntz")) for f, shape in FORMATS.items()]))
+    if not keep_offset:
+        return plain
+    offset = F.regexp_extract(bare, r"(?<=\d{2}:\d{2}:\d{2})\s*(Z|[+-]\d{2}:?\d{2}|GMT|UTC)$", 1)
+    digits = lambda o: F.regexp_replace(o, ":", "")
+    minutes = lambda o: F.when(o.rlike("^[+-]"), (F.substring(digits(o), 2, 2).try_cast("int") * 60 + F.substring(digits(o), 4, 2).try_cast("int")) * F.when(o.startswith("-"), -1).otherwise(1)).otherwise(0)
+    return plain - F.make_dt_interval(F.lit(0), F.lit(0), once(offset, minutes))
 
 
 def age_days(c: Column, as_of: Column) -> Column:

@@ -14,7 +14,7 @@ from tessera.functions import text as X
 from tessera.operators import profile, state
 from tessera.plans import listings as L
 from tessera.plans.queries import query, table
-from tessera.session import shared_folder
+from tessera.session import shared_folder, spread
 from tessera.sources import sinks, tables
 from tessera.streaming import firsts, notices
 
@@ -201,4 +201,5 @@ def resume_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offset_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offset is converted, or dropped."""
     said = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'")
-    return table(spark, sf_dir, "events").select("event_id", T.posted_at(said, L.as_of()).alias("moved"), T.posted_at(said, L.as_of(), keep_offset=False).alias("dropped"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    return events.select("event_id", T.posted_at(said, L.as_of()).alias("moved"), T.posted_at(said, L.as_of(), keep_offset=False).alias("dropped"))

@@ -42,3 +42,33 @@ def test_searches_tell_each_part_once(spark):
     rows = spark.createDataFrame([(None, None, None, None), (["a b", "A  B", "Python", "x"], ["R"], "", " AIML ")], "s array<string>, p array<string>, r string, f string")
     told = [r.q for r in rows.select(fields.search_queries(F.col("s"), F.col("p"), F.col("r"), F.col("f"), F.lit(3)).alias("q")).collect()]
     assert told[0] == ["software engineer"] and told[1][2] == "R" and "Python" in told[1]
+
+
+def test_dates_parse_in_their_format_only(spark):
+    from tessera.functions import temporal as T
+
+    days = ["2024-01-05", "2024-01-05T10:20:30+05:30", "2024-01-05 10:20:30", "Fri, 05 Jan 2024 10:20:30 +0000", "05 Jan 2024", "Jan 05, 2024", "2 days ago", "Posted today", "agora", "1704412800", None]
+    got = [r.d and r.d.isoformat() for r in spark.createDataFrame([(d,) for d in days], "s string").select(T.posted_at("s", L.as_of()).alias("d")).collect()]
+    assert got == ["2024-01-05T00:00:00", "2024-01-05T04:50:30", *["2024-01-05T10:20:30"] * 2, *["2024-01-05T00:00:00"] * 2, "2024-01-29T00:00:00", "2024-01-31T00:00:00", None, "2024-01-05T00:00:00", None]
+    assert isinstance(T.FORMATS, dict)  # a format is tried only on texts of its shape
+
+
+def test_keys_of_dedup_are_not_broadcast(spark):
+    from tessera.operators import state
+
+    rows = spark.range(50).selectExpr("id AS seq", "concat('h', id % 7) AS h", "concat('i', id % 5) AS i")
+    out = state.greedy_dedup(rows, ("h", "i"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.seq for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_batches_are_counted_in_slices():
+    import pyarrow as pa
+
+    from tessera.operators import retrieval
+
+    lists = [["a"] * 5, None, [], ["b"] * 9, ["c"] * 2, ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["terms"])
+    parts = [p["terms"].to_pylist() for p in retrieval._parts(batch, 6)]
+    assert [x for p in parts for x in p] == lists and len(parts) == 3
+    assert [len(retrieval._coded(p["terms"])[0]) for p in retrieval._parts(batch, 6)] == [5, 9, 3]
