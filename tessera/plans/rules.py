@@ -12,6 +12,7 @@ from tessera.operators import matching, reporting, retrieval, scoring, state
 from tessera.operators.profile import expand_skill
 from tessera.plans import listings as L
 from tessera.plans.queries import _AGE, _HAY, _HITS, P, query, table
+from tessera.session import spread
 from tessera.sources import readers, sinks
 
 BOARDS = ["remotive", "remoteok", "arbeitnow", "jobicy", "himalayas", "themuse", "weworkremotely", "workingnomads"]
@@ -48,7 +49,8 @@ SELECT source, p_brand AS company, trim(p_name) AS title, p_type || ' ' || p_par
   CASE source {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _PLACE_OF.items())} ELSE 'Remote' END AS location, 'https://x.example/' || p_partkey AS apply_url, TIMESTAMP '2024-01-05' AS posted_at FROM s""")
 def source_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S01 to S08, S14, D02, P01, P12, T01."""
-    rows = readers.aggregate(_payloads(table(spark, sf_dir, "part")), L.as_of(), BOARDS)
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    rows = readers.aggregate(_payloads(parts), L.as_of(), BOARDS)
     return rows.select("source", "company", "title", "description", F.size("skills").alias("n_skills"), "location", "apply_url", "posted_at")
 
 
@@ -56,7 +58,8 @@ def source_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card texts of browsed boards."""
     lines = F.concat_ws("\n", "p_name", F.lit(""), "p_brand", "p_type", F.concat(F.lit("Posted "), (F.col("p_partkey") % 9 + 2).cast("string"), F.lit(" days ago")))
-    cards = table(spark, sf_dir, "part").select(lines.alias("payload"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("href"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    cards = parts.select(lines.alias("payload"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("href"))
     return readers.cards(cards, "indeed", L.as_of()).select(F.regexp_extract("apply_url", "([0-9]+)$", 1).cast("long").alias("p_partkey"), "title", "company", "location", "posted_at")
 
 
@@ -89,7 +92,7 @@ def posted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.unix_micros(ts) / 1_000_000)
     said = F.when(n == 0, seconds.cast("string")).when(n == 1, (seconds * 1000).cast("string")).when(n == 2, F.date_format(ts, "yyyy-MM-dd")).when(n == 3, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
     said = said.when(n == 4, F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(2)), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))).otherwise(F.date_format(ts, "MMM dd, yyyy"))
-    events = table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id").select("event_id", said.alias("said"))
     return events.select("event_id", T.posted_at("said", L.as_of()).alias("posted_at"))
 
 
