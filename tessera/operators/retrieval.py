@@ -16,8 +16,9 @@ from tessera.session import checkpointed
 
 #: Bytes up to which the terms of queries, and query vectors, are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Cells of a matrix that a task fills at a time.
-DENSE = 4 << 20
+#: Cells of a matrix that a task fills at a time, and terms of documents that it counts at a time.
+DENSE = 1 << 20
+SLICE = 1 << 18
 
 
 def term_counts(terms: Column) -> Column:
@@ -31,12 +32,12 @@ def term_counts(terms: Column) -> Column:
 
 
 def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df, total): documents that hold a term, and how often it stands in all. Each batch counts its own documents, so one row
-    for each of its terms reaches the exchange. Behind a checkpoint: everything else is told from it."""
+    """(term, df, total): documents that hold a term, and how often it stands in all. Each slice of a batch counts its own documents, and
+    the task adds them up, so one row for each of its terms reaches the exchange. Behind a checkpoint: everything else is told from it."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, row = _coded(batch["terms"])
+        for part in (part for batch in batches for part in _parts(batch)):
+            codes, row = _coded(part["terms"])
             names = codes.dictionary
             both, times = np.unique(row * max(len(names), 1) + codes.indices.to_numpy(), return_counts=True)
             term = both % max(len(names), 1)
@@ -47,6 +48,17 @@ def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return checkpointed(each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
 
 
+def _parts(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of whole documents with about `most` terms, so that memory doesn't grow with a batch."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch["terms"]), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        begun = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, begun + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _coded(lists: pa.ListArray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The items of all lists as numbers of a dictionary, and the row of each."""
     flat = lists.flatten()
@@ -106,9 +118,9 @@ def bm25_candidates(docs: DataFrame, weights: DataFrame, mean: float, k: int, id
             best = np.full((k, len(own.queries)), -np.inf)
             rows = max(16, min(1024, DENSE // max(len(own.terms), 1)))
             for batch in batches:
-                batch = batch.take(pc.sort_indices(batch["id"]))
+                order = pc.sort_indices(batch["id"])
                 for start in range(0, batch.num_rows, rows):
-                    yield from _best(batch.slice(start, rows), own, best, k, mean, k1, b, digits)
+                    yield from _best(batch.take(order.slice(start, rows)), own, best, k, mean, k1, b, digits)
 
         one = told.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
