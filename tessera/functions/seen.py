@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,14 +37,15 @@ class Seen:
         """array<int>: twice the number of each term that is held, and one more where it is held as a whole word."""
         terms = dict(self.terms)
 
-        @F.pandas_udf("array<int>")
-        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             automaton = ahocorasick.Automaton()
             for term, k in terms.items():
                 automaton.add_word(term, (len(term), k))
             automaton.make_automaton()
             for batch in batches:
-                yield batch.map(lambda t: _scan(automaton, t) if t and terms else [])
+                told = (t.as_py() for t in batch)  # one text at a time, so that a batch isn't held twice
+                yield pa.array((_scan(automaton, t) if t and terms else [] for t in told), pa.list_(pa.int32()))
 
         return found(text)
 
