@@ -15,7 +15,7 @@ from tessera.functions import text as X
 from tessera.operators import filters, matching, reporting, retrieval, scoring, state
 from tessera.operators.profile import city_aliases, expand_skill, place_tokens, preferred_cities
 from tessera.plans import listings as L
-from tessera.session import shared_folder
+from tessera.session import shared_folder, spread
 from tessera.sources import readers
 from tessera.streaming import notices
 
@@ -521,9 +521,9 @@ def notify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     end = events.agg(*[(F.max(c) + F.make_dt_interval(F.lit(200)) if c == "ts" else F.lit(-1).cast(events.schema[c].dataType) if c == "user_id" else F.max(c)).alias(c) for c in events.columns])
     root = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    for part in (events.where(F.col("ts") >= half), events.where(F.col("ts") < half), end):
-        part.coalesce(1).write.mode("append").parquet(root)
-    told = notices.run_once(notices.notices(notices.event_stream(spark, root, 1), late="100 days"), "notices")
+    first, *others = (lambda part=part: part.write.mode("append").parquet(root) for part in (spread(events.where(F.col("ts") >= half), "event_id"), spread(events.where(F.col("ts") < half), "event_id"), end))
+    first()
+    told = notices.run_once(notices.notices(notices.event_stream(spark, root), late="100 days"), "notices", arrivals=others)
     return told.where(~F.col("state_key").startswith("-1:"))
 
 

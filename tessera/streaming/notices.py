@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.session import shared_folder
@@ -17,69 +17,52 @@ from tessera.session import shared_folder
 OUT = "state_key string, event_id long, match_score int, reason string"
 
 
-class Noticer(StatefulProcessor):
+#: What a key keeps: rows that wait (microseconds, ids, scores), the score of its last notice, and when its last row was told.
+KEPT = "ts_us array<long>, event_id array<long>, match_score array<int>, score int, seen_ms long"
+
+
+def _noticer(delta: int, keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """One key's notices in order of event time. Rows wait until the watermark has passed them, so that neither their order within a
     micro-batch nor that of micro-batches matters; a key that has been quiet for `keep_ms` of event time leaves the state."""
 
-    def __init__(self, delta: int, keep_ms: int):
-        self.delta, self.keep_ms = max(1, delta), keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_ms long, event_id long, match_score int")
-        self.last = handle.getValueState("last", "match_score int, ts_ms long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Rows are kept, and woken up for when the first of them is passed."""
-        met = pd.concat(list(rows))
-        at = met["ts"].astype("int64") // (1000 if str(met["ts"].dtype).startswith("datetime64[us") else 1_000_000)
-        self.waiting.appendList(list(zip(at.tolist(), met["event_id"].tolist(), met["match_score"].tolist(), strict=True)))
-        self.handle.registerTimer(int(at.min()))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get())
-        ripe = [r for r in rows if r[0] <= now]
-        later = rows[len(ripe) :]
-        last = self.last.get()
-        score, seen = (last[0], last[1]) if last else (None, None)
+    def told(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *kept, score, seen = state.get if state.exists else ([], [], [], None, None)
+        rows = list(zip(*kept, strict=True))
+        for met in batches:  # none if a timer woke the key up
+            rows += zip(met["ts_us"].tolist(), met["event_id"].tolist(), met["match_score"].tolist(), strict=True)
+        rows.sort()
+        now = state.getCurrentWatermarkMs()
+        n = next((k for k, r in enumerate(rows) if r[0] // 1000 > now), len(rows))
         said = []
-        for at, event, new in ripe:
-            if seen is not None and at - seen > self.keep_ms:
+        for us, event, new in rows[:n]:
+            at = us // 1000
+            if seen is not None and at - seen > keep_ms:
                 score = None  # it was forgotten by then
-            why = "new" if score is None else "score_jump" if new - score >= self.delta else "already_notified"
+            why = "new" if score is None else "score_jump" if new - score >= delta else "already_notified"
             score, seen = (new if why != "already_notified" else score), at
             said.append((key[0], event, new, why))
-        if ripe and later:
-            self.waiting.put(later)
-        elif ripe:
-            self.waiting.clear()
-        if later:
-            self.handle.registerTimer(later[0][0])
-        elif seen is not None and now > seen + self.keep_ms:
-            self.last.clear()
-            seen = None
-        if seen is not None:
-            if ripe:
-                self.last.update((score, seen))
-            if not later:
-                self.handle.registerTimer(seen + self.keep_ms + 1)
+        later = rows[n:]
+        if not later and (seen is None or now > seen + keep_ms):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*([r[k] for r in later] for k in range(3)), score, seen))
+            # a timer fires once the watermark is beyond it
+            state.setTimeoutTimestamp(later[0][0] // 1000 - 1 if later else seen + keep_ms)
         yield pd.DataFrame(said, columns=["state_key", "event_id", "match_score", "reason"])
 
-    def close(self) -> None:
-        pass
+    return told
 
 
 def notices(events: DataFrame, delta: int = 10, late: str = "1 hour", keep_days: float = 90) -> DataFrame:
     """(state_key, event_id, match_score, reason) for each of events (state_key, event_id, ts, match_score), in order of ts and
     event_id: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified. A row is told
     once the watermark, `late` behind the newest row, has passed it; rows that come later than that are dropped. A key without rows
-    for `keep_days` of event time is forgotten."""
+    for `keep_days` of event time is forgotten. Rows and states of many keys go to Python and back in one Arrow batch, not call by call."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = events.withWatermark("ts", late).groupBy("state_key")
-    return keyed.transformWithStateInPandas(Noticer(delta, int(keep_days * 86_400_000)), OUT, "Append", "EventTime")
+    keyed = events.withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts")).groupBy("state_key")
+    return keyed.applyInPandasWithState(_noticer(max(1, delta), int(keep_days * 86_400_000)), OUT, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
@@ -96,13 +79,17 @@ def windowed(events: DataFrame, minutes: int = 60, late: str = "1 day") -> DataF
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes")).agg(F.count("*").alias("n"), F.sum("match_score").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, as a table; the checkpoint is in the session's shared folder."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """All that is there now, as a table; the checkpoint is in the session's shared folder. In append mode the stream goes on after
+    each of arrivals, which brings more."""
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
     if mode == "append":
         query.format("parquet").option("path", f"{root}/out").start().awaitTermination()
+        for bring in arrivals:
+            bring()
+            query.start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
     def write(batch: DataFrame, number: int) -> None:
