@@ -235,14 +235,14 @@ def _repeated(table: pa.Table, limit: int | None) -> pa.Table:
     named = _numbers(table["anchors"], "<u8")
     values, of = np.unique(np.concatenate(named), return_inverse=True)
     times, windows = (np.bincount(of, _joined(table[c], "<i8"), len(values)) for c in ("times", "windows"))
-    more = values[times > 1]
     single = limit is None
-    hot = more[:0] if single else values[(times > 1) & (windows > limit)]
+    # by each named key's place among the values: a search in them for each chunk would grow with the square of the chunks
+    repeats, is_large = times > 1, np.zeros(len(values), bool) if single else windows > limit
     rows: dict[str, list] = {f.name: [] for f in _BACK}
-    for chunk, own in zip(table["chunk"].to_pylist(), named, strict=True):
-        mine = own[np.isin(own, more)]
+    for chunk, own, at in zip(table["chunk"].to_pylist(), named, np.split(of, np.cumsum([len(x) for x in named])[:-1]), strict=True):
+        met = repeats[at]
+        mine, is_hot = own[met], is_large[at][met]
         if len(mine):
-            is_hot = np.isin(mine, hot)
             for field, value in (("chunk", chunk), ("anchors", b"" if single else mine[~is_hot].tobytes()), ("hot", mine[is_hot].tobytes()), ("single", mine.tobytes() if single else b"")):
                 rows[field].append(value)
     return _rows(_BACK, **rows)

@@ -1,7 +1,11 @@
 """What shows only on larger corpora, on small cases."""
 
+import time
+
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import minhash
+from tessera.llm import minhash, windows
 
 
 def test_growing_tables_of_near_dedup_do_not_go_through_the_driver(spark, corpus, monkeypatch):
@@ -25,3 +29,23 @@ def test_growing_tables_of_near_dedup_do_not_go_through_the_driver(spark, corpus
         assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_minimisers_take_time_in_proportion_to_their_chunks():
+    r = np.random.default_rng(1)
+    keys = [np.unique(r.integers(0, 400_000, 2000).astype(np.uint64)) for _ in range(300)]
+    keys[7] = keys[7][:0]
+    size = [np.full(len(k), 3, np.int64) for k in keys]
+    table = windows._rows(windows._NAMED, part=[0] * 300, chunk=list(range(300)), anchors=[k.tobytes() for k in keys], times=[np.ones(len(k), np.int64).tobytes() for k in keys], windows=[n.tobytes() for n in size])
+    began = time.process_time()
+    many, one = windows._repeated(table, 8), windows._repeated(table, None)
+    assert time.process_time() - began < 5
+    values, times = np.unique(np.concatenate(keys), return_counts=True)
+    more, hot = set(values[times > 1].tolist()), set(values[3 * times > 8].tolist())
+    told = lambda row, field: np.frombuffer(row[field], np.uint64).tolist()
+    for row in many.to_pylist():
+        own = keys[row["chunk"]].tolist()
+        assert told(row, "anchors") == [k for k in own if k in more - hot] and told(row, "hot") == [k for k in own if k in hot] and not row["single"]
+    for row in one.to_pylist():
+        assert told(row, "single") == [k for k in keys[row["chunk"]].tolist() if k in more] and not row["anchors"] and not row["hot"]
+    assert many.num_rows == one.num_rows == 299
