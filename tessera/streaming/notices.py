@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,51 +18,95 @@ from tessera.session import shared_folder
 OUT = "state_key string, event_id long, match_score int, reason string"
 
 
-#: What a key keeps: rows that wait (microseconds, ids, scores), the score of its last notice, and when its last row was told.
-KEPT = "ts_us array<long>, event_id array<long>, match_score array<int>, score int, seen_ms long"
+#: Keys are dealt to so many groups by their hash; a group's keys share its state and its calls to Python.
+GROUPS = 1024
+#: What a group keeps, as bytes: its waiting rows (key's number, microseconds, id, score), and of each key the score of its last
+#: notice and when its last row was told.
+KEPT = "names array<string>, rows binary, scores binary, seen_ms binary"
+_ROW = np.dtype([("key", "<i4"), ("us", "<i8"), ("event", "<i8"), ("score", "<f8")])
+#: A key of which no row was told yet; a row without an id. A score that is null is not a number.
+_NEVER = np.iinfo(np.int64).min
+
+
+def _folded(rows: np.ndarray, score: np.ndarray, seen: np.ndarray, delta: int, keep_ms: int) -> list[str]:
+    """The reason of each of the rows, in order of key, time and id; score and seen, by key, are carried on."""
+    why = []
+    now, key = None, -1
+    for k, at, new in zip(rows["key"].tolist(), (rows["us"] // 1000).tolist(), rows["score"].tolist(), strict=True):
+        if k != key:
+            if key >= 0:
+                score[key], seen[key] = last, now
+            key, last, now = k, float(score[k]), int(seen[k])
+        if now == _NEVER or at - now > keep_ms:  # it was forgotten by then
+            reason = "new"
+        else:
+            reason = "score_jump" if new - last >= delta else "already_notified"
+        if reason != "already_notified":
+            last = new
+        now = at
+        why.append(reason)
+    if key >= 0:
+        score[key], seen[key] = last, now
+    return why
 
 
 def _noticer(delta: int, keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """One key's notices in order of event time. Rows wait until the watermark has passed them, so that neither their order within a
-    micro-batch nor that of micro-batches matters; a key that has been quiet for `keep_ms` of event time leaves the state."""
+    """The notices of each key of one group in order of event time. Rows wait until the watermark has passed them, so that neither
+    their order within a micro-batch nor that of micro-batches matters; a key that has been quiet for `keep_ms` of event time leaves
+    the state."""
 
     def told(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *kept, score, seen = state.get if state.exists else ([], [], [], None, None)
-        rows = list(zip(*kept, strict=True))
-        for met in batches:  # none if a timer woke the key up
-            rows += zip(met["ts_us"].tolist(), met["event_id"].tolist(), met["match_score"].tolist(), strict=True)
-        rows.sort()
+        names, waiting, score, seen = state.get if state.exists else ([], b"", b"", b"")
+        names, parts = list(names), [np.frombuffer(bytes(waiting), _ROW)]
+        number = {name: k for k, name in enumerate(names)}
+        for met in batches:  # none if a timer woke the group up
+            rows = np.empty(len(met), _ROW)
+            rows["key"] = [number.setdefault(name, len(number)) for name in met["state_key"].tolist()]
+            rows["us"], rows["event"], rows["score"] = met["ts_us"], met["event_id"].fillna(_NEVER), met["match_score"]
+            parts.append(rows)
+        names += list(number)[len(names) :]
+        score = np.concatenate((np.frombuffer(bytes(score), "<f8"), np.zeros(len(names) - len(score) // 8)))
+        seen = np.concatenate((np.frombuffer(bytes(seen), "<i8"), np.full(len(names) - len(seen) // 8, _NEVER, "<i8")))
+        rows = np.concatenate(parts)
         now = state.getCurrentWatermarkMs()
-        n = next((k for k, r in enumerate(rows) if r[0] // 1000 > now), len(rows))
-        said = []
-        for us, event, new in rows[:n]:
-            at = us // 1000
-            if seen is not None and at - seen > keep_ms:
-                score = None  # it was forgotten by then
-            why = "new" if score is None else "score_jump" if new - score >= delta else "already_notified"
-            score, seen = (new if why != "already_notified" else score), at
-            said.append((key[0], event, new, why))
-        later = rows[n:]
-        if not later and (seen is None or now > seen + keep_ms):
+        due = rows["us"] // 1000 <= now
+        ready, later = rows[due], rows[~due]
+        ready = ready[np.lexsort((ready["score"], ready["event"], ready["us"], ready["key"]))]
+        why = _folded(ready, score, seen, delta, keep_ms)
+        said = pd.DataFrame({"state_key": [names[k] for k in ready["key"].tolist()], "event_id": pd.Series(ready["event"]).astype("Int64").mask(ready["event"] == _NEVER), "match_score": pd.Series(ready["score"]).astype("Int32"), "reason": why})
+        stays = np.zeros(len(names), bool)
+        stays[later["key"]] = True
+        stays |= (seen != _NEVER) & (now <= np.where(seen == _NEVER, 0, seen) + keep_ms)
+        if not stays.any():
             if state.exists:
                 state.remove()
         else:
-            state.update((*([r[k] for r in later] for k in range(3)), score, seen))
-            # a timer fires once the watermark is beyond it
-            state.setTimeoutTimestamp(later[0][0] // 1000 - 1 if later else seen + keep_ms)
-        yield pd.DataFrame(said, columns=["state_key", "event_id", "match_score", "reason"])
+            place = np.cumsum(stays) - 1
+            later["key"] = place[later["key"]]
+            score, seen = score[stays], seen[stays]
+            state.update(([n for n, s in zip(names, stays.tolist(), strict=True) if s], later.tobytes(), score.tobytes(), seen.tobytes()))
+            # a timer fires once the watermark is beyond it: for the first row that waits, or the first key to be forgotten; one that
+            # waits is forgotten no earlier than its rows are told
+            idle = np.ones(len(score), bool)
+            idle[later["key"]] = False
+            times = [int(later["us"].min()) // 1000 - 1] if len(later) else []
+            times += [int(seen[idle].min()) + keep_ms] if idle.any() else []
+            state.setTimeoutTimestamp(min(times))
+        yield said
 
     return told
 
 
-def notices(events: DataFrame, delta: int = 10, late: str = "1 hour", keep_days: float = 90) -> DataFrame:
+def notices(events: DataFrame, delta: int = 10, late: str = "1 hour", keep_days: float = 90, groups: int = GROUPS) -> DataFrame:
     """(state_key, event_id, match_score, reason) for each of events (state_key, event_id, ts, match_score), in order of ts and
     event_id: new, score_jump when the score is `delta` above that of the key's last notice, else already_notified. A row is told
     once the watermark, `late` behind the newest row, has passed it; rows that come later than that are dropped. A key without rows
-    for `keep_days` of event time is forgotten. Rows and states of many keys go to Python and back in one Arrow batch, not call by call."""
+    for `keep_days` of event time is forgotten. Keys are dealt to `groups` by their hash, and Python is called and state written by
+    group, not by key: a micro-batch rewrites the groups that it touches. A stream that goes on must keep its number of groups."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = events.withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts")).groupBy("state_key")
+    dealt = F.pmod(F.xxhash64("state_key"), F.lit(groups)).cast("int").alias("dealt")
+    keyed = events.withWatermark("ts", late).select("*", F.unix_micros("ts").alias("ts_us"), dealt).groupBy("dealt")
     return keyed.applyInPandasWithState(_noticer(max(1, delta), int(keep_days * 86_400_000)), OUT, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
