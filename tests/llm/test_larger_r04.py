@@ -33,7 +33,7 @@ def test_growing_tables_of_near_dedup_do_not_go_through_the_driver(spark, corpus
 
 def test_repeated_minimisers_take_time_in_proportion_to_their_chunks():
     r = np.random.default_rng(1)
-    keys = [np.unique(r.integers(0, 400_000, 2000).astype(np.uint64)) for _ in range(300)]
+    keys = [np.unique(windows.mix(r.integers(0, 400_000, 2000).astype(np.uint64))) for _ in range(300)]  # wide, as hashes are
     keys[7] = keys[7][:0]
     size = [np.full(len(k), 3, np.int64) for k in keys]
     table = windows._rows(windows._NAMED, part=[0] * 300, chunk=list(range(300)), anchors=[k.tobytes() for k in keys], times=[np.ones(len(k), np.int64).tobytes() for k in keys], windows=[n.tobytes() for n in size])
